@@ -176,3 +176,61 @@ def damaged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .otherwise(aliased))
     return inv.select("path", response.alias("response"),
                       F.lit(None).cast("string").alias("error"))
+
+
+# --- invoice texts --------------------------------------------------------------
+
+def _money(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.format_string("%.2f", c))
+
+
+def _qty(c: Column) -> Column:
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False) -> DataFrame:
+    """(path, o_orderkey, raw_text): each derived invoice written out as text
+    in the layout the prompts show; with `odd_lines_only` only items 1, 3, 5,
+    ... are written (the others are then ungrounded)."""
+    inv = invoice_columns(spark, sf_dir)
+    items = F.col("line_items")
+    if odd_lines_only:
+        items = F.filter(items, lambda x, i: i % 2 == 0)
+    item_lines = F.transform(items, lambda x: F.concat(
+        F.lit("Item "), x["description"], F.lit(" "), _qty(x["quantity"]), F.lit(" x "),
+        _money(x["unit_price"]), F.lit(" "), _money(x["amount"])))
+    e = lambda c: F.coalesce(c, F.lit(""))
+    text = F.concat_ws(
+        "\n",
+        F.lit("INVOICE"),
+        F.concat(F.lit("No: "), e(F.col("invoice_number"))),
+        F.concat(F.lit("Date: "), e(F.col("invoice_date"))),
+        F.concat(F.lit("Vendor: "), e(F.col("vendor_name")), F.lit(" GSTIN "), e(F.col("vendor_gstin"))),
+        F.concat(F.lit("Bill To: "), e(F.col("buyer_name")), F.lit(" GSTIN "), e(F.col("buyer_gstin"))),
+        item_lines,
+        F.concat(F.lit("Subtotal "), e(_money(F.col("subtotal")))),
+        F.concat(F.lit("GST "), e(F.col("tax_percent").cast("string")), F.lit("% "),
+                 e(_money(F.col("tax_amount")))),
+        F.concat(F.lit("Total "), e(F.col("currency")), F.lit(" "), e(_money(F.col("total")))))
+    return inv.select("path", "o_orderkey", text.alias("raw_text"))
+
+
+# --- documents as files -----------------------------------------------------------
+
+# doc_id mod 7 -> file extension; 'txt' is not an accepted upload.
+DOC_EXTENSIONS = ["pdf", "png", "jpg", "jpeg", "tiff", "PDF", "txt"]
+
+
+def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The `documents` table shaped like the binaryFile source (text as UTF-8
+    bytes), plus doc_id, lang and the text itself."""
+    d = table(spark, sf_dir, "documents")
+    exts = F.array(*[F.lit(x) for x in DOC_EXTENSIONS])
+    ext = F.element_at(exts, (F.pmod(F.col("doc_id"), F.lit(len(DOC_EXTENSIONS))) + 1).cast("int"))
+    content = F.encode(F.col("text"), "UTF-8")
+    return d.select(
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"),
+        F.lit(None).cast("timestamp").alias("modificationTime"),
+        F.octet_length(F.col("text")).cast("long").alias("length"),
+        content.alias("content"),
+        "doc_id", "lang", "text")
