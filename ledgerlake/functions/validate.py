@@ -110,30 +110,33 @@ def as_array(v: Column) -> Column:
 
 
 # --- line items -------------------------------------------------------------
-# Elements go through two transforms: the first reads each field's variant,
-# the second adds types and texts; the checks and values read those.
+# The item array is read in one cast to an array of structs of variants: a
+# non-object element becomes a NULL struct.  A second transform adds each
+# field's type and text; the checks and values read those.
 
 _ITEM_KEYS = ("description", "quantity", "unit_price", "amount")
 _ITEM_FLOATS = ("quantity", "unit_price", "amount")
+ITEM_VARIANTS = "array<struct<" + ",".join(f"{k}:variant" for k in _ITEM_KEYS) + ">>"
 
 
-def item_members(e: Column) -> Column:
-    return F.struct(vtype(e).alias("t"), *[member(e, k).alias(k) for k in _ITEM_KEYS])
+def object_fields_type(keys) -> str:
+    """Target type that reads the listed keys of an object as variants."""
+    return "struct<" + ",".join(f"`{k}`:variant" for k in keys) + ">"
 
 
 def item_typed(x: Column) -> Column:
-    cols = [x["t"].alias("t")]
+    cols = [F.when(x.isNull(), F.lit("OTHER")).otherwise(F.lit("OBJECT")).alias("t")]
     for k in _ITEM_KEYS:
         cols.append(x[k].alias(k))
         cols.append(vtype(x[k]).alias(k + "_t"))
     for k in _ITEM_FLOATS:
-        cols.append(py_strip(F.try_variant_get(x[k], "$", "string")).alias(k + "_s"))
+        cols.append(text_of(x[k], vtype(x[k])).alias(k + "_s"))
     return F.struct(*cols)
 
 
 def item_ok(x: Column) -> Column:
     dt = x["description_t"]
-    checks = [is_object_type(x["t"]), F.coalesce(dt.isNull() | (dt == "STRING"), F.lit(False))]
+    checks = [x["t"] == F.lit("OBJECT"), F.coalesce(dt.isNull() | (dt == "STRING"), F.lit(False))]
     checks += [float_ok(x[k + "_t"], x[k + "_s"]) for k in _ITEM_FLOATS]
     return _all(checks)
 
@@ -147,7 +150,7 @@ def item_value(x: Column) -> Column:
 
 def item_fit(x: Column) -> Column:
     """Item of an invalid record: fitting fields, NULL for a non-object."""
-    return F.when(is_object_type(x["t"]), F.struct(
+    return F.when(x["t"] == F.lit("OBJECT"), F.struct(
         string_value(x["description"], x["description_t"]).alias("description"),
         *[number_fit(x[k], x[k + "_t"]).alias(k) for k in _ITEM_FLOATS]))
 

@@ -70,19 +70,27 @@ def validate_records(df: DataFrame, strict_alias: bool = False,
     """
     header = [n for n, _ in HEADER_FIELDS]
     doubles = [n for n, k in HEADER_FIELDS if k == "double"]
-    keys = header + list(FIELD_ALIASES.values()) + ["line_items"]
+    scalars = header + list(FIELD_ALIASES.values())
     col = F.col
-    # 1: member variants; 2: their types and texts.
-    s1 = df.select("*", *[V.member(col(raw), k).alias(_v(k)) for k in keys],
-                   V.vtype(col(raw)).alias(_TMP + "top_t"))
-    s2 = s1.select("*", *[V.vtype(col(_v(k))).alias(_t(k)) for k in keys])
-    s2 = s2.select("*", *[V.text_of(col(_v(k)), col(_t(k))).alias(_s(k)) for k in doubles])
-    # 3: item elements read, then typed.
-    arr = F.when(V.is_array_type(col(_t("line_items"))), V.as_array(col(_v("line_items"))))
-    s3 = s2.withColumn(_TMP + "ie", F.transform(arr, V.item_members))
-    s4 = s3.withColumn(_TMP + "it", F.transform(col(_TMP + "ie"), V.item_typed))
+    # 1: the record read once as a struct of variants (NULL: not an object).
+    obj = _TMP + "obj"
+    s1 = df.withColumn(obj, F.try_variant_get(
+        col(raw), "$", V.object_fields_type(scalars + ["line_items"])))
+    # 2: member types; the item list as an array of item structs.
+    li = col(obj + ".line_items")
+    s2 = s1.select("*", *[col(f"{obj}.`{k}`").alias(_v(k)) for k in scalars],
+                   *[V.vtype(col(f"{obj}.`{k}`")).alias(_t(k)) for k in scalars],
+                   F.try_variant_get(li, "$", V.ITEM_VARIANTS).alias(_TMP + "ie"),
+                   F.when(li.isNull(), F.lit(None))
+                    .when(F.is_variant_null(li), F.lit("VOID")).alias(_TMP + "li0"))
+    s2 = s2.select("*", *[V.text_of(col(_v(k)), col(_t(k))).alias(_s(k)) for k in doubles],
+                   F.when(col(_TMP + "ie").isNotNull(), F.lit("ARRAY"))
+                    .when(li.isNotNull(), F.coalesce(col(_TMP + "li0"), F.lit("OTHER")))
+                    .alias(_t("line_items")))
+    # 3: item fields typed.
+    s4 = s2.withColumn(_TMP + "it", F.transform(col(_TMP + "ie"), V.item_typed))
     # 5: per-field checks and the record flag.
-    checks = [V.is_object_type(col(_TMP + "top_t"))]
+    checks = [col(obj).isNotNull()]
     good, fit = {}, {}
     for n, kind in HEADER_FIELDS:
         v, t = col(_v(n)), col(_t(n))
@@ -107,7 +115,7 @@ def validate_records(df: DataFrame, strict_alias: bool = False,
     it = col(_TMP + "it")
     items_t = col(_t("line_items"))
     checks.append(items_t.isNull()
-                  | (V.is_array_type(items_t) & F.coalesce(F.forall(it, V.item_ok), F.lit(False))))
+                  | ((items_t == "ARRAY") & F.coalesce(F.forall(it, V.item_ok), F.lit(False))))
     api_error = (col("json_status") == "api_error") if "json_status" in df.columns else F.lit(False)
     s5 = s4.withColumn("valid", F.when(api_error, F.lit(False)).otherwise(V.all_of(checks)))
     # 6: the record.
