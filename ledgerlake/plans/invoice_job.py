@@ -10,16 +10,18 @@ tables, CSV, JSON and per-file metrics.
          --> repair + validate (native) --> joined back to every copy
          --> tables
 
-Stored intermediate tables (page text, responses) cut the lineage: a lost
-executor never re-runs recognition or model calls that already finished,
-and a later run skips every content it has already seen (anti join on the
-content hash).  Everything is written under `out_dir`, which on a cluster
-must be shared storage.
+Stored intermediate tables (file index, page text, responses, records) cut
+the lineage: a lost executor never re-runs recognition or model calls that
+already finished, and a later run (or micro-batch) skips every file and
+content it has already seen (anti joins on path and content hash).
+Everything is written under `out_dir`, which on a cluster must be shared
+storage; `_runs/<id>/` holds the materialised inputs of one run.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -64,50 +66,60 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def run_invoice_job(spark: SparkSession, input_dir: str, out_dir: str,
-                    decoder_factory: Callable = P.raster_decoder,
-                    recogniser_factory: Callable = P.tesseract_recogniser,
-                    client_factory: Callable | None = None,
-                    options: JobOptions | None = None) -> dict[str, str]:
-    """Run the batch; returns the paths of the written tables.
+def _anti(df: DataFrame, spark: SparkSession, store: str, on) -> DataFrame:
+    """Rows of `df` whose key is not yet in the stored table."""
+    if not _exists(spark, store):
+        return df
+    cols = [on] if isinstance(on, str) else list(on)
+    return df.join(spark.read.parquet(store).select(*cols).distinct(), cols, "left_anti")
 
-    Without `client_factory` the rule extractor reads the fields (offline).
+
+def process_files(spark: SparkSession, files: DataFrame, out_dir: str,
+                  decoder_factory: Callable = P.raster_decoder,
+                  recogniser_factory: Callable = P.tesseract_recogniser,
+                  client_factory: Callable | None = None,
+                  options: JobOptions | None = None) -> dict[str, str]:
+    """Process the files of `files` (binaryFile rows) not seen before.
+
+    Each stage works on what is in its input store and not yet in its output
+    store, and appends: a rerun after a failure, or a later batch, never
+    decodes a page or calls the model again for a content it already has.
     """
     o = options or JobOptions()
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(o.file_batch_rows))
     n = o.partitions or spark.sparkContext.defaultParallelism
+    st = {k: _path(out_dir, k) for k in
+          ("file_index", "page_text", "responses", "records", "file_metrics")}
 
-    # 1. files and their content keys (bytes are read and hashed where they are)
-    scan = S.scan_files(spark, input_dir, o.extensions)
+    # 1. new files and their content keys (bytes hashed where they are read)
     if o.selection is not None:
-        scan = S.select_files(scan.withColumn("name", S.file_name(F.col("path"))), o.selection, "name").drop("name")
-    keyed = S.with_content_key(scan).select("path", "length", "content_sha")
-    reps = S.unique_contents(keyed, "path").select("content_sha", F.col("first_path").alias("rep_path"))
-
-    # 2. contents not seen by an earlier run
-    page_store = _path(out_dir, "page_text")
-    todo = reps
-    if _exists(spark, page_store):
-        todo = reps.join(spark.read.parquet(page_store).select("content_sha").distinct(),
-                         "content_sha", "left_anti")
-
-    # 3. page job over one file per new content
-    src = (scan.join(todo.select(F.col("rep_path").alias("path"), "content_sha"), "path", "inner")
-               .repartition(n, "path"))
+        files = S.select_files(files.withColumn("name", S.file_name(F.col("path"))),
+                               o.selection, "name").drop("name")
+    keyed = S.with_content_key(files).select("path", "length", "content_sha")
+    new_files = _anti(keyed, spark, st["file_index"], ["path", "content_sha"])
+    # materialised once: hashing reads every byte, and the set is used below
+    run_dir = _path(out_dir, "_runs/" + uuid.uuid4().hex)
+    new_files.write.mode("overwrite").parquet(run_dir + "/new_files")
+    new_files = spark.read.parquet(run_dir + "/new_files")
+
+    # 2. page job over one file per content without stored pages
+    reps = S.unique_contents(new_files, "path").select("content_sha", F.col("first_path").alias("path"))
+    todo = _anti(reps, spark, st["page_text"], "content_sha")
+    src = files.join(todo, "path", "inner").repartition(n, "path")
     pages = P.page_job(src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi)
-    pages = pages.join(todo.select(F.col("rep_path").alias("path"), "content_sha"), "path")
-    pages.write.mode("append").parquet(page_store)
-    stored = spark.read.parquet(page_store)
-
-    # 4. text per content, prompts, model or rules
-    ok_pages = stored.filter(F.col("page_no").isNotNull())
-    text = P.join_pages(ok_pages, key="content_sha", block_pages=o.block_pages)
-    failed = (stored.groupBy("content_sha")
-                    .agg(F.max(F.when(F.col("page_no").isNull(), F.col("error"))).alias("file_error")))
+    pages.join(todo, "path").write.mode("append").parquet(st["page_text"])
+
+    # 3. responses for contents without a stored response
+    wanted = new_files.select("content_sha").distinct()
+    need = _anti(wanted, spark, st["responses"], "content_sha")
+    stored = spark.read.parquet(st["page_text"]).join(need, "content_sha", "left_semi")
+    text = P.join_pages(stored.filter(F.col("page_no").isNotNull()), key="content_sha",
+                        block_pages=o.block_pages)
+    failed = stored.groupBy("content_sha").agg(
+        F.max(F.when(F.col("page_no").isNull(), F.col("error"))).alias("file_error"))
     text = text.join(failed, "content_sha", "right")
     hint = PR.hint_value(o.currency_hint)
-    resp_store = _path(out_dir, "responses")
     if client_factory is None:
         responses = text.select("content_sha", M.rule_response(F.col("raw_text"), hint).alias("response"),
                                 F.col("file_error").alias("error"))
@@ -119,32 +131,48 @@ def run_invoice_job(spark: SparkSession, input_dir: str, out_dir: str,
         unread = text.filter(F.col("raw_text").isNull()).select(
             "content_sha", F.lit(None).cast("string").alias("response"), F.col("file_error").alias("error"))
         responses = responses.unionByName(unread)
-    responses = M.store_responses(responses, resp_store)
-
-    # 5. repair + validate once per content, then every copy gets its record
-    records = extract_records(responses, strict_alias=o.strict_alias)
-    files = keyed.select("path", "content_sha")
-    all_records = files.join(records, "content_sha", "inner")
-    rec_store = _path(out_dir, "records")
-    all_records.write.mode("overwrite").parquet(rec_store)
-    all_records = spark.read.parquet(rec_store)
-
-    # 6. tables and files
-    paths = writers.write_tables(all_records, out_dir)
+    responses.write.mode("append").parquet(st["responses"])
+
+    # 4. repair + validate once per content; every new file gets its record
+    resp = spark.read.parquet(st["responses"]).join(wanted, "content_sha", "left_semi")
+    records = new_files.select("path", "content_sha").join(
+        extract_records(resp, strict_alias=o.strict_alias), "content_sha", "inner")
+    records.write.mode("overwrite").parquet(run_dir + "/records")
+    batch = spark.read.parquet(run_dir + "/records")
+
+    # 5. tables, files and metrics (appended), then the file index
+    paths = writers.write_tables(batch, out_dir, mode="append")
     paths["flat_csv"] = writers.write_flat_csv(
-        reshape.flat_table(all_records).withColumn("stem", writers.stem(F.col("path"))),
-        _path(out_dir, "invoice_flat_csv"))
-    paths["json"] = writers.write_records_json(all_records, _path(out_dir, "invoice_json"))
-    meta = S.file_metadata(scan.select("path", "length"))
-    counts = P.page_counts(stored, "content_sha")
-    metrics = (meta.join(keyed.select("path", "content_sha"), "path")
-                   .join(counts, "content_sha", "left")
-                   .join(reshape.kpis(all_records).drop("content_sha"), "path", "left")
-                   .join(all_records.select("path", "json_status", "valid"), "path", "left")
-                   .withColumn("file_type", F.when(F.col("pages").isNull(), F.lit("Unknown"))
-                               .otherwise(F.col("file_type"))))
-    m = _path(out_dir, "file_metrics")
-    metrics.write.mode("overwrite").parquet(m)
-    paths.update({"page_text": page_store, "responses": resp_store, "records": rec_store,
-                  "file_metrics": m})
+        reshape.flat_table(batch).withColumn("stem", writers.stem(F.col("path"))),
+        _path(out_dir, "invoice_flat_csv"), mode="append")
+    paths["json"] = writers.write_records_json(batch, _path(out_dir, "invoice_json"), mode="append")
+    counts = P.page_counts(spark.read.parquet(st["page_text"]).join(wanted, "content_sha", "left_semi"),
+                           "content_sha")
+    metrics = (S.file_metadata(new_files.select("path", "length"))
+               .join(new_files.select("path", "content_sha"), "path")
+               .join(counts, "content_sha", "left")
+               .join(reshape.kpis(batch).drop("content_sha"), "path", "left")
+               .join(batch.select("path", "json_status", "valid"), "path", "left")
+               .withColumn("file_type", F.when(F.col("pages").isNull(), F.lit("Unknown"))
+                           .otherwise(F.col("file_type"))))
+    metrics.write.mode("append").parquet(st["file_metrics"])
+    batch.write.mode("append").parquet(st["records"])
+    new_files.write.mode("append").parquet(st["file_index"])
+    paths.update(st)
     return paths
+
+
+def run_invoice_job(spark: SparkSession, input_dir: str, out_dir: str,
+                    decoder_factory: Callable = P.raster_decoder,
+                    recogniser_factory: Callable = P.tesseract_recogniser,
+                    client_factory: Callable | None = None,
+                    options: JobOptions | None = None) -> dict[str, str]:
+    """Run the batch over a folder; returns the paths of the written tables.
+    Files already processed by an earlier run are skipped.
+
+    Without `client_factory` the rule extractor reads the fields (offline).
+    """
+    o = options or JobOptions()
+    scan = S.scan_files(spark, input_dir, o.extensions)
+    return process_files(spark, scan, out_dir, decoder_factory, recogniser_factory,
+                         client_factory, o)

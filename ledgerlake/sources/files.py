@@ -37,12 +37,15 @@ def scan_files(spark: SparkSession, path: str, extensions=None,
     return r.load(path)
 
 
-def stream_files(spark: SparkSession, path: str, extensions=None) -> DataFrame:
+def stream_files(spark: SparkSession, path: str, extensions=None,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
     """The same scan as a stream over a landing folder."""
-    return (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-            .option("pathGlobFilter", extension_glob(extensions))
-            .option("recursiveFileLookup", "true")
-            .load(path))
+    r = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+         .option("pathGlobFilter", extension_glob(extensions))
+         .option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return r.load(path)
 
 
 def file_name(path: Column) -> Column:
