@@ -157,3 +157,48 @@ def item_fit(x: Column) -> Column:
 
 def all_of(cols) -> Column:
     return _all(cols)
+
+
+# --- fast path ----------------------------------------------------------------
+# Most model answers already have every field in its JSON type.  For those,
+# one schema string decides validity and one typed cast reads the values;
+# only the other records go through the per-field path.  The schema string
+# merges array elements, which hides JSON nulls among the items (a null item,
+# a null description); those two cases are checked on the item structs.
+
+_NUM_T = r"(?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)|VOID)"
+
+
+def _fast_schema_regex(string_keys, double_keys) -> str:
+    item = ("(?:description: STRING|(?:quantity|unit_price|amount): " + _NUM_T + ")")
+    # ARRAY<VOID> is [] (or [null, ...], which the hidden-null check rejects)
+    items = r"(?:ARRAY<VOID>|ARRAY<OBJECT<(?:" + item + r"(?:, " + item + r")*)?>>)"
+    field = ("(?:(?:" + "|".join(sorted(string_keys)) + "): (?:STRING|VOID)"
+             "|(?:" + "|".join(sorted(double_keys)) + "): " + _NUM_T +
+             "|line_items: " + items + ")")
+    return r"^OBJECT<(?:" + field + r"(?:, " + field + r")*)?>$"
+
+
+def fast_type(string_keys, double_keys) -> str:
+    """Target type of the typed cast of a fast-path record."""
+    cols = [f"`{k}`:string" for k in string_keys] + [f"`{k}`:double" for k in double_keys]
+    cols.append("line_items:array<struct<description:string,quantity:double,"
+                "unit_price:double,amount:double>>")
+    return "struct<" + ",".join(cols) + ">"
+
+
+def fast_ok(raw: Column, string_keys, double_keys) -> Column:
+    """Whether a record can be read by the typed cast alone."""
+    sch = F.schema_of_variant(raw)
+    shape = F.coalesce(sch.rlike(_fast_schema_regex(string_keys, double_keys)), F.lit(False))
+    descs = F.try_variant_get(raw, "$.line_items", "array<struct<description:variant>>")
+    no_hidden_null = F.coalesce(F.forall(descs, lambda x: x.isNotNull()
+                                         & ~F.coalesce(F.is_variant_null(x["description"]), F.lit(False))),
+                                F.lit(True))
+    return shape & no_hidden_null
+
+
+def fast_items(items: Column) -> Column:
+    return F.transform(items, lambda x: F.struct(
+        F.coalesce(x["description"], F.lit("")).alias("description"),
+        *[finite(x[k]).alias(k) for k in _ITEM_FLOATS]))
