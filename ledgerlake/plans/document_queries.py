@@ -180,9 +180,11 @@ def binary_scan(spark, sf_dir):
     stand-in decoder and recogniser, page counts and joined text."""
     configure(spark)
     files = S.scan_files(spark, sf_dir, extensions=["parquet"])
-    files = files.repartition(spark.sparkContext.defaultParallelism, "path")
+    # lineitem.parquet holds most of the bytes: its pages are cut into ranges
+    # so that it does not land on one task.
     pages = P.page_job(files, P.chunk_decoder, P.digest_recogniser, lang="eng",
-                       kind=F.lit("pdf"))
+                       kind=F.lit("pdf"), pages_per_task=16,
+                       partitions=spark.sparkContext.defaultParallelism)
     pages, _ = P.with_progress(pages)
     text = P.join_pages(pages.filter(F.col("page_no").isNotNull()))
     counts = P.page_counts(pages)

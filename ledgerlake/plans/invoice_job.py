@@ -51,6 +51,7 @@ class JobOptions:
     block_pages: int = 256
     file_batch_rows: int = 16           # Arrow batch rows for frames with file bytes
     partitions: int | None = None       # tasks for the page job (default: parallelism)
+    pages_per_task: int | None = None   # split long documents into page ranges
     selection: DataFrame | None = field(default=None, repr=False)  # file names to process
 
 
@@ -106,8 +107,11 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str,
     # 2. page job over one file per content without stored pages
     reps = S.unique_contents(new_files, "path").select("content_sha", F.col("first_path").alias("path"))
     todo = _anti(reps, spark, st["page_text"], "content_sha")
-    src = files.join(todo, "path", "inner").repartition(n, "path")
-    pages = P.page_job(src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi)
+    src = files.join(todo, "path", "inner")
+    if not o.pages_per_task:
+        src = src.repartition(n, "path")
+    pages = P.page_job(src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi,
+                       pages_per_task=o.pages_per_task, partitions=n)
     pages.join(todo, "path").write.mode("append").parquet(st["page_text"])
 
     # 3. responses for contents without a stored response

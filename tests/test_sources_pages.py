@@ -87,3 +87,22 @@ def test_preview(spark):
 
 def test_extension_glob():
     assert S.extension_glob(["pdf"]) == "*.{[pP][dD][fF]}"
+
+
+def test_page_ranges_split_long_document(spark, tmp_path):
+    d = str(tmp_path)
+    pages = [f"page {i} é" for i in range(1, 11)]
+    _write(d, "long.pdf", "\f".join(pages).encode())
+    _write(d, "short.pdf", b"only")
+    _write(d, "bad.pdf", b"\xff\xfe")
+    files = S.scan_files(spark, d)
+    out = P.page_job(files, P.text_decoder, P.identity_recogniser, pages_per_task=3, partitions=4)
+    rows = out.collect()
+    long_rows = sorted((r.page_no, r.page_text) for r in rows if r.path.endswith("long.pdf"))
+    assert long_rows == [(i, f"page {i} é") for i in range(1, 11)]
+    assert [(r.page_no, r.page_text) for r in rows if r.path.endswith("short.pdf")] == [(1, "only")]
+    bad = [r for r in rows if r.path.endswith("bad.pdf")]
+    assert len(bad) == 1 and bad[0].error.startswith("decode:")
+    text = {r.path.rsplit("/", 1)[1]: r.raw_text
+            for r in P.join_pages(out.filter(F.col("page_no").isNotNull()), block_pages=4).collect()}
+    assert text["long.pdf"] == "\n".join(pages)
