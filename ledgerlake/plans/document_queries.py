@@ -200,7 +200,9 @@ def export_tables(spark, sf_dir):
     back."""
     configure(spark)
     out = os.path.join(checkpoint_dir(spark), "exports", uuid.uuid4().hex)
-    records = extract_records(TB.clean_responses(spark, sf_dir))
+    # written once, then every sink reads the stored records
+    extract_records(TB.clean_responses(spark, sf_dir)).write.parquet(out + "/records")
+    records = spark.read.parquet(out + "/records")
     paths = writers.write_tables(records, out)
     writers.write_flat_csv(reshape.flat_table(records, with_line_no=True), out + "/invoice_flat_csv")
     writers.write_records_json(records, out + "/invoice_json")
