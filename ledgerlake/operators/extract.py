@@ -58,44 +58,43 @@ def _s(k):
     return _TMP + "s_" + k
 
 
-def validate_records(df: DataFrame, strict_alias: bool = False,
-                     raw: str = "raw") -> DataFrame:
-    """Add `valid`, the typed `invoice` struct and `extras` (the whole raw
-    value of an invalid record, NULL otherwise).
+_PLANS: dict = {}
 
-    With `strict_alias=False` (default) the tax ids are read under their alias
-    key and under their field name (alias first); `strict_alias=True` reads
-    the alias key only.  A record whose model call failed (`api_error`) is not
-    validated: `valid` is false.
-    """
+
+def _validation_stages(strict_alias: bool, raw: str, has_status: bool) -> list[dict]:
+    """The projections of `validate_records`, as lists of named columns.
+
+    They are unresolved, name-based expressions, so they are built once per
+    option set and reused by every frame (building them is hundreds of JVM
+    calls)."""
     header = [n for n, _ in HEADER_FIELDS]
     doubles = [n for n, k in HEADER_FIELDS if k == "double"]
     scalars = header + list(FIELD_ALIASES.values())
-    col = F.col
     strings = [n for n, k in HEADER_FIELDS if k == "string"] + list(FIELD_ALIASES.values())
+    col = F.col
+    fast, typed, obj = _TMP + "fast", _TMP + "typed", _TMP + "obj"
+    stages = []
     # 0: fast path -- every known field already in its JSON type.
-    fast, typed = _TMP + "fast", _TMP + "typed"
-    s0 = df.withColumn(fast, V.fast_ok(col(raw), strings, doubles))
-    s0 = s0.withColumn(typed, F.when(col(fast), F.try_variant_get(
-        col(raw), "$", V.fast_type(strings, doubles))))
-    # 1: other records read once as a struct of variants (NULL: not an object).
-    obj = _TMP + "obj"
-    s1 = s0.withColumn(obj, F.when(~col(fast), F.try_variant_get(
-        col(raw), "$", V.object_fields_type(scalars + ["line_items"]))))
+    stages.append({fast: V.fast_ok(col(raw), strings, doubles)})
+    stages.append({
+        typed: F.when(col(fast), F.try_variant_get(col(raw), "$", V.fast_type(strings, doubles))),
+        # 1: other records read once as a struct of variants (NULL: not an object).
+        obj: F.when(~col(fast), F.try_variant_get(
+            col(raw), "$", V.object_fields_type(scalars + ["line_items"]))),
+    })
     # 2: member types; the item list as an array of item structs.
     li = col(obj + ".line_items")
-    s2 = s1.select("*", *[col(f"{obj}.`{k}`").alias(_v(k)) for k in scalars],
-                   *[V.vtype(col(f"{obj}.`{k}`")).alias(_t(k)) for k in scalars],
-                   F.try_variant_get(li, "$", V.ITEM_VARIANTS).alias(_TMP + "ie"),
-                   F.when(li.isNull(), F.lit(None))
-                    .when(F.is_variant_null(li), F.lit("VOID")).alias(_TMP + "li0"))
-    s2 = s2.select("*", *[V.text_of(col(_v(k)), col(_t(k))).alias(_s(k)) for k in doubles],
-                   F.when(col(_TMP + "ie").isNotNull(), F.lit("ARRAY"))
-                    .when(li.isNotNull(), F.coalesce(col(_TMP + "li0"), F.lit("OTHER")))
-                    .alias(_t("line_items")))
-    # 3: item fields typed.
-    s4 = s2.withColumn(_TMP + "it", F.transform(col(_TMP + "ie"), V.item_typed))
-    # 5: per-field checks and the record flag.
+    st2 = {_v(k): col(f"{obj}.`{k}`") for k in scalars}
+    st2.update({_t(k): V.vtype(col(f"{obj}.`{k}`")) for k in scalars})
+    st2[_TMP + "ie"] = F.try_variant_get(li, "$", V.ITEM_VARIANTS)
+    st2[_TMP + "li0"] = F.when(li.isNull(), F.lit(None)).when(F.is_variant_null(li), F.lit("VOID"))
+    stages.append(st2)
+    st3 = {_s(k): V.text_of(col(_v(k)), col(_t(k))) for k in doubles}
+    st3[_t("line_items")] = (F.when(col(_TMP + "ie").isNotNull(), F.lit("ARRAY"))
+                             .when(li.isNotNull(), F.coalesce(col(_TMP + "li0"), F.lit("OTHER"))))
+    st3[_TMP + "it"] = F.transform(col(_TMP + "ie"), V.item_typed)
+    stages.append(st3)
+    # 4: per-field checks and the record flag.
     checks = [col(obj).isNotNull()]
     good, fit = {}, {}
     for n, kind in HEADER_FIELDS:
@@ -122,10 +121,10 @@ def validate_records(df: DataFrame, strict_alias: bool = False,
     items_t = col(_t("line_items"))
     checks.append(items_t.isNull()
                   | ((items_t == "ARRAY") & F.coalesce(F.forall(it, V.item_ok), F.lit(False))))
-    api_error = (col("json_status") == "api_error") if "json_status" in df.columns else F.lit(False)
-    s5 = s4.withColumn("valid", F.when(api_error, F.lit(False))
-                       .when(col(fast), F.lit(True)).otherwise(V.all_of(checks)))
-    # 6: the record.
+    api_error = (col("json_status") == "api_error") if has_status else F.lit(False)
+    stages.append({"valid": F.when(api_error, F.lit(False))
+                   .when(col(fast), F.lit(True)).otherwise(V.all_of(checks))})
+    # 5: the record.
     none = F.array().cast(V.ITEMS_TYPE)
     valid = col("valid")
     for n in FIELD_ALIASES:
@@ -145,9 +144,32 @@ def validate_records(df: DataFrame, strict_alias: bool = False,
             t_val = V.finite(t_val) if kind == "double" else t_val
             value = F.when(col(fast), t_val).when(valid, good[n]).otherwise(fit[n])
         fields.append(value.alias(n))
-    s6 = (s5.withColumn("invoice", F.struct(*fields))
-            .withColumn("extras", F.when(~valid, col(raw))))
-    return _drop_tmp(s6)
+    stages.append({"invoice": F.struct(*fields), "extras": F.when(~valid, col(raw))})
+    return stages
+
+
+def validate_records(df: DataFrame, strict_alias: bool = False,
+                     raw: str = "raw") -> DataFrame:
+    """Add `valid`, the typed `invoice` struct and `extras` (the whole raw
+    value of an invalid record, NULL otherwise).
+
+    With `strict_alias=False` (default) the tax ids are read under their alias
+    key and under their field name (alias first); `strict_alias=True` reads
+    the alias key only.  A record whose model call failed (`api_error`) is not
+    validated: `valid` is false.
+
+    Records whose known fields already have their JSON types take a fast
+    path (one schema string, one typed cast); the others are read field by
+    field.  Each stage is one projection.
+    """
+    has_status = "json_status" in df.columns
+    key = (df.sparkSession.sparkContext.applicationId, strict_alias, raw, has_status)
+    if key not in _PLANS:
+        _PLANS[key] = _validation_stages(strict_alias, raw, has_status)
+    out = df
+    for stage in _PLANS[key]:
+        out = out.withColumns(stage)
+    return _drop_tmp(out)
 
 
 def extract_records(df: DataFrame, strict_alias: bool = False,

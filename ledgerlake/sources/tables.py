@@ -46,8 +46,21 @@ PROSE_HEAD = "Here is the extracted invoice:\n"
 PROSE_TAIL = "\nLet me know if anything is missing."
 
 
+_FRAMES: dict = {}
+
+
+def _memo(spark: SparkSession, key, build):
+    """Lazy frames are plans, not data: building one lists files and reads
+    footers on the driver, so each is built once per application."""
+    k = (spark.sparkContext.applicationId,) + key
+    if k not in _FRAMES:
+        _FRAMES[k] = build()
+    return _FRAMES[k]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def invoice_path(orderkey: Column) -> Column:
@@ -85,6 +98,10 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoice_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: `o_orderkey`, `path` and one column per invoice
     field (canonical types)."""
+    return _memo(spark, ("invoice_columns", sf_dir), lambda: _invoice_columns(spark, sf_dir))
+
+
+def _invoice_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_order = _order_lines(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
