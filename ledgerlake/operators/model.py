@@ -26,25 +26,47 @@ Client = Callable[[str], str]
 
 def model_job(prompts: DataFrame, client_factory: Callable[[], Client],
               key: str = "path", prompt: str = "prompt",
-              on_error: str = "empty") -> DataFrame:
-    """(key, response, error) for every prompt."""
+              on_error: str = "empty", concurrency: int = 1,
+              retries: int = 0, backoff_sec: float = 1.0) -> DataFrame:
+    """(key, response, error) for every prompt.
+
+    Calls are latency-bound, so a task may keep up to `concurrency` calls in
+    flight (threads over one client); a failed call is retried `retries`
+    times with exponential backoff before it becomes an `error` (or, with
+    `on_error='fail'`, fails the task and so the job).
+    """
     if on_error not in ("empty", "fail"):
         raise ValueError("on_error must be 'empty' or 'fail'")
     src = prompts.select(F.col(key).alias("_key"), F.col(prompt).alias("_prompt"))
     schema = f"_key {prompts.schema[key].dataType.simpleString()}, response string, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+        from concurrent.futures import ThreadPoolExecutor
+
         client = client_factory()
-        for pdf in batches:
-            responses, errors = [], []
-            for p in pdf["_prompt"]:
+
+        def one(p):
+            for attempt in range(retries + 1):
                 try:
-                    responses.append(client(p)); errors.append(None)
+                    return client(p), None
                 except Exception as e:  # noqa: BLE001
-                    if on_error == "fail":
-                        raise
-                    responses.append(None); errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"_key": pdf["_key"], "response": responses, "error": errors})
+                    if attempt == retries:
+                        if on_error == "fail":
+                            raise
+                        return None, f"{type(e).__name__}: {e}"
+                    time.sleep(backoff_sec * (2 ** attempt))
+
+        pool = ThreadPoolExecutor(concurrency) if concurrency > 1 else None
+        try:
+            for pdf in batches:
+                results = list(pool.map(one, pdf["_prompt"]) if pool else map(one, pdf["_prompt"]))
+                yield pd.DataFrame({"_key": pdf["_key"],
+                                    "response": [r for r, _ in results],
+                                    "error": [e for _, e in results]})
+        finally:
+            if pool:
+                pool.shutdown()
 
     return src.mapInPandas(run, schema).withColumnRenamed("_key", key)
 

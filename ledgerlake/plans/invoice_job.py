@@ -52,6 +52,8 @@ class JobOptions:
     file_batch_rows: int = 16           # Arrow batch rows for frames with file bytes
     partitions: int | None = None       # tasks for the page job (default: parallelism)
     pages_per_task: int | None = None   # split long documents into page ranges
+    model_concurrency: int = 1          # calls in flight per task
+    model_retries: int = 0              # retries per call, exponential backoff
     selection: DataFrame | None = field(default=None, repr=False)  # file names to process
 
 
@@ -131,7 +133,8 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str,
         build = PR.json_prompt if o.prompt_style == "json" else PR.plain_prompt
         prompts = text.filter(F.col("raw_text").isNotNull()).select(
             "content_sha", build(F.col("raw_text"), hint).alias("prompt"))
-        responses = M.model_job(prompts, client_factory, key="content_sha", on_error=o.on_error)
+        responses = M.model_job(prompts, client_factory, key="content_sha", on_error=o.on_error,
+                                concurrency=o.model_concurrency, retries=o.model_retries)
         unread = text.filter(F.col("raw_text").isNull()).select(
             "content_sha", F.lit(None).cast("string").alias("response"), F.col("file_error").alias("error"))
         responses = responses.unionByName(unread)

@@ -79,3 +79,40 @@ def test_normalisers(spark):
 def test_grounded(spark):
     df = spark.createDataFrame([("Steel Bolt", INVOICE_TEXT), ("Washer", INVOICE_TEXT)], "d string, t string")
     assert [r.g for r in df.select(M.grounded(F.col("d"), F.col("t")).alias("g")).collect()] == [True, False]
+
+
+def test_model_job_concurrency_retries_and_fail(spark):
+    import pytest
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "k long, prompt string")
+
+    def flaky_factory():
+        seen = {}
+
+        def call(p):
+            seen[p] = seen.get(p, 0) + 1
+            if seen[p] == 1 and int(p[1:]) % 2 == 0:
+                raise ConnectionError("first try fails")
+            return p.upper()
+        return call
+    out = {r.k: r for r in M.model_job(prompts, flaky_factory, key="k", concurrency=4,
+                                       retries=1, backoff_sec=0.01).collect()}
+    assert all(out[i].response == f"P{i}" and out[i].error is None for i in range(20))
+    no_retry = {r.k: r for r in M.model_job(prompts, flaky_factory, key="k", concurrency=4).collect()}
+    assert no_retry[2].error.startswith("ConnectionError") and no_retry[3].response == "P3"
+
+    def broken():
+        def call(p):
+            raise RuntimeError("down")
+        return call
+    with pytest.raises(Exception):
+        M.model_job(prompts, broken, key="k", on_error="fail").collect()
+
+
+def test_pretty_json(spark):
+    from helpers import responses
+    from ledgerlake.sinks import writers
+    recs = extract_records(responses(spark, ['{"vendor_name": "Vé", "total": 1}']))
+    text = writers.pretty_json(recs).collect()[0].json
+    assert "\n" in text
+    parsed = json.loads(text)
+    assert parsed["vendor_name"] == "Vé" and parsed["total"] == 1.0 and parsed["notes"] is None
