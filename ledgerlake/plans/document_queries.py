@@ -105,7 +105,7 @@ def rule_extract(spark, sf_dir):
             "buyer_gstin", "currency", "subtotal", "tax_percent", "tax_amount", "total"]
     return ex.select("path", *[F.col("invoice." + c).alias(c) for c in head],
                      *[F.col("_item." + c).alias(c) for c in FLAT_ITEM_ORDER],
-                     (F.col("_pos") + 1).alias("line_no"))
+                     F.coalesce(F.col("_pos") + 1, F.lit(0)).alias("line_no"))
 
 
 def normalise(spark, sf_dir):
@@ -207,7 +207,8 @@ def export_tables(spark, sf_dir):
     writers.write_flat_csv(reshape.flat_table(records, with_line_no=True), out + "/invoice_flat_csv")
     writers.write_records_json(records, out + "/invoice_json")
     back = spark.read.parquet(paths["invoice_flat"])
-    return back.select("path", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, "line_no")
+    return back.select("path", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER,
+                       F.coalesce(F.col("line_no"), F.lit(0)).alias("line_no"))
 
 
 QUERIES = {
@@ -270,7 +271,7 @@ FROM documents""",
 SELECT i.path, i.vendor_name, i.vendor_gstin, i.invoice_number, i.invoice_date, i.buyer_name,
   i.buyer_gstin, i.currency, i.subtotal, i.tax_percent, i.tax_amount, i.total,
   l.p_name AS description, l.l_quantity AS quantity, l.p_retailprice AS unit_price,
-  l.l_extendedprice AS amount, CAST(l.line_no AS INTEGER) AS line_no
+  l.l_extendedprice AS amount, CAST(coalesce(l.line_no, 0) AS INTEGER) AS line_no
 FROM inv i LEFT JOIN lines l ON l.l_orderkey = i.o_orderkey""",
         "normalise": _WITH + """
 SELECT i.path, i.subtotal, i.tax_percent, i.invoice_date, i.buyer_address,

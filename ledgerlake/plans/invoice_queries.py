@@ -27,10 +27,15 @@ def _damaged(spark: SparkSession, sf_dir: str, strict_alias: bool = False) -> Da
     return extract_records(damaged_responses(spark, sf_dir), strict_alias=strict_alias)
 
 
+def _line_no():
+    """Item number, 0 on the header-only row of a record without items."""
+    return F.coalesce(F.col("line_no"), F.lit(0)).alias("line_no")
+
+
 def flat_rows(spark, sf_dir):
     """Clean records -> one row per item, header repeated."""
     fl = reshape.flat_table(_clean(spark, sf_dir), with_line_no=True)
-    return fl.select("path", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, "line_no")
+    return fl.select("path", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, _line_no())
 
 
 def header_fields(spark, sf_dir):
@@ -57,7 +62,7 @@ def repair_status(spark, sf_dir):
 def repaired_flat(spark, sf_dir):
     """Damaged responses all the way to flat rows."""
     fl = reshape.flat_table(_damaged(spark, sf_dir), with_line_no=True)
-    return fl.select("path", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, "line_no",
+    return fl.select("path", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, _line_no(),
                      F.col("extras").isNotNull().alias("has_extras"))
 
 

@@ -80,7 +80,7 @@ def _damaged_header_cols() -> str:
 
 
 _ITEM_COLS = ("l.p_name AS description, l.l_quantity AS quantity, "
-              "l.p_retailprice AS unit_price, l.l_extendedprice AS amount, CAST(l.line_no AS INTEGER) AS line_no")
+              "l.p_retailprice AS unit_price, l.l_extendedprice AS amount, CAST(coalesce(l.line_no, 0) AS INTEGER) AS line_no")
 
 _STATUS = ("CASE i.m WHEN 1 THEN 'sliced' WHEN 3 THEN 'sliced' WHEN 6 THEN 'empty' "
            "ELSE 'ok' END")
