@@ -143,11 +143,10 @@ def grounding(spark, sf_dir):
     """Is each extracted item present in the document text?  The text
     lists only every other item."""
     configure(spark)
-    texts = TB.invoice_texts(spark, sf_dir, odd_lines_only=True).select("path", "raw_text")
-    items = reshape.items_table(extract_records(TB.clean_responses(spark, sf_dir)), with_line_no=True)
-    return items.join(texts, "path").select(
-        "path", "line_no", "description",
-        M.grounded(F.col("description"), F.col("raw_text")).alias("grounded"))
+    recs = extract_records(TB.clean_responses_with_text(spark, sf_dir, odd_lines_only=True))
+    items = reshape.items_table(recs, keys=["path", "raw_text"], with_line_no=True)
+    return items.select("path", "line_no", "description",
+                        M.grounded(F.col("description"), F.col("raw_text")).alias("grounded"))
 
 
 def _stub_client():

@@ -205,11 +205,10 @@ def _qty(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0$", "")
 
 
-def invoice_texts(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False) -> DataFrame:
-    """(path, o_orderkey, raw_text): each derived invoice written out as text
-    in the layout the prompts show; with `odd_lines_only` only items 1, 3, 5,
-    ... are written (the others are then ungrounded)."""
-    inv = invoice_columns(spark, sf_dir)
+def invoice_text(odd_lines_only: bool = False) -> Column:
+    """The invoice fields of `invoice_columns` written out as text in the
+    layout the prompts show; with `odd_lines_only` only items 1, 3, 5, ...
+    are written (the others are then ungrounded)."""
     items = F.col("line_items")
     if odd_lines_only:
         items = F.filter(items, lambda x, i: i % 2 == 0)
@@ -217,7 +216,7 @@ def invoice_texts(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False
         F.lit("Item "), x["description"], F.lit(" "), _qty(x["quantity"]), F.lit(" x "),
         _money(x["unit_price"]), F.lit(" "), _money(x["amount"])))
     e = lambda c: F.coalesce(c, F.lit(""))
-    text = F.concat_ws(
+    return F.concat_ws(
         "\n",
         F.lit("INVOICE"),
         F.concat(F.lit("No: "), e(F.col("invoice_number"))),
@@ -229,7 +228,22 @@ def invoice_texts(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False
         F.concat(F.lit("GST "), e(F.col("tax_percent").cast("string")), F.lit("% "),
                  e(_money(F.col("tax_amount")))),
         F.concat(F.lit("Total "), e(F.col("currency")), F.lit(" "), e(_money(F.col("total")))))
-    return inv.select("path", "o_orderkey", text.alias("raw_text"))
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False) -> DataFrame:
+    """(path, o_orderkey, raw_text): each derived invoice written as text."""
+    inv = invoice_columns(spark, sf_dir)
+    return inv.select("path", "o_orderkey", invoice_text(odd_lines_only).alias("raw_text"))
+
+
+def clean_responses_with_text(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False) -> DataFrame:
+    """(path, response, error, raw_text): the plain JSON record and the
+    invoice text from the same row, so that checks between the two need no
+    join."""
+    inv = invoice_columns(spark, sf_dir)
+    return inv.select("path", F.to_json(invoice_struct()).alias("response"),
+                      F.lit(None).cast("string").alias("error"),
+                      invoice_text(odd_lines_only).alias("raw_text"))
 
 
 # --- documents as files -----------------------------------------------------------
