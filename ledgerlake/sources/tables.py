@@ -78,7 +78,10 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    lines = li.join(part, li.l_partkey == part.p_partkey, "left")
+    # Repartitioned by the grouping key: a partial collect_list does not
+    # shrink the data, so the one shuffle goes first and the array building
+    # runs after it on every task (the aggregate reuses this partitioning).
+    lines = li.join(part, li.l_partkey == part.p_partkey, "left").repartition("l_orderkey")
     # Items are ordered by every line column: (l_orderkey, l_linenumber) is
     # not unique, whole rows are.
     order_key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
