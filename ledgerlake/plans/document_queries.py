@@ -1,8 +1,8 @@
 """Registered queries for the document-side operators: sources, pages, text,
 prompts, rule extraction, normalisation, grounding, the model job, the
-binary scan and the exports.  `ORACLE` holds DuckDB SQL for each query whose
-answer SQL can state; the others are checked on row counts (and by tests
-against brute force on small fixtures).
+binary scan and the exports.  `oracle()` gives DuckDB SQL for each query
+whose answer SQL can state; binary_scan (file bytes through a Python
+decoder) is checked on row counts and by tests on small fixtures.
 """
 
 from __future__ import annotations
