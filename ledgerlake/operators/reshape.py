@@ -83,13 +83,22 @@ def items_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFra
 
 
 def double_text(c: Column) -> Column:
-    """Plain (non-exponent) text of a double for 1e-4 <= |x| < 1e16, as a
-    Python `str(float)` writes it; Spark's own text elsewhere."""
+    """Text of a double as Python's `str(float)` writes it: plain decimals for
+    1e-4 <= |x| < 1e16, else `1.5e-05` / `1e+16` (Spark writes `1.5E-5`,
+    and `1.23456789E7` where Python writes `12345678.9`)."""
     s = c.cast("string")
-    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,12)").cast("string"),
+    # 38 digits with 21 after the point hold 17 significant digits anywhere
+    # in [1e-4, 1e16); the digits are those of Spark's own text.
+    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,21)").cast("string"),
                                               "0+$", ""), r"\.$", ".0")
     in_range = (F.abs(c) >= F.lit(1e-4)) & (F.abs(c) < F.lit(1e16))
-    return F.when(s.contains("E") & in_range, plain).otherwise(s)
+    mant = F.regexp_replace(F.regexp_extract(s, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+    exp = F.regexp_extract(s, r"E(-?)([0-9]+)$", 2)
+    sign = F.when(F.regexp_extract(s, r"E(-?)", 1) == "-", F.lit("-")).otherwise(F.lit("+"))
+    sci = F.concat(mant, F.lit("e"), sign, F.lpad(exp, 2, "0"))
+    return (F.when(s.contains("E") & in_range, plain)
+             .when(s.contains("E"), sci)
+             .otherwise(s))
 
 
 def header_long(df: DataFrame, keys=None) -> DataFrame:
