@@ -57,7 +57,7 @@ _ONCE: dict = {}
 
 def once(kind: str, value, build):
     """build(value), kept in the Python worker until the same kind comes with another value."""
-    if kind not in _ONCE or _ONCE[kind][0] is not value:
+    if kind not in _ONCE or (_ONCE[kind][0] is not value and not (isinstance(value, str) and _ONCE[kind][0] == value)):
         _ONCE[kind] = (value, build(value))
     return _ONCE[kind][1]
 

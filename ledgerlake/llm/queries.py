@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam
-from .common import read
+from . import chat, decontam, langid, neardup, packing, pii, quality, tokencount, warc
+from .common import Store, read
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.filter("not held_out and doc_id is not null"))
+    return langid.identify(docs.drop("lang"), model).select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +25,48 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one more whose texts look like another template's control strings."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], turns.schema)
+    store = Store(spark, "chat-windows")
+    return chat.digest(store.write(chat.format_conversations(turns.unionByName(tricky)), "windows"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.quality_cascade(docs, report=quality.REPORT))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.token_counts(docs).select("doc_id", "n_tokens")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), store.path("archives"), store)
+    return warc.digest(warc.read_archives(spark, store.path("archives"), glob="part-*", payloads=False))
+
+
 QUERIES = {
+    "op1_language": op1_language,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_decontam": op4_decontam,
+    "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
+    "op7_chat": op7_chat,
+    "op8_quality": op8_quality,
+    "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }
 
 ORACLE = {}
@@ -39,3 +90,46 @@ SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, CAST(coalesce(n
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+ORACLE["op8_quality"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                  length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+           FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 7], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, g FROM win GROUP BY 1, 2 HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM win SEMI JOIN twice USING (doc_id, g)) GROUP BY 1),
+f AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+             len(list_filter(w, lambda x: strlen(x) > 100)) AS n_long
+      FROM d LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 5 * word_chars
+            OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_long > 20 * n_words) AS kept
+FROM f
+"""
+
+ORACLE["op2_near_duplicates"] = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, hash(array_to_string(w[s:s + least(3, len(w)) - 1], ' ')) AS g
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS s FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
+      JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, e2.b FROM reach JOIN e2 ON reach.r = e2.a),
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM comp LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE["op10_warc"] = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CAST(CASE WHEN original <> page_id THEN original END AS DOUBLE) AS refers_to
+FROM p LEFT JOIN o USING (payload_digest)
+"""
