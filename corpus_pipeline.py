@@ -11,25 +11,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import decontam
+from ledgerlake.llm import decontam, neardup, packing, pii, quality
 from ledgerlake.llm.common import Store, read
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects stay."""
+    return quality.quality_cascade(docs, out="__quality").filter("__quality.kept").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the
+    smallest id stays; documents without an id stay."""
+    found = neardup.near_duplicates(docs, words=5, num=80, den=100)
+    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage stay."""
     marked = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep_text=True)
     return marked.filter(F.col("contamination.n_hit") == 0).select(docs.columns)
 
 
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to their kinds in brackets; n_chars follows."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece of a training sequence."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_rules", keep_quality),
+    ("near_dedup", drop_near_duplicates),
     ("benchmark_decontamination", drop_contaminated),
+    ("pii", redact_pii),
+    ("packing", pack_sequences),
 ]
 
-# Models, random projections and a tokenizer decide the rows: not expressible in SQL.
+# Random projections and a tokenizer decide the rows: not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to `documents`; a stage's table is deleted once the next one's is written."""
     store = Store(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):

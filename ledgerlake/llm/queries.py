@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, pii, quality, tokencount, warc
+from . import chat, decontam, langid, neardup, packing, pii, quality, tokencount, urlfilter, warc
 from .common import Store, read
 
 
@@ -20,6 +20,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")))
@@ -60,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language": op1_language,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_url_filter": op3_url_filter,
     "op4_decontam": op4_decontam,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
@@ -133,3 +139,40 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN original <> page_id THE
        CAST(CASE WHEN original <> page_id THEN original END AS DOUBLE) AS refers_to
 FROM p LEFT JOIN o USING (payload_digest)
 """
+
+ORACLE["op3_url_filter"] = r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, regexp_replace(host || path, '[0-9]', '0', 'g') AS form, CASE
+        WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u),
+v AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled FROM r),
+f AS (SELECT form, count(*) FILTER (ruled = 'allow') AS wa, count(*) FILTER (ruled = 'block') AS wb, count(*) FILTER (ruled IS NULL) AS wo,
+             substr(md5(form), 1, 1) IN ('0', '1', '2') AS cal FROM v GROUP BY form),
+g AS (SELECT form, wa, wb, wo, cal, substr(chr(1) || chr(1) || chr(1) || form || chr(2), CAST(i AS BIGINT), 4) AS gram
+      FROM (SELECT *, unnest(range(1, length(form) + 2)) AS i FROM f)),
+c4 AS (SELECT gram, sum(wa) AS a, sum(wb) AS b FROM g WHERE NOT cal AND wa + wb > 0 GROUP BY 1),
+c AS (SELECT x, sum(a) AS a, sum(b) AS b FROM (SELECT unnest([right(gram, 1), right(gram, 2), right(gram, 3), gram]) AS x, a, b FROM c4) GROUP BY 1),
+k AS (SELECT left(x, length(x) - 1) AS ctx, sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM c GROUP BY 1),
+need AS (SELECT DISTINCT gram FROM g WHERE wo > 0 OR cal),
+l AS (SELECT gram, j, CAST(coalesce(a, 0) AS DOUBLE) AS a, CAST(coalesce(b, 0) AS DOUBLE) AS b, CAST(coalesce(na, 0) AS DOUBLE) AS na,
+             CAST(coalesce(nb, 0) AS DOUBLE) AS nb, CAST(coalesce(ta, 0) AS DOUBLE) AS ta, CAST(coalesce(tb, 0) AS DOUBLE) AS tb
+      FROM (SELECT gram, unnest([1, 2, 3, 4]) AS j FROM need) LEFT JOIN c ON x = right(gram, j) LEFT JOIN k ON ctx = left(right(gram, j), j - 1)),
+p1 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * (1.0 / 256)) / (na + ta) ELSE 1.0 / 256 END AS pa,
+              CASE WHEN nb > 0 THEN (b + tb * (1.0 / 256)) / (nb + tb) ELSE 1.0 / 256 END AS pb FROM l WHERE j = 1),
+p2 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+       FROM p1 JOIN l USING (gram) WHERE j = 2),
+p3 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+       FROM p2 JOIN l USING (gram) WHERE j = 3),
+p4 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa, CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+       FROM p3 JOIN l USING (gram) WHERE j = 4),
+s AS (SELECT form, any_value(wa) AS wa, any_value(cal) AS cal, round(avg(ln(pa) - ln(pb)), 9) AS score FROM g JOIN p4 USING (gram) WHERE wo > 0 OR cal GROUP BY form),
+bins AS (SELECT floor(score * 1000) AS bin, sum(wa) AS n FROM s WHERE cal AND wa > 0 GROUP BY 1),
+cum AS (SELECT bin, sum(n) OVER (ORDER BY bin) AS below, sum(n) OVER () AS total FROM bins),
+t AS (SELECT least(0.0, coalesce(min(bin) FILTER (below > 0.01 * total), 0) / 1000) AS threshold, (SELECT coalesce(sum(a), 0) > 0 AND coalesce(sum(b), 0) > 0 FROM c4) AS learned FROM cum)
+SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN learned AND score < threshold THEN 'block' ELSE 'allow' END AS verdict
+FROM v LEFT JOIN s USING (form), t
+"""

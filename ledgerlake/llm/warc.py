@@ -109,6 +109,8 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         if not colon:
             return None, at, "bad header line"
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if not headers.get("warc-type") or not headers.get("warc-record-id"):
+        return None, at, "no type or record id"
     length = headers.get("content-length", "")
     if not length.isdigit():
         return None, at, "no length"
