@@ -1,11 +1,13 @@
 """Opt-in cleaners for extracted values (N1, N2, N4, N5).  Off by default:
-validation rejects the raw forms these accept."""
+validation rejects the raw forms these accept (`clean=True` there lets N1 in)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import INVOICE_FIELDS
+
 # Date layouts tried in order; day/month order is explicit in each.
 DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy/MM/dd",
                 "dd.MM.yyyy", "yyyyMMdd"]
@@ -13,11 +15,16 @@ DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "MMM d, yyyy", "d MMMM yyyy", "yyyy/
 _CURRENCY_PREFIX = r"^\s*(?:[A-Z]{3}\s*|[$€£₹¥]\s*)?"
 
 
+def number_text(s: Column) -> Column:
+    """Amount text without its currency code or sign, thousands commas,
+    percent sign and spaces."""
+    return F.regexp_replace(F.regexp_replace(s, _CURRENCY_PREFIX, ""), r"[,%\s]", "")
+
+
 def clean_number(s: Column) -> Column:
     """Amount text with a currency code or sign, thousands commas, a percent
     sign or spaces -> double (N1)."""
-    core = F.regexp_replace(F.regexp_replace(s, _CURRENCY_PREFIX, ""), r"[,%\s]", "")
-    return core.try_cast("double")
+    return number_text(s).try_cast("double")
 
 
 def iso_date(s: Column, formats=None) -> Column:
@@ -36,3 +43,19 @@ def one_line_address(s: Column) -> Column:
 def unknown_to_null(s: Column) -> Column:
     """Blank text -> NULL."""
     return F.nullif(F.trim(s), F.lit(""))
+
+
+def clean_invoice(invoice: Column) -> Column:
+    """The string fields of a record cleaned: dates (kept as they are where no
+    layout fits), addresses, blanks (N2, N4, N5)."""
+    fields = []
+    for n, kind in INVOICE_FIELDS:
+        c = invoice[n]
+        if n.endswith("_date"):
+            c = F.coalesce(iso_date(c), unknown_to_null(c))
+        elif n.endswith("_address"):
+            c = F.nullif(one_line_address(c), F.lit(""))
+        elif kind == "string":
+            c = unknown_to_null(c)
+        fields.append(c.alias(n))
+    return F.when(invoice.isNotNull(), F.struct(*fields))

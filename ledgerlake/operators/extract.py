@@ -9,9 +9,12 @@ inlining them, which keeps both the plans and the per-row work small.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
 from ..functions import repair as R
 from ..functions import validate as V
 from ..schema import FIELD_ALIASES, HEADER_FIELDS
@@ -58,15 +61,14 @@ def _s(k):
     return _TMP + "s_" + k
 
 
-_PLANS: dict = {}
-
-
-def _validation_stages(strict_alias: bool, raw: str, has_status: bool) -> list[dict]:
+@lru_cache(maxsize=16)
+def _validation_stages(app: str, strict_alias, raw: str, has_status: bool, clean: bool) -> list[dict]:
     """The projections of `validate_records`, as lists of named columns.
 
-    They are unresolved, name-based expressions, so they are built once per
-    option set and reused by every frame (building them is hundreds of JVM
-    calls)."""
+    They are unresolved, name-based expressions that belong to no session or
+    table, so the few option sets are built once a JVM (`app`) and reused
+    (building them is hundreds of JVM calls)."""
+    cleaner = N.number_text if clean else None
     header = [n for n, _ in HEADER_FIELDS]
     doubles = [n for n, k in HEADER_FIELDS if k == "double"]
     scalars = header + list(FIELD_ALIASES.values())
@@ -89,25 +91,26 @@ def _validation_stages(strict_alias: bool, raw: str, has_status: bool) -> list[d
     st2[_TMP + "ie"] = F.try_variant_get(li, "$", V.ITEM_VARIANTS)
     st2[_TMP + "li0"] = F.when(li.isNull(), F.lit(None)).when(F.is_variant_null(li), F.lit("VOID"))
     stages.append(st2)
-    st3 = {_s(k): V.text_of(col(_v(k)), col(_t(k))) for k in doubles}
+    st3 = {_s(k): V.text_of(col(_v(k)), col(_t(k)), cleaner) for k in doubles}
     st3[_t("line_items")] = (F.when(col(_TMP + "ie").isNotNull(), F.lit("ARRAY"))
                              .when(li.isNotNull(), F.coalesce(col(_TMP + "li0"), F.lit("OTHER"))))
-    st3[_TMP + "it"] = F.transform(col(_TMP + "ie"), V.item_typed)
+    st3[_TMP + "it"] = F.transform(col(_TMP + "ie"), lambda x: V.item_typed(x, cleaner))
+    st3["n_items"] = F.coalesce(F.when(col(fast), F.size(col(typed + ".line_items"))).otherwise(F.size(col(_TMP + "ie"))),
+                                F.lit(0))
     stages.append(st3)
-    # 4: per-field checks and the record flag.
-    checks = [col(obj).isNotNull()]
-    good, fit = {}, {}
+    # 4: per-field checks and the record flag.  Strict reading of the tax ids
+    # looks at the alias key alone, so it only drops checks.
+    checks, own_checks = [col(obj).isNotNull()], []
+    good, good_strict, fit = {}, {}, {}
     for n, kind in HEADER_FIELDS:
         v, t = col(_v(n)), col(_t(n))
         if n in FIELD_ALIASES:
             a = FIELD_ALIASES[n]
             av, at = col(_v(a)), col(_t(a))
-            if strict_alias:
-                checks.append(V.string_ok(at))
-                good[n] = V.string_value(av, at)
-            else:
-                checks.append(V.string_ok(at) & V.string_ok(t))
-                good[n] = F.coalesce(V.string_value(av, at), V.string_value(v, t))
+            checks.append(V.string_ok(at))
+            own_checks.append(V.string_ok(t))
+            good_strict[n] = V.string_value(av, at)
+            good[n] = F.coalesce(good_strict[n], V.string_value(v, t))
             fit[n] = V.string_value(v, t)
         elif kind == "string":
             checks.append(V.string_ok(t))
@@ -122,15 +125,27 @@ def _validation_stages(strict_alias: bool, raw: str, has_status: bool) -> list[d
     checks.append(items_t.isNull()
                   | ((items_t == "ARRAY") & F.coalesce(F.forall(it, V.item_ok), F.lit(False))))
     api_error = (col("json_status") == "api_error") if has_status else F.lit(False)
-    stages.append({"valid": F.when(api_error, F.lit(False))
-                   .when(col(fast), F.lit(True)).otherwise(V.all_of(checks))})
+    stages.append({_TMP + "strict_ok": V.all_of(checks)})
+
+    def flag(ok):
+        return F.when(api_error, F.lit(False)).when(col(fast), F.lit(True)).otherwise(ok)
+
+    lax_ok = col(_TMP + "strict_ok") & V.all_of(own_checks)
+    flags = {"valid": flag(col(_TMP + "strict_ok") if strict_alias is True else lax_ok)}
+    if strict_alias == "both":
+        flags["valid_strict"] = flag(col(_TMP + "strict_ok"))
+    stages.append(flags)
     # 5: the record.
     none = F.array().cast(V.ITEMS_TYPE)
     valid = col("valid")
-    for n in FIELD_ALIASES:
-        a = col(f"{typed}.`{FIELD_ALIASES[n]}`")
-        good_fast = a if strict_alias else F.coalesce(a, col(f"{typed}.`{n}`"))
-        good[n] = F.when(col(fast), good_fast).otherwise(good[n])
+    both = {}
+    for n, alias in FIELD_ALIASES.items():
+        a = col(f"{typed}.`{alias}`")
+        strict = F.when(col(fast), a).otherwise(good_strict[n])
+        lax = F.when(col(fast), F.coalesce(a, col(f"{typed}.`{n}`"))).otherwise(good[n])
+        good[n] = strict if strict_alias is True else lax
+        if strict_alias == "both":
+            both[n + "_strict"] = F.when(col("valid_strict"), strict).otherwise(fit[n])
     fields = []
     for n, kind in HEADER_FIELDS:
         if n == "notes":
@@ -144,35 +159,36 @@ def _validation_stages(strict_alias: bool, raw: str, has_status: bool) -> list[d
             t_val = V.finite(t_val) if kind == "double" else t_val
             value = F.when(col(fast), t_val).when(valid, good[n]).otherwise(fit[n])
         fields.append(value.alias(n))
-    stages.append({"invoice": F.struct(*fields), "extras": F.when(~valid, col(raw))})
+    stages.append({"invoice": F.struct(*fields), "extras": F.when(~valid, col(raw)), **both})
     return stages
 
 
-def validate_records(df: DataFrame, strict_alias: bool = False,
-                     raw: str = "raw") -> DataFrame:
-    """Add `valid`, the typed `invoice` struct and `extras` (the whole raw
-    value of an invalid record, NULL otherwise).
+def validate_records(df: DataFrame, strict_alias: bool | str = False,
+                     raw: str = "raw", clean: bool = False) -> DataFrame:
+    """Add `valid`, the typed `invoice` struct, `n_items` and `extras` (the
+    whole raw value of an invalid record, NULL otherwise).
 
     With `strict_alias=False` (default) the tax ids are read under their alias
     key and under their field name (alias first); `strict_alias=True` reads
-    the alias key only.  A record whose model call failed (`api_error`) is not
-    validated: `valid` is false.
+    the alias key only; `strict_alias="both"` reads as by default and adds
+    `valid_strict` and `<tax id>_strict` in the same pass.  A record whose
+    model call failed (`api_error`) is not validated: `valid` is false.
+
+    With `clean=True` numbers in texts may carry currency signs and codes,
+    thousands commas and percent signs (N1), which the rules else reject.
 
     Records whose known fields already have their JSON types take a fast
     path (one schema string, one typed cast); the others are read field by
     field.  Each stage is one projection.
     """
-    has_status = "json_status" in df.columns
-    key = (df.sparkSession.sparkContext.applicationId, strict_alias, raw, has_status)
-    if key not in _PLANS:
-        _PLANS[key] = _validation_stages(strict_alias, raw, has_status)
+    app = df.sparkSession.sparkContext.applicationId
     out = df
-    for stage in _PLANS[key]:
+    for stage in _validation_stages(app, strict_alias, raw, "json_status" in df.columns, clean):
         out = out.withColumns(stage)
     return _drop_tmp(out)
 
 
-def extract_records(df: DataFrame, strict_alias: bool = False,
-                    response: str = "response", error: str | None = "error") -> DataFrame:
+def extract_records(df: DataFrame, strict_alias: bool | str = False, response: str = "response",
+                    error: str | None = "error", clean: bool = False) -> DataFrame:
     """repair + validate."""
-    return validate_records(repair_responses(df, response, error), strict_alias)
+    return validate_records(repair_responses(df, response, error), strict_alias, clean=clean)

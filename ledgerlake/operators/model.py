@@ -6,8 +6,8 @@ once per task; a failed call becomes an `error` (or fails the job with
 should be stored (`store_responses`) before anything downstream can re-plan
 and run them again.
 
-`rule_extract` is the offline extractor: native regular expressions for the
-layout the prompts show (number, date, vendor and buyer with tax ids, item
+`rule_extract` is the offline extractor: native regular expressions for one
+line layout, that of the derived invoice texts (number, date, vendor and buyer with tax ids, item
 lines `name qty x price amount`, subtotal, tax % and amount, currency and
 total).  It produces the same JSON text a model would, so it slots into the
 repair and validation stages unchanged.
@@ -83,7 +83,7 @@ def store_responses(responses: DataFrame, path: str | None = None) -> DataFrame:
 
 # --- rule-based extraction ------------------------------------------------------
 
-# The line layout the prompts' example shows.
+# The line layout that the rule extractor reads.
 _NUM = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
 RX_NUMBER = r"(?m)^No:[ \t]*(\S.*?)[ \t]*$"
 RX_DATE = r"(?m)^Date:[ \t]*(\S.*?)[ \t]*$"
@@ -113,14 +113,10 @@ def currency_code(text: Column, hint: Column | None = None) -> Column:
 
 def rule_extract(text: Column, hint: Column | None = None) -> Column:
     """Invoice struct (canonical fields and types) read from the text."""
-    items = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(RX_ITEM), 1).alias("d"),
-        F.regexp_extract_all(text, F.lit(RX_ITEM), 2).alias("q"),
-        F.regexp_extract_all(text, F.lit(RX_ITEM), 3).alias("u"),
-        F.regexp_extract_all(text, F.lit(RX_ITEM), 4).alias("a"))
-    line_items = F.transform(items, lambda x: F.struct(
-        x["d"].alias("description"), _num(x["q"]).alias("quantity"),
-        _num(x["u"]).alias("unit_price"), _num(x["a"]).alias("amount")))
+    # The text is searched once; the groups are then taken from each short line.
+    line_items = F.transform(F.regexp_extract_all(text, F.lit(RX_ITEM), 0), lambda line: F.struct(
+        F.regexp_extract(line, RX_ITEM, 1).alias("description"), _num(F.regexp_extract(line, RX_ITEM, 2)).alias("quantity"),
+        _num(F.regexp_extract(line, RX_ITEM, 3)).alias("unit_price"), _num(F.regexp_extract(line, RX_ITEM, 4)).alias("amount")))
     return F.struct(
         _grab(text, RX_VENDOR, 1).alias("vendor_name"),
         F.lit(None).cast("string").alias("vendor_address"),

@@ -11,48 +11,51 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import INVOICE_FIELDS
+from ..schema import INVOICE_FIELDS, ITEM_FIELDS
 
 INSTRUCTION = (
-    "Read the invoice text and fill the target schema as one JSON object. "
-    "Write amounts and quantities as numbers, dates as YYYY-MM-DD and the "
-    "three-letter currency code when the text shows one. Put null (or an "
-    "empty string) where the text does not say. Join address lines with "
-    "commas. List only items that appear in the text. Answer with the JSON "
-    "object and nothing else."
+    "You get the recognised text of one commercial invoice. Return a single JSON object with exactly the keys of "
+    "`schema`, and no text around it. Types: every money, rate and quantity key holds a JSON number without "
+    "currency signs or thousands marks; the date keys hold ISO 8601 calendar dates; `currency` holds an ISO 4217 code, "
+    "where the schema's own value counts unless the text names another. Missing facts: use null, never a guess. "
+    "An address that spans several lines becomes one line with a comma at each break. `line_items` repeats the "
+    "invoice's table rows in their order and holds no row that the text lacks."
 )
 
-# One worked example, own values.
+# One worked example, own values, in a column layout.
 EXAMPLE_INPUT = (
-    "INVOICE\nNo: INV-7\nDate: 2024-05-06\nVendor: Bolt Co GSTIN 11AAAAA1111A1Z1\n"
-    "Bill To: Nut Ltd GSTIN 22BBBBB2222B2Z2\nItem Steel bolt 4 x 2.50 10.00\n"
-    "Item Nut 1 x 5.00 5.00\nSubtotal 15.00\nGST 10% 1.50\nTotal EUR 16.50"
+    "HARBOUR PAPER MILLS\n12 Quay Road\nPort Ellery\nGST no. 07HPMIL4410K1Z9\n\n"
+    "TAX INVOICE HPM/0931          issued 3 March 2023, payable by 2 April 2023\n"
+    "Customer: Lantern Bookshop, 4 Mill Lane, Oakham (GST no. 09LANTB7723Q1Z4)\n\n"
+    "Article               Qty      Rate     Value\n"
+    "A4 ream, 80 g          30      4.20    126.00\n"
+    "Kraft roll              2     37.00     74.00\n"
+    "                     Taxable value    200.00\n"
+    "                     GST at 12 %       24.00\n"
+    "                     Amount due   GBP 224.00\n"
+    "Returns within 14 days."
 )
 EXAMPLE_OUTPUT = {
-    "vendor_name": "Bolt Co", "vendor_gstin": "11AAAAA1111A1Z1",
-    "invoice_number": "INV-7", "invoice_date": "2024-05-06",
-    "buyer_name": "Nut Ltd", "buyer_gstin": "22BBBBB2222B2Z2", "currency": "EUR",
-    "subtotal": 15.0, "tax_percent": 10.0, "tax_amount": 1.5, "total": 16.5,
+    "vendor_name": "Harbour Paper Mills", "vendor_address": "12 Quay Road, Port Ellery",
+    "vendor_gstin": "07HPMIL4410K1Z9", "invoice_number": "HPM/0931",
+    "invoice_date": "2023-03-03", "due_date": "2023-04-02",
+    "buyer_name": "Lantern Bookshop", "buyer_address": "4 Mill Lane, Oakham", "buyer_gstin": "09LANTB7723Q1Z4",
+    "currency": "GBP", "subtotal": 200.0, "tax_percent": 12.0, "tax_amount": 24.0, "total": 224.0,
     "line_items": [
-        {"description": "Steel bolt", "quantity": 4, "unit_price": 2.5, "amount": 10.0},
-        {"description": "Nut", "quantity": 1, "unit_price": 5.0, "amount": 5.0},
+        {"description": "A4 ream, 80 g", "quantity": 30, "unit_price": 4.2, "amount": 126.0},
+        {"description": "Kraft roll", "quantity": 2, "unit_price": 37.0, "amount": 74.0},
     ],
+    "notes": "Returns within 14 days.",
 }
 
 _HINT_MARK = "\u0000HINT\u0000"
 
 
 def _schema_template(hint_value) -> dict:
-    out = {}
-    for name, kind in INVOICE_FIELDS:
-        if name == "currency":
-            out[name] = hint_value
-        elif kind == "string":
-            out[name] = ""
-        elif kind == "double":
-            out[name] = None
-        else:
-            out[name] = [{"description": "", "quantity": None, "unit_price": None, "amount": None}]
+    empty = {"string": "", "double": None}
+    out = {n: empty.get(k) for n, k in INVOICE_FIELDS}
+    out["currency"] = hint_value
+    out["line_items"] = [{n: empty[k] for n, k in ITEM_FIELDS}]
     return out
 
 
@@ -65,21 +68,11 @@ def hint_value(hint: Column | str | None) -> Column:
 
 
 def _schema_struct(hint: Column) -> Column:
-    cols = []
-    for name, kind in INVOICE_FIELDS:
-        if name == "currency":
-            cols.append(hint.alias(name))
-        elif kind == "string":
-            cols.append(F.lit("").alias(name))
-        elif kind == "double":
-            cols.append(F.lit(None).cast("double").alias(name))
-        else:
-            item = F.struct(F.lit("").alias("description"),
-                            F.lit(None).cast("double").alias("quantity"),
-                            F.lit(None).cast("double").alias("unit_price"),
-                            F.lit(None).cast("double").alias("amount"))
-            cols.append(F.array(item).alias(name))
-    return F.struct(*cols)
+    empty = {"string": F.lit(""), "double": F.lit(None).cast("double")}
+    values = {n: empty.get(k) for n, k in INVOICE_FIELDS}
+    values["currency"] = hint
+    values["line_items"] = F.array(F.struct(*[empty[k].alias(n) for n, k in ITEM_FIELDS]))
+    return F.struct(*[c.alias(n) for n, c in values.items()])
 
 
 def json_prompt(text: Column, hint: Column | str | None = None) -> Column:
@@ -94,24 +87,15 @@ def json_prompt(text: Column, hint: Column | str | None = None) -> Column:
 
 
 def _plain_parts() -> tuple[str, str]:
-    schema = json.dumps(_schema_template(_HINT_MARK), indent=2)
-    head = (
-        "Fill this schema from the invoice text below and answer with strict JSON:\n\n"
-        + schema + "\n\n"
-        "Rules:\n"
-        "- amounts and quantities are numbers\n"
-        "- dates are YYYY-MM-DD\n"
-        "- add the currency code when the text has one\n"
-        "- answer with JSON only\n"
-        "- null for anything the text does not say\n"
-        "- address lines joined with commas\n"
-        "- only items the text lists\n\n"
-        "Example input:\n" + EXAMPLE_INPUT + "\n\n"
-        "Example output:\n" + json.dumps(EXAMPLE_OUTPUT, indent=2) + "\n\n"
-        "Invoice text:\n\n"
-    )
-    quoted = json.dumps(_HINT_MARK)
-    before, after = head.split(quoted)
+    template = json.dumps(_schema_template(_HINT_MARK), indent=2)
+    head = "\n\n".join([
+        "# Task\n" + INSTRUCTION,
+        "# Schema\n" + template,
+        "# Worked example: text\n" + EXAMPLE_INPUT,
+        "# Worked example: answer\n" + json.dumps(EXAMPLE_OUTPUT, indent=2),
+        "# Invoice to read\n",
+    ])
+    before, after = head.split(json.dumps(_HINT_MARK))
     return before, after
 
 

@@ -44,29 +44,39 @@ def flat_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFram
     columns.  Records whose model call failed are left out.
     """
     k = _keys(df, keys)
-    df = _answered(df)
-    raw_items = F.when(~F.col("valid"), V.as_array(V.member(F.col("raw"), "line_items")))
-    ex = df.select(*k, "valid", "invoice", "extras", raw_items.alias("_ritems"),
-                   F.posexplode_outer("invoice.line_items").alias("_pos", "_item"))
-    ex = ex.withColumn("_ritem", F.try_element_at(F.col("_ritems"), F.col("_pos") + F.lit(1)))
-    ex = ex.select("*", *[V.member(F.col("_ritem"), n).alias("_rv_" + n) for n in FLAT_HEADER_ORDER])
+    # Items and, for invalid records, their raw values side by side in one
+    # array: the explode then copies the header to each row but neither the
+    # invoice nor the raw record.
+    raw_items = F.coalesce(F.when(~F.col("valid"), V.as_array(V.member(F.col("raw"), "line_items"))),
+                           F.array().cast("array<variant>"))
+    both = F.zip_with("invoice.line_items", raw_items, lambda i, r: F.struct(i.alias("item"), r.alias("raw")))
+    ex = _answered(df).select(*k, "valid", "extras", *[F.col("invoice." + n).alias(n) for n in FLAT_HEADER_ORDER],
+                              both.alias("_both"))
+    ex = ex.select(*k, "valid", "extras", *FLAT_HEADER_ORDER, F.posexplode_outer("_both").alias("_pos", "_x"))
+    ex = ex.select("*", *[V.member(F.col("_x.raw"), n).alias("_rv_" + n) for n in FLAT_HEADER_ORDER])
     ex = ex.select("*", *[V.vtype(F.col("_rv_" + n)).alias("_rt_" + n) for n in FLAT_HEADER_ORDER])
     cols = [F.col(c) for c in k]
     for n in FLAT_HEADER_ORDER:
         v, t = F.col("_rv_" + n), F.col("_rt_" + n)
         val = V.number_fit(v, t) if n in DOUBLE_HEADER else V.string_value(v, t)
-        cols.append(F.when(~F.col("valid") & t.isNotNull(), val)
-                    .otherwise(F.col("invoice." + n)).alias(n))
+        cols.append(F.when(~F.col("valid") & t.isNotNull(), val).otherwise(F.col(n)).alias(n))
     cols.append(F.col("extras"))
-    cols += [F.col("_item." + n).alias(n) for n in FLAT_ITEM_ORDER]
+    cols += [F.col("_x.item." + n).alias(n) for n in FLAT_ITEM_ORDER]
     if with_line_no:
         cols.append((F.col("_pos") + F.lit(1)).alias("line_no"))
     return ex.select(*cols)
 
 
-def items_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFrame:
-    """One row per line item, the four item columns only; records without
-    items give no row.
+def items_table(df: DataFrame, keys=None, with_line_no: bool = False, with_raw: bool = False,
+                text: str | None = None) -> DataFrame:
+    """One row per line item, the four item columns; records without items
+    give no row.
+
+    `with_raw` adds `item_raw`, the item of an invalid record with all its
+    keys as a VARIANT (NULL for valid records).  `text` names a column with
+    the document's text and adds `grounded`, whether it holds the item's
+    description; that is decided inside the item array, so the text is not
+    copied to every item.
 
     The explode is an outer one followed by a filter on its output: an inner
     explode makes the optimizer infer `size(items) > 0` and push that copy of
@@ -74,9 +84,20 @@ def items_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFra
     """
     k = _keys(df, keys)
     df = _answered(df)
-    ex = (df.select(*k, F.posexplode_outer("invoice.line_items").alias("_pos", "_item"))
+    items, extra = F.col("invoice.line_items"), []
+    if with_raw:
+        raw = F.coalesce(F.when(~F.col("valid"), V.as_array(V.member(F.col("raw"), "line_items"))),
+                         F.array().cast("array<variant>"))
+        items = F.zip_with(items, raw, lambda i, r: F.struct(*[i[n].alias(n) for n in FLAT_ITEM_ORDER], r.alias("item_raw")))
+        extra.append("item_raw")
+    if text:
+        # The one-element array holds the lower-cased text, so that it is made once a record.
+        items = F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.transform(items, lambda i: F.struct(
+            *[i[n].alias(n) for n in FLAT_ITEM_ORDER + extra], F.contains(low, F.lower(i["description"])).alias("grounded")))), 1)
+        extra.append("grounded")
+    ex = (df.select(*k, F.posexplode_outer(items).alias("_pos", "_item"))
             .filter(F.col("_pos").isNotNull()))
-    cols = [F.col(c) for c in k] + [F.col("_item." + n).alias(n) for n in FLAT_ITEM_ORDER]
+    cols = [F.col(c) for c in k] + [F.col("_item." + n).alias(n) for n in FLAT_ITEM_ORDER + extra]
     if with_line_no:
         cols.append((F.col("_pos") + F.lit(1)).alias("line_no"))
     return ex.select(*cols)
@@ -117,7 +138,8 @@ def kpis(df: DataFrame, keys=None) -> DataFrame:
     k = _keys(df, keys)
     return df.select(
         *k,
-        F.coalesce(F.size("invoice.line_items"), F.lit(0)).alias("line_items_count"),
+        (F.col("n_items") if "n_items" in df.columns
+         else F.coalesce(F.size("invoice.line_items"), F.lit(0))).alias("line_items_count"),
         F.col("invoice.subtotal").alias("subtotal"),
         F.col("invoice.tax_percent").alias("tax_percent"),
         F.col("invoice.total").alias("total"))

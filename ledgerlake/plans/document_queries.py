@@ -1,12 +1,12 @@
 """Registered queries for the document-side operators: sources, pages, text,
-prompts, rule extraction, normalisation, grounding, the model job, the
-binary scan and the exports.  `oracle()` gives DuckDB SQL for each query
-whose answer SQL can state; binary_scan (file bytes through a Python
-decoder) is checked on row counts and by tests on small fixtures.
+prompts, rule extraction, normalisation, grounding, the model job, the page
+scan, the incremental job and the exports.  `oracle()` gives DuckDB SQL for
+each of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
@@ -20,10 +20,17 @@ from ..operators import prompt as PR
 from ..operators import reshape
 from ..operators.extract import extract_records
 from ..schema import ALLOWED_EXTENSIONS, FLAT_HEADER_ORDER, FLAT_ITEM_ORDER
-from ..session import checkpoint_dir, configure
+from ..session import checkpoint_dir, configure, setting
 from ..sinks import writers
 from ..sources import files as S
 from ..sources import tables as TB
+from . import invoice_job as J
+from .expected_prompts import JSON_HEAD, JSON_TAIL, PLAIN_HEAD, PLAIN_TAIL
+
+
+def _folder(spark, name):
+    """A new folder for one call's tables in the shared folder."""
+    return os.path.join(checkpoint_dir(spark), name, uuid.uuid4().hex)
 
 
 def _allowed(df):
@@ -40,7 +47,7 @@ def content_dedup(spark, sf_dir):
     """Every file mapped to the first file with the same bytes."""
     configure(spark)
     files = S.with_content_key(_allowed(TB.documents_as_files(spark, sf_dir)))
-    return S.representative(files, "path")
+    return S.representative(files, _folder(spark, "content_dedup"))
 
 
 def already_processed(spark, sf_dir):
@@ -81,8 +88,8 @@ def _hint(lang):
 
 
 def prompts(spark, sf_dir):
-    """Both prompt styles with a per-row currency hint; the JSON
-    prompt is read back to check that it carries the text and the hint."""
+    """Both prompt styles with a per-row currency hint, as digests of
+    the full prompts; the JSON prompt is also read back."""
     configure(spark)
     d = TB.table(spark, sf_dir, "documents")
     hint = _hint(F.col("lang"))
@@ -92,18 +99,20 @@ def prompts(spark, sf_dir):
         "doc_id",
         (F.get_json_object("pj", "$.text") == F.col("text")).alias("json_text_ok"),
         F.get_json_object("pj", "$.schema.currency").alias("currency"),
-        F.length("pp").alias("plain_chars"))
+        F.sha2("pj", 256).alias("json_sha256"), F.sha2("pp", 256).alias("plain_sha256"))
 
 
 def rule_extract(spark, sf_dir):
-    """Invoices written as text, read back by the rule extractor."""
+    """Invoices written as text, read back by the rule extractor; the
+    currency comes from the total's line, another line or the hint."""
     configure(spark)
-    t = TB.invoice_texts(spark, sf_dir)
-    inv = t.select("path", M.rule_extract(F.col("raw_text")).alias("invoice"))
-    ex = inv.select("path", "invoice", F.posexplode_outer("invoice.line_items").alias("_pos", "_item"))
+    t = TB.invoice_texts(spark, sf_dir, codes_vary=True)
+    inv = t.select("path", M.rule_extract(F.col("raw_text"), F.lit("CHF")).alias("invoice"))
     head = ["vendor_name", "vendor_gstin", "invoice_number", "invoice_date", "buyer_name",
             "buyer_gstin", "currency", "subtotal", "tax_percent", "tax_amount", "total"]
-    return ex.select("path", *[F.col("invoice." + c).alias(c) for c in head],
+    ex = inv.select("path", *[F.col("invoice." + c).alias(c) for c in head],
+                    F.posexplode_outer("invoice.line_items").alias("_pos", "_item"))
+    return ex.select("path", *head,
                      *[F.col("_item." + c).alias(c) for c in FLAT_ITEM_ORDER],
                      F.coalesce(F.col("_pos") + 1, F.lit(0)).alias("line_no"))
 
@@ -111,7 +120,7 @@ def rule_extract(spark, sf_dir):
 def normalise(spark, sf_dir):
     """Values written in varied formats, cleaned back."""
     configure(spark)
-    inv = TB.invoice_columns(spark, sf_dir)
+    inv = TB.invoice_columns(spark, sf_dir, with_items=False)
     k = F.col("o_orderkey")
     money = (F.when(F.pmod(k, F.lit(4)) == 0, F.format_string("%.2f", "subtotal"))
              .when(F.pmod(k, F.lit(4)) == 1, F.format_number("subtotal", 2))
@@ -144,72 +153,126 @@ def grounding(spark, sf_dir):
     lists only every other item."""
     configure(spark)
     recs = extract_records(TB.clean_responses_with_text(spark, sf_dir, odd_lines_only=True))
-    items = reshape.items_table(recs, keys=["path", "raw_text"], with_line_no=True)
-    return items.select("path", "line_no", "description",
-                        M.grounded(F.col("description"), F.col("raw_text")).alias("grounded"))
+    items = reshape.items_table(recs, with_line_no=True, text="raw_text")
+    return items.select("path", "line_no", "description", "grounded")
 
 
-def _stub_client():
-    """A stand-in model: answers with a fenced JSON object whose notes are
-    the first line of the text (at most 80 characters); fails on texts whose
-    length is a multiple of 5."""
-    def call(prompt: str) -> str:
-        text = json.loads(prompt)["text"]
-        if len(text) % 5 == 0:
-            raise RuntimeError("service unavailable")
-        first = text.split("\n")[0][:80]
-        return "```json\n" + json.dumps({"notes": first, "line_items": []}) + "\n```"
-    return call
+def _stub_client(outage: bool = True):
+    """A stand-in model: answers with a fenced JSON object whose notes are the
+    digest and length of the whole text; during an outage it fails on texts
+    whose length is a multiple of 5."""
+    def factory():
+        def call(prompt: str) -> str:
+            text = json.loads(prompt)["text"]
+            if outage and len(text) % 5 == 0:
+                raise RuntimeError("service unavailable")
+            notes = f"{hashlib.sha256(text.encode()).hexdigest()}:{len(text)}"
+            return "```json\n" + json.dumps({"notes": notes, "line_items": []}) + "\n```"
+        return call
+    return factory
 
 
 def model_job(spark, sf_dir):
     """One call per document through a client; failures become
     `api_error` rows; responses are stored before the repair stage."""
     configure(spark)
-    checkpoint_dir(spark)
     d = TB.table(spark, sf_dir, "documents")
     pr = d.select("doc_id", PR.json_prompt(F.col("text"), _hint(F.col("lang"))).alias("prompt"))
-    resp = M.store_responses(M.model_job(pr, _stub_client, key="doc_id"))
+    resp = M.store_responses(M.model_job(pr, _stub_client(), key="doc_id"), _folder(spark, "responses"))
     ex = extract_records(resp)
     return ex.select("doc_id", "json_status", "valid", F.col("invoice.notes").alias("notes"))
 
 
-def binary_scan(spark, sf_dir):
-    """The binaryFile scan of a folder, a page job with
-    stand-in decoder and recogniser, page counts and joined text."""
+def page_scan(spark, sf_dir):
+    """Documents as files, every line a page: decoded and
+    recognised once in parts spread over tasks, stored, then counted, observed
+    and joined back in order."""
     configure(spark)
-    files = S.scan_files(spark, sf_dir, extensions=["parquet"])
-    # lineitem.parquet holds most of the bytes: its pages are cut into ranges
-    # so that it does not land on one task.
-    pages = P.page_job(files, P.chunk_decoder, P.digest_recogniser, lang="eng",
-                       kind=F.lit("pdf"), pages_per_task=16,
-                       partitions=spark.sparkContext.defaultParallelism)
-    pages, _ = P.with_progress(pages)
-    text = P.join_pages(pages.filter(F.col("page_no").isNotNull()))
-    counts = P.page_counts(pages)
-    meta = S.file_metadata(files.select("path", "length"))
-    return (meta.join(counts, "path", "left").join(text, "path", "left")
-            .select("name", "size_kb", "pages", "page_errors",
-                    F.length("raw_text").alias("text_chars")))
+    files = TB.documents_as_files(spark, sf_dir).select("path", "content")
+    n = spark.sparkContext.defaultParallelism
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "64"):
+        pages, seen = P.with_progress(P.page_job(files, _line_pages, P.identity_recogniser, pages_per_task=64, partitions=n))
+        stored = M.store_responses(pages, _folder(spark, "pages"))
+    return (P.page_counts(stored).join(P.join_pages(stored, block_pages=32), "path")
+            .select("path", "pages", "page_errors", F.sha2("raw_text", 256).alias("text_sha256"),
+                    F.lit(seen.get["pages_done"]).cast("bigint").alias("all_pages"),
+                    F.lit(seen.get["page_errors"]).cast("bigint").alias("all_errors")))
 
 
-def export_tables(spark, sf_dir):
-    """The flat, header and item tables (and CSV, JSON) of the whole
-    batch written under the shared checkpoint folder, the flat one read
-    back."""
+def _line_pages():
+    return P.text_decoder("\n")
+
+
+def incremental_job(spark, sf_dir):
+    """S9, E2, X7, K3 across runs: the batch job over documents as files with
+    an outage in the first run and a healthy second run; every file's
+    published record, with the run that published it and both runs' counts."""
+    configure(spark)
+    files = _allowed(TB.documents_as_files(spark, sf_dir)).select("path", "modificationTime", "length", "content")
+    out = _folder(spark, "incremental_job")
+    runs = [J.process_files(spark, files, out, _line_pages, P.identity_recogniser, _stub_client(outage), J.JobOptions(pages_per_task=64))
+            for outage in (True, False)]
+    records = J.read_published(spark, out, "records")
+    return records.select(
+        "path", "json_status", "valid", F.col("invoice.notes").alias("notes"),
+        F.when(F.col("run") == runs[0]["run"], 1).otherwise(2).alias("attempt"),
+        *[F.lit(r["summary"]["failures"].get("call", 0)).cast("bigint").alias(f"failed_contents_{k + 1}") for k, r in enumerate(runs)],
+        *[F.lit(r["summary"]["new_files"]).cast("bigint").alias(f"files_{k + 1}") for k, r in enumerate(runs)])
+
+
+def _exported(spark, sf_dir):
+    """A new export folder holding the stored records of the whole batch."""
     configure(spark)
-    out = os.path.join(checkpoint_dir(spark), "exports", uuid.uuid4().hex)
+    out = _folder(spark, "exports")
     # written once, then every sink reads the stored records
     extract_records(TB.clean_responses(spark, sf_dir)).write.parquet(out + "/records")
-    records = spark.read.parquet(out + "/records")
-    paths = writers.write_tables(records, out)
-    writers.write_flat_csv(reshape.flat_table(records, with_line_no=True), out + "/invoice_flat_csv")
-    writers.write_records_json(records, out + "/invoice_json")
-    back = spark.read.parquet(paths["invoice_flat"])
-    return back.select("path", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER,
+    return out, spark.read.parquet(out + "/records")
+
+
+def export_tables(spark, sf_dir):
+    """Header, item and flat tables of the whole batch written;
+    the flat one read back."""
+    out, records = _exported(spark, sf_dir)
+    back = spark.read.parquet(writers.write_tables(records, out)["invoice_flat"])
+    return back.select("path", "stem", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER,
                        F.coalesce(F.col("line_no"), F.lit(0)).alias("line_no"))
 
 
+def export_header(spark, sf_dir):
+    """The header table read back."""
+    out, records = _exported(spark, sf_dir)
+    return spark.read.parquet(writers.write_tables(records, out, only=["invoice_header"])["invoice_header"])
+
+
+def export_items(spark, sf_dir):
+    """The item table read back."""
+    out, records = _exported(spark, sf_dir)
+    return spark.read.parquet(writers.write_tables(records, out, only=["line_items"])["line_items"])
+
+
+def export_csv(spark, sf_dir):
+    """The flat table written as CSV and read back as text."""
+    out, records = _exported(spark, sf_dir)
+    flat = reshape.flat_table(records, with_line_no=True).withColumn("stem", writers.stem(F.col("path")))
+    writers.write_flat_csv(flat.withColumn("line_no", F.coalesce(F.col("line_no"), F.lit(0))), out + "/csv")
+    schema = ", ".join(f"{c} string" for c in writers.csv_ready(flat).columns)
+    back = spark.read.schema(schema).option("header", "true").option("escape", '"').option("multiLine", "true").csv(out + "/csv")
+    return back.drop("extras")
+
+
+def export_json(spark, sf_dir):
+    """The records written as JSON lines with their nulls, each line
+    read back as text."""
+    out, records = _exported(spark, sf_dir)
+    lines = spark.read.text(writers.write_records_json(records, out + "/json"))
+    one = F.from_json("value", "path string, stem string, valid boolean, invoice_number string, total double, "
+                               "line_items array<struct<description:string,amount:double>>")
+    return lines.select(one.alias("r"), "value").select(
+        "r.path", "r.stem", "r.valid", "r.invoice_number", "r.total", F.size("r.line_items").alias("items"),
+        F.array_join(F.transform("r.line_items", lambda i: i["description"]), "|").alias("descriptions"),
+        F.contains("value", F.lit('"extras":null')).alias("nulls_kept"))
+
+
 QUERIES = {
     "file_metadata": file_metadata,
     "content_dedup": content_dedup,
@@ -222,8 +285,13 @@ QUERIES = {
     "normalise": normalise,
     "grounding": grounding,
     "model_job": model_job,
-    "binary_scan": binary_scan,
+    "page_scan": page_scan,
+    "incremental_job": incremental_job,
     "export_tables": export_tables,
+    "export_header": export_header,
+    "export_items": export_items,
+    "export_csv": export_csv,
+    "export_json": export_json,
 }
 
 
@@ -242,8 +310,7 @@ _HINT_SQL = "CASE lang WHEN 'en' THEN 'USD' WHEN 'fr' THEN 'EUR' WHEN 'de' THEN
 
 
 def _oracle() -> dict[str, str]:
-    from .oracle import _WITH  # the derived invoices
-    plain_len = len(PR.PLAIN_BEFORE) + len(PR.PLAIN_AFTER)
+    from .oracle import _WITH, ORACLE as INV  # the derived invoices
     return {
         "file_metadata": _FILES + """
 SELECT path, CAST(doc_id AS VARCHAR) || '.' || ext AS name, CAST(doc_id AS VARCHAR) AS stem,
@@ -264,11 +331,13 @@ FROM conversations GROUP BY conv_id""",
         "preview": "SELECT doc_id, substring(text, 1, 20000) AS preview FROM documents",
         "prompts": f"""
 SELECT doc_id, text IS NOT NULL AS json_text_ok, {_HINT_SQL} AS currency,
-  CAST({plain_len} + length({_HINT_SQL}) + 2 + length(text) AS INTEGER) AS plain_chars
+  sha256($${JSON_HEAD}$$ || {_HINT_SQL} || $${JSON_TAIL}$$ || CAST(to_json(text) AS VARCHAR) || '}}') AS json_sha256,
+  sha256($${PLAIN_HEAD}$$ || {_HINT_SQL} || $${PLAIN_TAIL}$$ || text) AS plain_sha256
 FROM documents""",
         "rule_extract": _WITH + """
 SELECT i.path, i.vendor_name, i.vendor_gstin, i.invoice_number, i.invoice_date, i.buyer_name,
-  i.buyer_gstin, i.currency, i.subtotal, i.tax_percent, i.tax_amount, i.total,
+  i.buyer_gstin, CASE WHEN i.o_orderkey % 3 = 2 THEN 'CHF' ELSE coalesce(i.currency, 'CHF') END AS currency,
+  i.subtotal, i.tax_percent, i.tax_amount, i.total,
   l.p_name AS description, l.l_quantity AS quantity, l.p_retailprice AS unit_price,
   l.l_extendedprice AS amount, CAST(coalesce(l.line_no, 0) AS INTEGER) AS line_no
 FROM inv i LEFT JOIN lines l ON l.l_orderkey = i.o_orderkey""",
@@ -287,14 +356,42 @@ SELECT doc_id,
   CASE WHEN length(text) % 5 = 0 THEN 'api_error' ELSE 'sliced' END AS json_status,
   length(text) % 5 <> 0 AS valid,
   CASE WHEN length(text) % 5 = 0 THEN NULL
-       ELSE substring(split_part(text, chr(10), 1), 1, 80) END AS notes
+       ELSE sha256(text) || ':' || CAST(length(text) AS VARCHAR) END AS notes
+FROM documents""",
+        "page_scan": """
+SELECT 'docs/' || CAST(doc_id AS VARCHAR) || '.' || ['pdf', 'png', 'jpg', 'jpeg', 'tiff', 'PDF', 'txt'][doc_id % 7 + 1] AS path,
+  CAST(len(string_split(text, chr(10))) AS INTEGER) AS pages, CAST(0 AS BIGINT) AS page_errors, sha256(text) AS text_sha256,
+  CAST(sum(len(string_split(text, chr(10)))) OVER () AS BIGINT) AS all_pages, CAST(0 AS BIGINT) AS all_errors
 FROM documents""",
-        "export_tables": None,
+        "incremental_job": _FILES + """
+SELECT path, 'sliced' AS json_status, true AS valid, sha256(text) || ':' || CAST(length(text) AS VARCHAR) AS notes,
+  CAST(CASE WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt,
+  (SELECT count(*) FROM fa WHERE length(text) % 5 = 0) AS failed_contents_1, CAST(0 AS BIGINT) AS failed_contents_2,
+  (SELECT count(*) FROM fa) AS files_1, (SELECT count(*) FROM fa WHERE length(text) % 5 = 0) AS files_2
+FROM fa""",
+        "export_tables": INV["flat_rows"].replace("SELECT i.path,", f"SELECT i.path, {_STEM},", 1),
+        "export_header": INV["header_fields"].replace("SELECT i.path,", f"SELECT i.path, {_STEM},", 1),
+        "export_items": INV["line_items"].replace("SELECT i.path,", f"SELECT i.path, {_STEM},", 1),
+        "export_csv": _csv_sql(INV["flat_rows"]),
+        "export_json": _WITH + f"""
+SELECT i.path, {_STEM}, true AS valid, i.invoice_number, i.total, CAST(i.n_lines AS INTEGER) AS items,
+  coalesce((SELECT string_agg(l.p_name, '|' ORDER BY l.line_no) FROM lines l WHERE l.l_orderkey = i.o_orderkey), '') AS descriptions,
+  true AS nulls_kept
+FROM inv i""",
     }
 
 
+_STEM = "CAST(i.o_orderkey AS VARCHAR) AS stem"
+
+
+def _csv_sql(flat_rows: str) -> str:
+    """The flat rows as the CSV's text: doubles in plain decimals, empty texts and nulls alike null."""
+    inner = flat_rows.replace("SELECT i.path,", f"SELECT i.path, {_STEM},", 1)
+    head, _, select = inner.rpartition("\nSELECT ")
+    texts = ", ".join(f"nullif(CAST({c} AS VARCHAR), '') AS {c}" for c in
+                      ["path", "stem", *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, "line_no"])
+    return f"{head}\nSELECT {texts} FROM (SELECT {select}) t"
+
+
 def oracle():
-    from .oracle import ORACLE as INV
-    out = {k: v for k, v in _oracle().items() if v is not None}
-    out["export_tables"] = INV["flat_rows"]
-    return out
+    return _oracle()

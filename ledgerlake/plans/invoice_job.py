@@ -1,26 +1,33 @@
 """The whole batch: a folder of invoice files -> header, line-item and flat
 tables, CSV, JSON and per-file metrics.
 
-    scan --(hash, no bytes moved)--> one representative file per content
-         --(semi join: the one shuffle of file bytes, spreads files over tasks)
-         --> page job (decode + recognise, Python workers)
-         --> page text, stored (reused by later runs)
+    scan --(hash, no bytes moved)--> files not done yet, one per content
+         --(one shuffle of file bytes, which spreads them over tasks)
+         --> page job (decode + recognise, Python workers) --> page text
          --> pages joined per document --> prompt --> model (or rules)
          --> responses, stored before anything reads them
          --> repair + validate (native) --> joined back to every copy
          --> tables
 
-Stored intermediate tables (file index, page text, responses, records) cut
-the lineage: a lost executor never re-runs recognition or model calls that
-already finished, and a later run (or micro-batch) skips every file and
-content it has already seen (anti joins on path and content hash).
-Everything is written under `out_dir`, which on a cluster must be shared
-storage; `_runs/<id>/` holds the materialised inputs of one run.
+Every table under `out_dir` is partitioned by run, and a run's part counts
+only once a row in `published` says so, written after it.  Page text and
+responses are published as soon as they are stored; the tables for readers,
+the list of done files among them, by one last write.  A run that fails
+before that leaves nothing a reader sees twice: the next one takes the stored
+pages and responses and writes the tables anew.  What failed (unreadable
+files, recogniser errors, failed calls) goes to `failures`, is not counted
+as done and is tried again by the next run.
+
+Page text is kept per content, language and resolution; responses also per
+prompt style, hint, prompt wording and client name.  The stores are
+partitioned by the first two hex digits of the content hash, so a small batch
+looks only into its own part of the history.
 """
 
 from __future__ import annotations
 
-import os
+import hashlib
+import json
 import uuid
 from dataclasses import dataclass, field
 from typing import Callable
@@ -28,13 +35,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
 from ..operators import model as M
 from ..operators import pages as P
 from ..operators import prompt as PR
 from ..operators import reshape
 from ..operators.extract import extract_records
 from ..schema import DEFAULT_DPI
-from ..session import configure
+from ..session import configure, setting
 from ..sinks import writers
 from ..sources import files as S
 
@@ -45,7 +53,10 @@ class JobOptions:
     dpi: int = DEFAULT_DPI
     currency_hint: str | None = None
     prompt_style: str = "json"          # 'json' or 'plain'
+    client_name: str = ""               # tells stored responses of different clients apart
     strict_alias: bool = False
+    clean: bool = False                 # numbers, dates, addresses and blanks cleaned (N1, N2, N4, N5)
+    ground_items: bool = False          # items flagged by whether the text holds them (N6)
     on_error: str = "empty"             # model errors: 'empty' rows or 'fail'
     extensions: list[str] | None = None
     block_pages: int = 256
@@ -57,129 +68,203 @@ class JobOptions:
     selection: DataFrame | None = field(default=None, repr=False)  # file names to process
 
 
-def _path(out_dir: str, name: str) -> str:
-    return os.path.join(out_dir, name)
+# Tables that later runs look things up in.
+STORES = {
+    "file_index": "path string, content_sha string, job_key string",
+    "page_text": "content_sha string, page_key string, page_no int, page_text string",
+    "responses": "content_sha string, call_key string, response string",
+}
+
+
+def _prefix():
+    return F.substring("content_sha", 1, 2)
+
+
+def _digest(*parts) -> str:
+    return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:24]
+
+
+class RunTables:
+    """The tables of one run under `out_dir`, and the published ones of earlier runs."""
+
+    def __init__(self, spark: SparkSession, out_dir: str):
+        self.spark, self.out_dir, self.run = spark, out_dir.rstrip("/"), uuid.uuid4().hex
+
+    def path(self, name: str) -> str:
+        return f"{self.out_dir}/{name}/run={self.run}"
+
+    def work(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that only this run reads."""
+        p = f"{self.out_dir}/_work/{self.run}/{name}"
+        df.write.parquet(p)
+        return self.spark.read.schema(df.schema).parquet(p)
+
+    def store(self, df: DataFrame, name: str) -> None:
+        df.withColumn("prefix", _prefix()).write.partitionBy("prefix").parquet(self.path(name))
+
+    def publish(self, part: str) -> None:
+        self.spark.createDataFrame([(self.run, part)], "run string, part string").coalesce(1).write.mode("append").parquet(
+            f"{self.out_dir}/published")
+
+    def stored(self, name: str, part: str, prefixes: list[str]) -> DataFrame:
+        """Published rows of a store whose content hash starts with one of the prefixes."""
+        paths = [f"{self.out_dir}/{name}/run={r}" for r in published_runs(self.spark, self.out_dir, part)]
+        schema = STORES[name]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        df = (self.spark.read.schema(f"{schema}, run string, prefix string").option("basePath", f"{self.out_dir}/{name}")
+              .parquet(*paths))
+        return df.filter(F.col("prefix").isin(prefixes)).drop("run", "prefix")
+
+    def clear_work(self) -> None:
+        p = _hadoop_path(self.spark, f"{self.out_dir}/_work/{self.run}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).limit(0).collect()
-        return True
-    except Exception:  # noqa: BLE001 -- missing or empty folder
-        return False
-
-
-def _anti(df: DataFrame, spark: SparkSession, store: str, on) -> DataFrame:
-    """Rows of `df` whose key is not yet in the stored table."""
-    if not _exists(spark, store):
-        return df
-    cols = [on] if isinstance(on, str) else list(on)
-    return df.join(spark.read.parquet(store).select(*cols).distinct(), cols, "left_anti")
-
-
-def process_files(spark: SparkSession, files: DataFrame, out_dir: str,
-                  decoder_factory: Callable = P.raster_decoder,
-                  recogniser_factory: Callable = P.tesseract_recogniser,
-                  client_factory: Callable | None = None,
-                  options: JobOptions | None = None) -> dict[str, str]:
-    """Process the files of `files` (binaryFile rows) not seen before.
-
-    Each stage works on what is in its input store and not yet in its output
-    store, and appends: a rerun after a failure, or a later batch, never
-    decodes a page or calls the model again for a content it already has.
+    """Whether a path is there; storage and permission errors are raised."""
+    p = _hadoop_path(spark, path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def published_runs(spark: SparkSession, out_dir: str, part: str = "outputs") -> list[str]:
+    """Ids of the runs that published a part ('pages', 'responses' or 'outputs')."""
+    path = f"{out_dir.rstrip('/')}/published"
+    if not _exists(spark, path):
+        return []
+    rows = spark.read.schema("run string, part string").parquet(path).filter(F.col("part") == part)
+    return sorted(r.run for r in rows.select("run").distinct().collect())  # a row a run
+
+
+def read_published(spark: SparkSession, out_dir: str, name: str, part: str = "outputs") -> DataFrame:
+    """A table's rows from published runs, with their `run`."""
+    return spark.read.parquet(f"{out_dir.rstrip('/')}/{name}").filter(F.col("run").isin(published_runs(spark, out_dir, part)))
+
+
+def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_factory: Callable,
+                  recogniser_factory: Callable, client_factory: Callable | None = None,
+                  options: JobOptions | None = None) -> dict:
+    """Process the files of `files` (binaryFile rows) that no earlier run has done.
+
+    Returns the tables' folders by name, the run's id under `run`, and a
+    `summary`: files, records per (json_status, valid), failures per stage,
+    pages and page errors.
     """
     o = options or JobOptions()
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(o.file_batch_rows))
     n = o.partitions or spark.sparkContext.defaultParallelism
-    st = {k: _path(out_dir, k) for k in
-          ("file_index", "page_text", "responses", "records", "file_metrics")}
+    t = RunTables(spark, out_dir)
+    page_key = f"{o.lang}@{o.dpi}"
+    style = [o.prompt_style, o.currency_hint or "", o.client_name, PR.INSTRUCTION, PR.EXAMPLE_INPUT] if client_factory else ["rules", o.currency_hint or ""]
+    call_key = _digest(page_key, *style)
+    job_key = _digest(call_key, o.strict_alias, o.clean, o.ground_items)
 
-    # 1. new files and their content keys (bytes hashed where they are read)
+    # 1. files not done yet, and their content keys (bytes hashed where they are read)
     if o.selection is not None:
         files = S.select_files(files.withColumn("name", S.file_name(F.col("path"))),
                                o.selection, "name").drop("name")
-    keyed = S.with_content_key(files).select("path", "length", "content_sha")
-    new_files = _anti(keyed, spark, st["file_index"], ["path", "content_sha"])
-    # materialised once: hashing reads every byte, and the set is used below
-    run_dir = _path(out_dir, "_runs/" + uuid.uuid4().hex)
-    new_files.write.mode("overwrite").parquet(run_dir + "/new_files")
-    new_files = spark.read.parquet(run_dir + "/new_files")
-
-    # 2. page job over one file per content without stored pages
-    reps = S.unique_contents(new_files, "path").select("content_sha", F.col("first_path").alias("path"))
-    todo = _anti(reps, spark, st["page_text"], "content_sha")
-    src = files.join(todo, "path", "inner")
-    if not o.pages_per_task:
-        src = src.repartition(n, "path")
-    pages = P.page_job(src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi,
-                       pages_per_task=o.pages_per_task, partitions=n)
-    pages.join(todo, "path").write.mode("append").parquet(st["page_text"])
-
-    # 3. responses for contents without a stored response
-    wanted = new_files.select("content_sha").distinct()
-    need = _anti(wanted, spark, st["responses"], "content_sha")
-    stored = spark.read.parquet(st["page_text"]).join(need, "content_sha", "left_semi")
-    text = P.join_pages(stored.filter(F.col("page_no").isNotNull()), key="content_sha",
-                        block_pages=o.block_pages)
-    failed = stored.groupBy("content_sha").agg(
-        F.max(F.when(F.col("page_no").isNull(), F.col("error"))).alias("file_error"))
-    text = text.join(failed, "content_sha", "right")
+    keyed = t.work(S.with_content_key(files).select("path", "length", "content_sha"), "keyed")
+    prefixes = [r.p for r in keyed.select(_prefix().alias("p")).distinct().collect()]  # at most 256
+    done = t.stored("file_index", "outputs", prefixes).filter(F.col("job_key") == job_key)
+    new_files = t.work(keyed.join(done, ["path", "content_sha"], "left_anti"), "new_files")
+    contents = t.work(S.unique_contents(new_files, "path").select("content_sha", F.col("first_path").alias("path")), "contents")
+
+    # 2. page job over one file per content without stored pages.  The join
+    # keeps the repartitioning by path: bytes are shuffled once.
+    have = t.stored("page_text", "pages", prefixes).filter(F.col("page_key") == page_key)
+    todo = t.work(contents.join(have, "content_sha", "left_anti"), "todo")
+    src = files.select("path", "content").repartition(n, "path").join(todo, "path")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(o.file_batch_rows)):
+        pages, seen = P.with_progress(P.page_job(
+            src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi, key="content_sha",
+            kind=S.file_kind(F.col("path")), pages_per_task=o.pages_per_task, partitions=n))
+        pages = t.work(pages, "pages")
+    bad_pages = t.work(pages.filter("error is not null").groupBy("content_sha").agg(F.min("error").alias("error")), "bad_pages")
+    t.store(pages.join(bad_pages, "content_sha", "left_anti").select(
+        "content_sha", F.lit(page_key).alias("page_key"), "page_no", "page_text"), "page_text")
+    t.publish("pages")
+
+    # 3. responses for contents without a stored one
+    ready = t.stored("page_text", "pages", prefixes).filter(F.col("page_key") == page_key)
+    answered = t.stored("responses", "responses", prefixes).filter(F.col("call_key") == call_key)
+    need = contents.select("content_sha").join(answered, "content_sha", "left_anti")
+    text = P.join_pages(ready.join(need, "content_sha", "left_semi"), key="content_sha", block_pages=o.block_pages)
     hint = PR.hint_value(o.currency_hint)
     if client_factory is None:
-        responses = text.select("content_sha", M.rule_response(F.col("raw_text"), hint).alias("response"),
-                                F.col("file_error").alias("error"))
+        calls = text.select("content_sha", M.rule_response(F.col("raw_text"), hint).alias("response"),
+                            F.lit(None).cast("string").alias("error"))
     else:
         build = PR.json_prompt if o.prompt_style == "json" else PR.plain_prompt
-        prompts = text.filter(F.col("raw_text").isNotNull()).select(
-            "content_sha", build(F.col("raw_text"), hint).alias("prompt"))
-        responses = M.model_job(prompts, client_factory, key="content_sha", on_error=o.on_error,
-                                concurrency=o.model_concurrency, retries=o.model_retries)
-        unread = text.filter(F.col("raw_text").isNull()).select(
-            "content_sha", F.lit(None).cast("string").alias("response"), F.col("file_error").alias("error"))
-        responses = responses.unionByName(unread)
-    responses.write.mode("append").parquet(st["responses"])
-
-    # 4. repair + validate once per content; every new file gets its record
-    resp = spark.read.parquet(st["responses"]).join(wanted, "content_sha", "left_semi")
-    records = new_files.select("path", "content_sha").join(
-        extract_records(resp, strict_alias=o.strict_alias), "content_sha", "inner")
-    records.write.mode("overwrite").parquet(run_dir + "/records")
-    batch = spark.read.parquet(run_dir + "/records")
-
-    # 5. tables, files and metrics (appended), then the file index
-    paths = writers.write_tables(batch, out_dir, mode="append")
-    paths["flat_csv"] = writers.write_flat_csv(
-        reshape.flat_table(batch).withColumn("stem", writers.stem(F.col("path"))),
-        _path(out_dir, "invoice_flat_csv"), mode="append")
-    paths["json"] = writers.write_records_json(batch, _path(out_dir, "invoice_json"), mode="append")
-    counts = P.page_counts(spark.read.parquet(st["page_text"]).join(wanted, "content_sha", "left_semi"),
-                           "content_sha")
-    metrics = (S.file_metadata(new_files.select("path", "length"))
-               .join(new_files.select("path", "content_sha"), "path")
-               .join(counts, "content_sha", "left")
-               .join(reshape.kpis(batch).drop("content_sha"), "path", "left")
-               .join(batch.select("path", "json_status", "valid"), "path", "left")
-               .withColumn("file_type", F.when(F.col("pages").isNull(), F.lit("Unknown"))
-                           .otherwise(F.col("file_type"))))
-    metrics.write.mode("append").parquet(st["file_metrics"])
-    batch.write.mode("append").parquet(st["records"])
-    new_files.write.mode("append").parquet(st["file_index"])
-    paths.update(st)
-    return paths
-
-
-def run_invoice_job(spark: SparkSession, input_dir: str, out_dir: str,
-                    decoder_factory: Callable = P.raster_decoder,
-                    recogniser_factory: Callable = P.tesseract_recogniser,
-                    client_factory: Callable | None = None,
-                    options: JobOptions | None = None) -> dict[str, str]:
-    """Run the batch over a folder; returns the paths of the written tables.
-    Files already processed by an earlier run are skipped.
+        calls = M.model_job(text.select("content_sha", build(F.col("raw_text"), hint).alias("prompt")), client_factory,
+                            key="content_sha", on_error=o.on_error, concurrency=o.model_concurrency, retries=o.model_retries)
+    calls = t.work(calls, "calls")
+    t.store(calls.filter("error is null").select("content_sha", F.lit(call_key).alias("call_key"), "response"), "responses")
+    t.publish("responses")
+
+    # 4. repair + validate once per content, then every new file gets its
+    # record.  Both sides of that join are written tables, so a content with
+    # very many copies is split over tasks.
+    answers = t.stored("responses", "responses", prefixes).filter(F.col("call_key") == call_key)
+    by_content = extract_records(answers.join(contents, "content_sha", "left_semi").drop("call_key"), strict_alias=o.strict_alias,
+                                 error=None, clean=o.clean)
+    if o.clean:
+        by_content = by_content.withColumn("invoice", F.when(F.col("valid"), N.clean_invoice(F.col("invoice"))).otherwise(F.col("invoice")))
+    texts = t.work(P.join_pages(ready.join(contents, "content_sha", "left_semi"), key="content_sha", block_pages=o.block_pages), "texts")
+    if o.ground_items:
+        by_content = by_content.join(texts, "content_sha", "left")
+    by_content = t.work(by_content, "by_content")
+    ours = new_files.select("path", "content_sha")
+    records = t.work(ours.join(by_content, "content_sha"), "records")
+
+    # 5. the tables for readers, then the one write that publishes them
+    paths = {}
+
+    def put(name: str, df: DataFrame) -> None:
+        df.write.parquet(t.path(name))
+        paths[name] = f"{t.out_dir}/{name}"
+
+    stem = writers.stem(F.col("path"))
+    put("records", records.drop("raw_text"))
+    put("invoice_header", reshape.header_table(records).withColumn("stem", stem))
+    put("line_items", reshape.items_table(records, with_line_no=True, with_raw=True,
+                                          text="raw_text" if o.ground_items else None).withColumn("stem", stem))
+    flat = reshape.flat_table(records, with_line_no=True).withColumn("stem", stem)
+    put("invoice_flat", flat)
+    writers.write_flat_csv(flat.drop("line_no"), t.path("invoice_flat_csv"))
+    writers.write_records_json(records, t.path("invoice_json"))
+    put("invoice_json_pretty", writers.pretty_json(records))
+    put("previews", ours.join(texts.select("content_sha", P.preview(F.col("raw_text")).alias("preview")), "content_sha"))
+    failures = t.work(ours.join(bad_pages.withColumn("stage", F.lit("pages")).unionByName(
+        calls.filter("error is not null").select("content_sha", "error", F.lit("call").alias("stage"))), "content_sha"), "failures")
+    put("failures", failures)
+    counts = t.work(P.page_counts(ready.withColumn("error", F.lit(None).cast("string")).join(contents, "content_sha", "left_semi"), "content_sha"), "counts")
+    put("file_metrics", S.file_metadata(new_files.select("path", "length"))
+        .join(ours, "path").join(counts, "content_sha", "left")
+        .join(reshape.kpis(records).drop("content_sha"), "path", "left")
+        .join(records.select("path", "json_status", "valid"), "path", "left")
+        .withColumn("file_type", F.when(F.col("pages").isNull(), F.lit("Unknown")).otherwise(F.col("file_type"))))
+    t.store(ours.join(failures, ["path", "content_sha"], "left_anti").withColumn("job_key", F.lit(job_key)), "file_index")
+    statuses = {(r.json_status, r.valid): r.records for r in reshape.status_counts(records).collect()}  # a few rows
+    stages = {r.stage: r["count"] for r in failures.groupBy("stage").count().collect()}
+    t.publish("outputs")
+    summary = {"files": keyed.count(), "new_files": new_files.count(), "records": statuses, "failures": stages, **seen.get}
+    t.clear_work()
+    paths.update({k: f"{t.out_dir}/{k}" for k in (*STORES, "invoice_flat_csv", "invoice_json")})
+    return paths | {"run": t.run, "summary": summary}
+
+
+def run_invoice_job(spark: SparkSession, input_dir: str, out_dir: str, decoder_factory: Callable,
+                    recogniser_factory: Callable, client_factory: Callable | None = None,
+                    options: JobOptions | None = None) -> dict:
+    """Run the batch over a folder; see `process_files`.  Files done by an
+    earlier run are skipped.
 
     Without `client_factory` the rule extractor reads the fields (offline).
     """
     o = options or JobOptions()
     scan = S.scan_files(spark, input_dir, o.extensions)
-    return process_files(spark, scan, out_dir, decoder_factory, recogniser_factory,
-                         client_factory, o)
+    return process_files(spark, scan, out_dir, decoder_factory, recogniser_factory, client_factory, o)

@@ -74,15 +74,10 @@ def validation_report(spark, sf_dir):
 def gstin_modes(spark, sf_dir):
     """V8: the tax ids as read by default and with strict alias reading."""
     configure(spark)
-    rep = repair_responses(damaged_responses(spark, sf_dir))
-    lax = validate_records(rep).select(
-        "path", "json_status", "raw",
-        F.col("invoice.vendor_gstin").alias("vendor_gstin"),
-        F.col("invoice.buyer_gstin").alias("buyer_gstin"))
-    return validate_records(lax, strict_alias=True).select(
-        "path", "vendor_gstin", "buyer_gstin",
-        F.col("invoice.vendor_gstin").alias("vendor_gstin_strict"),
-        F.col("invoice.buyer_gstin").alias("buyer_gstin_strict"))
+    both = validate_records(repair_responses(damaged_responses(spark, sf_dir)), strict_alias="both")
+    return both.select(
+        "path", F.col("invoice.vendor_gstin").alias("vendor_gstin"), F.col("invoice.buyer_gstin").alias("buyer_gstin"),
+        "vendor_gstin_strict", "buyer_gstin_strict")
 
 
 def kpis(spark, sf_dir):

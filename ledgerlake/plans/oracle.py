@@ -6,6 +6,8 @@ parses the JSON the Spark side builds, so it checks the whole chain.
 
 from __future__ import annotations
 
+from ..schema import DOUBLE_HEADER, FLAT_HEADER_ORDER, HEADER_FIELDS
+
 # Lines of each order with their rank inside the order.
 _LINES = """
 lines AS (
@@ -26,7 +28,7 @@ per_order AS (
   FROM lines GROUP BY l_orderkey
 ),
 inv AS (
-  SELECT o.o_orderkey, o.o_orderkey % 8 AS m,
+  SELECT o.o_orderkey, o.o_orderkey % 20 AS m,
     'orders/' || CAST(o.o_orderkey AS VARCHAR) || '.pdf' AS path,
     s.s_name AS vendor_name,
     'Unit ' || CAST(s.s_suppkey AS VARCHAR) || ', ' || sn.n_name AS vendor_address,
@@ -54,28 +56,33 @@ inv AS (
 
 _WITH = "WITH " + _LINES + "," + _INV + "\n"
 
-_HEADER = ["vendor_name", "vendor_address", "vendor_gstin", "buyer_name", "buyer_address",
-           "buyer_gstin", "invoice_number", "invoice_date", "due_date", "currency",
-           "subtotal", "tax_percent", "tax_amount", "total", "notes"]
-_DECL = ["vendor_name", "vendor_address", "vendor_gstin", "invoice_number", "invoice_date",
-         "due_date", "buyer_name", "buyer_address", "buyer_gstin", "currency", "subtotal",
-         "tax_percent", "tax_amount", "total", "notes"]
-_DOUBLES = {"subtotal", "tax_percent", "tax_amount", "total"}
+_HEADER = FLAT_HEADER_ORDER
+_DECL = [n for n, _ in HEADER_FIELDS]
+_DOUBLES = set(DOUBLE_HEADER)
 
 
 def _header_cols(prefix="i.") -> str:
     return ", ".join(f"{prefix}{c} AS {c}" for c in _HEADER)
 
 
+# Damage modes by outcome (`m`, see sources/tables.py).  10 is invalid only where there are items.
+_EMPTY = "(6, 14)"                        # no field survives
+_INVALID = "(i.m IN (5, 8, 9, 14, 15, 16, 17, 18) OR i.m = 10 AND i.n_lines > 0)"
+_LOST = {"invoice_number": "(5)", "subtotal": "(8, 13, 17)", "tax_amount": "(13)", "total": "(13, 18)"}
+_READ = {"subtotal": "WHEN i.m = 19 THEN 5.5", "tax_percent": "WHEN i.m = 19 THEN 10.0", "total": "WHEN i.m = 19 THEN 1.0"}
+
+
+def _damaged(c: str) -> str:
+    """A header field as it comes out of the damaged responses."""
+    lost = f"WHEN i.m IN {_LOST[c]} THEN NULL " if c in _LOST else ""
+    return f"CASE WHEN i.m IN {_EMPTY} THEN NULL {lost}{_READ.get(c, '')} ELSE i.{c} END"
+
+
 def _damaged_header_cols() -> str:
-    # mode 6 -> {} (all null); mode 5 -> invoice_number is a JSON number,
-    # which does not fit the string column of an invalid record.
-    out = []
-    for c in _HEADER:
-        if c == "invoice_number":
-            out.append(f"CASE WHEN i.m IN (5, 6) THEN NULL ELSE i.{c} END AS {c}")
-        else:
-            out.append(f"CASE WHEN i.m = 6 THEN NULL ELSE i.{c} END AS {c}")
+    # Mode 8: the first item's own currency wins in its row, the other items' null ones in theirs.
+    out = [f"{_damaged(c)} AS {c}" for c in _HEADER if c != "currency"]
+    out.append(f"CASE WHEN i.m = 8 AND l.line_no = 1 THEN 'ITM' WHEN i.m = 8 AND l.line_no > 1 THEN NULL "
+               f"ELSE {_damaged('currency')} END AS currency")
     return ", ".join(out)
 
 
@@ -111,26 +118,30 @@ FROM inv i JOIN lines l ON l.l_orderkey = i.o_orderkey""",
 SELECT {_STATUS} AS json_status, count(*) AS records FROM inv i GROUP BY 1""",
 
     "repaired_flat": _WITH + f"""
-SELECT i.path, {_damaged_header_cols()}, {_ITEM_COLS}, i.m = 5 AS has_extras
-FROM inv i LEFT JOIN lines l ON l.l_orderkey = i.o_orderkey AND i.m <> 6""",
+, dl AS (
+  SELECT l.l_orderkey, i.m, l.line_no, CASE i.m WHEN 10 THEN NULL WHEN 11 THEN '' ELSE l.p_name END AS p_name,
+         l.l_quantity, l.p_retailprice, l.l_extendedprice
+  FROM lines l JOIN inv i ON l.l_orderkey = i.o_orderkey WHERE i.m NOT IN (6, 14, 15, 16)
+  UNION ALL SELECT o_orderkey, m, n_lines + 1, NULL, NULL, NULL, NULL FROM inv WHERE m = 9
+)
+SELECT i.path, {_damaged_header_cols()}, {_ITEM_COLS}, {_INVALID} AS has_extras
+FROM inv i LEFT JOIN dl l ON l.l_orderkey = i.o_orderkey""",
 
     "validation_report": _WITH + f"""
-SELECT {_STATUS} AS json_status, i.m <> 5 AS valid, count(*) AS records
+SELECT {_STATUS} AS json_status, NOT {_INVALID} AS valid, count(*) AS records
 FROM inv i GROUP BY 1, 2""",
 
-    "gstin_modes": _WITH + """
+    "gstin_modes": _WITH + f"""
 SELECT i.path,
-  CASE WHEN i.m = 6 THEN NULL ELSE i.vendor_gstin END AS vendor_gstin,
-  CASE WHEN i.m = 6 THEN NULL ELSE i.buyer_gstin END AS buyer_gstin,
-  CASE WHEN i.m IN (5, 7) THEN i.vendor_gstin END AS vendor_gstin_strict,
-  CASE WHEN i.m IN (5, 7) THEN i.buyer_gstin END AS buyer_gstin_strict
+  CASE WHEN i.m IN {_EMPTY} THEN NULL ELSE i.vendor_gstin END AS vendor_gstin,
+  CASE WHEN i.m IN {_EMPTY} THEN NULL ELSE i.buyer_gstin END AS buyer_gstin,
+  CASE WHEN i.m <> 14 AND (i.m = 7 OR {_INVALID}) THEN i.vendor_gstin END AS vendor_gstin_strict,
+  CASE WHEN i.m <> 14 AND (i.m = 7 OR {_INVALID}) THEN i.buyer_gstin END AS buyer_gstin_strict
 FROM inv i""",
 
-    "kpis": _WITH + """
+    "kpis": _WITH + f"""
 SELECT i.path,
-  CAST(CASE WHEN i.m = 6 THEN 0 ELSE i.n_lines END AS INTEGER) AS line_items_count,
-  CASE WHEN i.m = 6 THEN NULL ELSE i.subtotal END AS subtotal,
-  CASE WHEN i.m = 6 THEN NULL ELSE i.tax_percent END AS tax_percent,
-  CASE WHEN i.m = 6 THEN NULL ELSE i.total END AS total
+  CAST(CASE WHEN i.m IN (6, 14, 15, 16) THEN 0 WHEN i.m = 9 THEN i.n_lines + 1 ELSE i.n_lines END AS INTEGER) AS line_items_count,
+  {_damaged("subtotal")} AS subtotal, {_damaged("tax_percent")} AS tax_percent, {_damaged("total")} AS total
 FROM inv i""",
 }

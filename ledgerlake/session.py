@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -78,16 +79,33 @@ def build_session(master: str | None = None, app: str = "ledgerlake",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and persisted stage outputs.
+    """The shared folder for cut lineage and stored stage outputs: what
+    `spark.checkpoint.dir` names, or the folder set on the context.
 
-    On a cluster this is `spark.checkpoint.dir` as the cluster names it; the
-    library only picks its own folder when that setting is unset (tests, local
-    runs).
+    Only a local session (tests, single machine) may do without: it gets a
+    temporary folder.  On a cluster a missing setting is an error, since a
+    machine-local folder would not be seen by the executors.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="ledgerlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the length of a block; the old value comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

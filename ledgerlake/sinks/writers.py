@@ -26,8 +26,9 @@ def plain_double(c: Column) -> Column:
 
 
 def write_tables(records: DataFrame, out_dir: str, keys=None, partition_by=None,
-                 mode: str = "overwrite") -> dict[str, str]:
-    """Write invoice_header/, line_items/ and invoice_flat/ as Parquet.
+                 mode: str = "overwrite", only=None) -> dict[str, str]:
+    """Write invoice_header/, line_items/ and invoice_flat/ as Parquet (X3),
+    or those in `only`.
 
     `records` should be persisted (or read from storage) by the caller: three
     writes read it three times.
@@ -40,6 +41,8 @@ def write_tables(records: DataFrame, out_dir: str, keys=None, partition_by=None,
     }
     paths = {}
     for name, df in tables.items():
+        if only and name not in only:
+            continue
         df = df.withColumn("stem", stem(F.col("path"))) if "path" in df.columns else df
         w = df.write.mode(mode)
         if partition_by:
@@ -78,7 +81,8 @@ def write_flat_csv(flat: DataFrame, path: str, mode: str = "overwrite") -> str:
 def write_records_json(records: DataFrame, path: str, keys=None, mode: str = "overwrite") -> str:
     """One JSON line per record with nulls kept and non-ASCII as is."""
     k = keys or ["path"]
-    out = records.select(*k, F.col("json_status"), F.col("valid"), F.col("invoice.*"),
+    stems = [stem(F.col("path")).alias("stem")] if "path" in k else []
+    out = records.select(*k, *stems, F.col("json_status"), F.col("valid"), F.col("invoice.*"),
                          F.to_json(F.col("extras")).alias("extras"))
     out.write.mode(mode).option("ignoreNullFields", "false").json(path)
     return path

@@ -104,13 +104,19 @@ def unique_contents(files: DataFrame, key: str = "path") -> DataFrame:
         F.min(key).alias("first_" + key), F.count(F.lit(1)).alias("copies"))
 
 
-def representative(files: DataFrame, key: str = "path") -> DataFrame:
+def representative(files: DataFrame, store_path: str, key: str = "path") -> DataFrame:
     """(key, content_sha, rep_key): every file mapped to the first file with
     the same bytes, so expensive stages run once per content and are joined
-    back to all copies.  The join is skewed when one content has many copies;
-    adaptive execution splits that partition of the large side."""
+    back to all copies.
+
+    The unique table is written to `store_path` first.  The join then has a
+    plain exchange on both sides, and adaptive execution splits a content
+    with very many copies over tasks; it does not split below an aggregate.
+    """
     uniq = unique_contents(files, key).select("content_sha", F.col("first_" + key).alias("rep_" + key))
-    return files.select(key, "content_sha").join(uniq, "content_sha", "inner")
+    uniq.write.parquet(store_path)
+    stored = files.sparkSession.read.schema(uniq.schema).parquet(store_path)
+    return files.select(key, "content_sha").join(stored, "content_sha", "inner")
 
 
 def not_yet_processed(files: DataFrame, done: DataFrame, on) -> DataFrame:

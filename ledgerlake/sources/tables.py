@@ -7,8 +7,7 @@ decimal(18,2) and the tax rate (the order's highest line tax) as
 decimal(4,2), then written as double.
 
 The response text of each invoice is the record as JSON, damaged in one of
-eight ways chosen by `o_orderkey mod 8` (see `DAMAGE_MODES`), so that every
-repair and validation path runs on real volumes.
+twenty ways chosen by `o_orderkey mod 20` (see `DAMAGE_MODES`).
 
 Scale: lineitem is read once, joined to part on `l_partkey` (broadcast only
 if the runtime size of `part` is under the session threshold) and grouped by
@@ -22,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import INVOICE_FIELDS, LINE_ITEM_TYPE
+from ..schema import DOUBLE_HEADER, INVOICE_FIELDS, ITEM_FIELDS, LINE_ITEM_TYPE
 
 MONEY = "decimal(18,2)"
 RATE = "decimal(4,2)"
@@ -30,37 +29,36 @@ RATE = "decimal(4,2)"
 # Currency of the buyer's region (region keys 0..4), an own choice.
 REGION_CURRENCY = ["USD", "EUR", "GBP", "INR", "JPY"]
 
-# o_orderkey mod 8 -> how the response text is written.
+# o_orderkey mod 20 -> how the response text is written, and what becomes of it.
 DAMAGE_MODES = {
-    0: "plain",            # the JSON as is                       -> ok, valid
-    1: "tagged_fence",     # ```json ... ```                      -> sliced, valid
-    2: "fence",            # ``` ... ```                          -> ok, valid
-    3: "prose",            # text around the JSON                 -> sliced, valid
-    4: "numeric_strings",  # money and quantities as padded text  -> ok, valid
-    5: "number_in_text",   # invoice_number as a JSON number      -> ok, invalid
-    6: "cut_off",          # first half of the JSON only          -> empty, valid {}
-    7: "alias_keys",       # tax ids under vendor_gst / buyer_gst -> ok, valid
+    0: "plain",              # the JSON as is                          -> ok, valid
+    1: "tagged_fence",       # ```json ... ```                         -> sliced, valid
+    2: "fence",              # ``` ... ```                             -> ok, valid
+    3: "prose",              # text around the JSON                    -> sliced, valid
+    4: "numeric_strings",    # money and quantities as padded text     -> ok, valid
+    5: "number_in_text",     # invoice_number as a JSON number         -> ok, invalid
+    6: "cut_off",            # first half of the JSON only             -> empty, valid {}
+    7: "alias_keys",         # tax ids under vendor_gst / buyer_gst    -> ok, valid
+    8: "header_key_in_item", # first item holds a currency, the others a null one; subtotal a list -> ok, invalid
+    9: "text_among_items",   # a text follows the items                -> ok, invalid
+    10: "null_description",  # descriptions null                       -> ok, invalid if there are items
+    11: "no_description",    # descriptions absent                     -> ok, valid, ''
+    12: "unknown_keys",      # unknown keys at both levels             -> ok, valid, dropped
+    13: "not_finite",        # subtotal "inf", tax_amount "1e400", total "NaN" -> ok, valid, null
+    14: "top_level_list",    # the record inside a list                -> ok, invalid, all null
+    15: "items_as_object",   # line_items an object                    -> ok, invalid, no items
+    16: "items_as_text",     # line_items a text                       -> ok, invalid, no items
+    17: "separator_in_number",  # subtotal starts with 0x1c            -> ok, invalid
+    18: "padded_underscore", # total " 7_1"                            -> ok, invalid
+    19: "odd_spaces",        # subtotal inside no-break spaces, tax_percent "1_0", total true -> ok, valid
 }
 
 PROSE_HEAD = "Here is the extracted invoice:\n"
 PROSE_TAIL = "\nLet me know if anything is missing."
 
 
-_FRAMES: dict = {}
-
-
-def _memo(spark: SparkSession, key, build):
-    """Lazy frames are plans, not data: building one lists files and reads
-    footers on the driver, so each is built once per application."""
-    k = (spark.sparkContext.applicationId,) + key
-    if k not in _FRAMES:
-        _FRAMES[k] = build()
-    return _FRAMES[k]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def invoice_path(orderkey: Column) -> Column:
@@ -72,7 +70,22 @@ def tax_id(nationkey: Column, key: Column, tag: str) -> Column:
                     F.lpad(key.cast("string"), 7, "0"), F.lit("Z1"))
 
 
+def _order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor, subtotal and tax rate of each order: partial sums before the
+    shuffle, no item ever moved."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_tax")
+    return li.groupBy("l_orderkey").agg(*_totals())
+
+
+def _totals() -> list[Column]:
+    return [F.min("l_suppkey").alias("vendor_key"),
+            F.sum(F.col("l_extendedprice").cast(MONEY)).alias("subtotal_d"),
+            F.max(F.col("l_tax").cast(RATE)).alias("rate")]
+
+
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of each order and its item array.  An invoice is one
+    record, so its items end up in one array, however they are gathered."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -93,19 +106,14 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("l_extendedprice").alias("amount"))
     return lines.groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct(order_key.alias("k"), item.alias("item")))).alias("lines"),
-        F.min("l_suppkey").alias("vendor_key"),
-        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("subtotal_d"),
-        F.max(F.col("l_tax").cast(RATE)).alias("rate"))
+        *_totals())
 
 
-def invoice_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def invoice_columns(spark: SparkSession, sf_dir: str, with_items: bool = True) -> DataFrame:
     """One row per order: `o_orderkey`, `path` and one column per invoice
-    field (canonical types)."""
-    return _memo(spark, ("invoice_columns", sf_dir), lambda: _invoice_columns(spark, sf_dir))
-
-
-def _invoice_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_order = _order_lines(spark, sf_dir)
+    field (canonical types).  Without items, `line_items` is left out and
+    lines are only summed."""
+    per_order = _order_lines(spark, sf_dir) if with_items else _order_totals(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
@@ -140,11 +148,12 @@ def _invoice_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tax_percent": (F.col("rate") * F.lit(100)).cast("double"),
         "tax_amount": tax_d.cast("double"),
         "total": (F.col("subtotal_d") + tax_d).cast("double"),
-        "line_items": F.coalesce(F.transform("lines", lambda x: x["item"]), empty),
         "notes": F.concat(F.lit("priority "), F.col("o_orderpriority")),
     }
+    if with_items:
+        fields["line_items"] = F.coalesce(F.transform("lines", lambda x: x["item"]), empty)
     return j.select("o_orderkey", invoice_path(F.col("o_orderkey")).alias("path"),
-                    *[fields[n].alias(n) for n, _ in INVOICE_FIELDS])
+                    *[fields[n].alias(n) for n, _ in INVOICE_FIELDS if n in fields])
 
 
 def invoice_struct(overrides: dict | None = None, rename: dict | None = None) -> Column:
@@ -172,28 +181,65 @@ def clean_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, response, error) with the response damaged by `o_orderkey mod 8`."""
+    """(path, response, error) with the response damaged by `o_orderkey mod 20`."""
     inv = invoice_columns(spark, sf_dir)
+    items = F.col("line_items")
+
+    def record(overrides=None, rename=None) -> Column:
+        return F.to_json(invoice_struct(overrides, rename), {"ignoreNullFields": "false"})
+
+    def text(value: str) -> Column:
+        return F.lit(value)
+
+    def with_items(of) -> Column:
+        return record({"line_items": F.transform(items, of)})
+
+    def each_item(*fields):
+        return lambda i: F.struct(*[i[f].alias(f) for f, _ in ITEM_FIELDS if f not in dict(fields)],
+                                  *[c.alias(f) for f, c in fields if c is not None])
+
     plain = F.to_json(invoice_struct())
     numeric = F.to_json(invoice_struct({
-        **{n: _padded_text(F.col(n)) for n in ("subtotal", "tax_percent", "tax_amount", "total")},
+        **{n: _padded_text(F.col(n)) for n in DOUBLE_HEADER},
         "line_items": F.transform("line_items", lambda i: F.struct(
             i["description"].alias("description"),
             _padded_text(i["quantity"]).alias("quantity"),
             i["unit_price"].alias("unit_price"),
             i["amount"].alias("amount"))),
     }))
-    number_id = F.to_json(invoice_struct({"invoice_number": F.col("o_orderkey")}))
-    aliased = F.to_json(invoice_struct(rename={"vendor_gstin": "vendor_gst", "buyer_gstin": "buyer_gst"}))
-    m = F.pmod(F.col("o_orderkey"), F.lit(8))
-    response = (F.when(m == 0, plain)
-                .when(m == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
-                .when(m == 2, F.concat(F.lit("```\n"), plain, F.lit("\n```")))
-                .when(m == 3, F.concat(F.lit(PROSE_HEAD), plain, F.lit(PROSE_TAIL)))
-                .when(m == 4, numeric)
-                .when(m == 5, number_id)
-                .when(m == 6, plain.substr(F.lit(1), (F.length(plain) / 2).cast("int")))
-                .otherwise(aliased))
+    first_has_currency = F.transform(items, lambda i, k: F.struct(
+        *[i[f].alias(f) for f, _ in ITEM_FIELDS], F.when(k == 0, F.lit("ITM")).alias("currency")))
+    with_sku = F.transform(items, lambda i: F.struct(*[i[f].alias(f) for f, _ in ITEM_FIELDS], F.lit("x").alias("sku")))
+    texts = F.concat(F.transform(items, lambda i: F.to_json(i)), F.array(F.lit('"loose text"')))
+    among = F.regexp_replace(record({"line_items": F.lit("@items@")}), '"@items@"', "@items@")
+    modes = {
+        0: plain,
+        1: F.concat(F.lit("```json\n"), plain, F.lit("\n```")),
+        2: F.concat(F.lit("```\n"), plain, F.lit("\n```")),
+        3: F.concat(F.lit(PROSE_HEAD), plain, F.lit(PROSE_TAIL)),
+        4: numeric,
+        5: F.to_json(invoice_struct({"invoice_number": F.col("o_orderkey")})),
+        6: plain.substr(F.lit(1), (F.length(plain) / 2).cast("int")),
+        7: F.to_json(invoice_struct(rename={"vendor_gstin": "vendor_gst", "buyer_gstin": "buyer_gst"})),
+        8: record({"line_items": first_has_currency, "subtotal": F.array(F.lit(1))}),
+        9: F.replace(among, F.lit("@items@"), F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]"))),
+        10: with_items(each_item(("description", F.lit(None).cast("string")))),
+        11: with_items(each_item(("description", None))),
+        12: F.to_json(F.struct(
+            *[(with_sku if n == "line_items" else F.col(n)).alias(n) for n, _ in INVOICE_FIELDS],
+            F.lit("x").alias("po_number"), F.array(F.lit(1)).alias("pages"))),
+        13: record({"subtotal": text("inf"), "tax_amount": text("1e400"), "total": text("NaN")}),
+        14: F.concat(F.lit("["), plain, F.lit("]")),
+        15: record({"line_items": F.struct(F.lit("x").alias("description"))}),
+        16: record({"line_items": text("none listed")}),
+        17: record({"subtotal": text("\x1c5")}),
+        18: record({"total": text(" 7_1")}),
+        19: record({"subtotal": text("\u00a05.5\u2003"), "tax_percent": text("1_0"), "total": F.lit(True)}),
+    }
+    response = None
+    m = F.pmod(F.col("o_orderkey"), F.lit(len(DAMAGE_MODES)))
+    for k, c in modes.items():
+        response = F.when(m == k, c) if response is None else response.when(m == k, c)
     return inv.select("path", response.alias("response"),
                       F.lit(None).cast("string").alias("error"))
 
@@ -208,10 +254,12 @@ def _qty(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"\.0$", "")
 
 
-def invoice_text(odd_lines_only: bool = False) -> Column:
+def invoice_text(odd_lines_only: bool = False, codes_vary: bool = False) -> Column:
     """The invoice fields of `invoice_columns` written out as text in the
-    layout the prompts show; with `odd_lines_only` only items 1, 3, 5, ...
-    are written (the others are then ungrounded)."""
+    layout that the rule extractor reads; with `odd_lines_only` only items 1, 3, 5, ...
+    are written (the others are then ungrounded).  With `codes_vary` the
+    currency code stands in the total's line only in every third invoice, in
+    a line of its own in the next, and nowhere in the last."""
     items = F.col("line_items")
     if odd_lines_only:
         items = F.filter(items, lambda x, i: i % 2 == 0)
@@ -219,6 +267,7 @@ def invoice_text(odd_lines_only: bool = False) -> Column:
         F.lit("Item "), x["description"], F.lit(" "), _qty(x["quantity"]), F.lit(" x "),
         _money(x["unit_price"]), F.lit(" "), _money(x["amount"])))
     e = lambda c: F.coalesce(c, F.lit(""))
+    place = F.pmod(F.col("o_orderkey"), F.lit(3)) if codes_vary else F.lit(0)
     return F.concat_ws(
         "\n",
         F.lit("INVOICE"),
@@ -230,13 +279,15 @@ def invoice_text(odd_lines_only: bool = False) -> Column:
         F.concat(F.lit("Subtotal "), e(_money(F.col("subtotal")))),
         F.concat(F.lit("GST "), e(F.col("tax_percent").cast("string")), F.lit("% "),
                  e(_money(F.col("tax_amount")))),
-        F.concat(F.lit("Total "), e(F.col("currency")), F.lit(" "), e(_money(F.col("total")))))
+        F.when(place == 1, F.concat(F.lit("All amounts in "), F.col("currency"))),
+        F.concat(F.lit("Total "), F.when(place == 0, F.concat(e(F.col("currency")), F.lit(" "))).otherwise(""),
+                 e(_money(F.col("total")))))
 
 
-def invoice_texts(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False) -> DataFrame:
+def invoice_texts(spark: SparkSession, sf_dir: str, codes_vary: bool = False) -> DataFrame:
     """(path, o_orderkey, raw_text): each derived invoice written as text."""
     inv = invoice_columns(spark, sf_dir)
-    return inv.select("path", "o_orderkey", invoice_text(odd_lines_only).alias("raw_text"))
+    return inv.select("path", "o_orderkey", invoice_text(codes_vary=codes_vary).alias("raw_text"))
 
 
 def clean_responses_with_text(spark: SparkSession, sf_dir: str, odd_lines_only: bool = False) -> DataFrame:

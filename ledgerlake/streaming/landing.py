@@ -3,8 +3,10 @@
 New files in the folder are picked up by the streaming `binaryFile` source;
 each micro-batch runs the batch job's incremental stages (`process_files`)
 through `foreachBatch`.  The stream's checkpoint records which files were
-offered; the job's own stores record which contents were processed, so a
-restarted query neither loses nor repeats work.
+offered.  A micro-batch publishes its tables by one last write; if it fails
+before that, the stream offers its files again and the repeated batch
+publishes them once.  Files whose call or page job failed are published as
+failures and not as done: `run_invoice_job` over the folder retries them.
 """
 
 from __future__ import annotations
@@ -15,15 +17,13 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import pages as P
 from ..plans.invoice_job import JobOptions, process_files
 from ..session import checkpoint_dir, configure
 from ..sources.files import stream_files
 
 
 def start_landing_job(spark: SparkSession, landing_dir: str, out_dir: str,
-                      decoder_factory: Callable = P.raster_decoder,
-                      recogniser_factory: Callable = P.tesseract_recogniser,
+                      decoder_factory: Callable, recogniser_factory: Callable,
                       client_factory: Callable | None = None,
                       options: JobOptions | None = None,
                       checkpoint_location: str | None = None,

@@ -2,13 +2,15 @@
 rows-only by design, and a sample of queries matches DuckDB at sf0.001."""
 
 import math
+import re
 
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-ROWS_ONLY = {"binary_scan"}
+# Optional training-data queries are the business of tests/llm.
+OPTIONAL = re.compile(r"op\d+_|pipeline$")
 
 
 def test_entry_runs(spark):
@@ -18,7 +20,7 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) - set(E.oracle_sql()) == ROWS_ONLY
+    assert not [q for q in E.queries() if not OPTIONAL.match(q) and q not in E.oracle_sql()]
 
 
 def _norm(v):
@@ -31,7 +33,7 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", ["repaired_flat", "header_long", "page_join", "content_dedup", "normalise"])
+@pytest.mark.parametrize("name", ["repaired_flat", "header_long", "page_join", "content_dedup", "normalise", "prompts", "incremental_job", "export_csv"])
 def test_matches_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -1,12 +1,14 @@
 """The whole batch on a small folder: text-born 'PDF' files (pages split at
 form feeds), a duplicate, an unreadable file and a file type that is not
-accepted; then a second run that must not redo any page."""
+accepted; then further runs: retries, a failing writer, another language."""
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import pages as P
+from ledgerlake.plans import invoice_job as J
 from ledgerlake.plans.invoice_job import JobOptions, run_invoice_job
 
 PAGE1 = "INVOICE\nNo: INV-7\nDate: 2024-05-06\nVendor: Bolt Co GSTIN 11AAAAA1111A1Z1\nBill To: Nut Ltd GSTIN 22BBBBB2222B2Z2"
@@ -18,6 +20,10 @@ def _write(d, name, data):
         f.write(data)
 
 
+def _read(spark, out, name):
+    return J.read_published(spark, out, name)
+
+
 def test_batch_end_to_end(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     os.makedirs(src)
@@ -26,52 +32,87 @@ def test_batch_end_to_end(spark, tmp_path):
     _write(src, "copy_of_a.PDF", doc)
     _write(src, "broken.pdf", b"\xff\xfe\xfa")
     _write(src, "notes.txt", b"ignored")
-    paths = run_invoice_job(spark, src, out, P.text_decoder, P.identity_recogniser,
-                            options=JobOptions(partitions=2))
-    flat = spark.read.parquet(paths["invoice_flat"])
-    rows = flat.filter(F.col("path").endswith("a.pdf")).orderBy("line_no").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    done = run_invoice_job(spark, src, out, P.text_decoder, P.identity_recogniser,
+                           options=JobOptions(partitions=2, ground_items=True))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert done["summary"] == {"files": 3, "new_files": 3, "records": {("ok", True): 2}, "failures": {"pages": 1},
+                               "pages_done": 2, "page_errors": 1, "rows": 3}
+    rows = _read(spark, out, "invoice_flat").filter(F.col("path").endswith("/a.pdf")).orderBy("line_no").collect()
     assert [(r.description, r.quantity, r.amount) for r in rows] == [("Steel bolt", 4.0, 10.0), ("Nut", 1.0, 5.0)]
     assert rows[0].vendor_name == "Bolt Co" and rows[0].total == 16.5 and rows[0].stem == "a"
-    copies = flat.filter(F.col("path").endswith("copy_of_a.PDF")).count()
-    assert copies == 2
-    metrics = {os.path.basename(r.path): r for r in spark.read.parquet(paths["file_metrics"]).collect()}
+    assert _read(spark, out, "invoice_flat").filter(F.col("path").endswith("copy_of_a.PDF")).count() == 2
+    assert {r.grounded for r in _read(spark, out, "line_items").collect()} == {True}
+    assert {r.preview for r in _read(spark, out, "previews").collect()} == {PAGE1 + "\n" + PAGE2}
+    assert all("\n" in r.json for r in _read(spark, out, "invoice_json_pretty").collect())
+    metrics = {os.path.basename(r.path): r for r in _read(spark, out, "file_metrics").collect()}
     assert sorted(metrics) == ["a.pdf", "broken.pdf", "copy_of_a.PDF"]
     assert metrics["a.pdf"].pages == 2 and metrics["a.pdf"].line_items_count == 2
     assert metrics["broken.pdf"].file_type == "Unknown" and metrics["broken.pdf"].pages is None
-    assert metrics["broken.pdf"].json_status == "api_error"
+    assert [(r.stage, r.error[:7]) for r in _read(spark, out, "failures").collect()] == [("pages", "decode:")]
     # the same content was decoded once
-    assert spark.read.parquet(paths["page_text"]).filter(F.col("page_no").isNotNull()).count() == 2
-
-    # second run: nothing new, no page decoded again
-    calls = []
-
-    def counting_decoder():
-        dec = P.text_decoder()
+    assert spark.read.parquet(done["page_text"]).count() == 2
 
-        def d(content, kind, dpi):
-            calls.append(1)
-            return dec(content, kind, dpi)
-        return d
-    run_invoice_job(spark, src, out, counting_decoder, P.identity_recogniser, options=JobOptions(partitions=2))
-    assert spark.read.parquet(paths["page_text"]).filter(F.col("page_no").isNotNull()).count() == 2
-    assert spark.read.parquet(paths["invoice_flat"]).count() == 4  # the unreadable file is left out
+    # second run: the unreadable file is tried again (and mended here), nothing else
+    _write(src, "broken.pdf", (PAGE1 + "\f" + PAGE2).replace("Nut", "Nail").encode())
+    again = run_invoice_job(spark, src, out, P.text_decoder, P.identity_recogniser, options=JobOptions(partitions=2, ground_items=True))
+    assert again["summary"]["new_files"] == 1 and again["summary"]["pages_done"] == 2
+    assert _read(spark, out, "invoice_flat").count() == 6
 
 
-def test_batch_with_model_client(spark, tmp_path):
+def test_failed_calls_are_retried(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     os.makedirs(src)
     _write(src, "x.png", b"hello")
     _write(src, "y.png", b"fail me")
 
-    def client_factory():
-        def call(prompt):
-            if "fail" in prompt:
-                raise RuntimeError("quota")
-            return "```json\n{\"notes\": \"seen\", \"total\": \"12.5\"}\n```"
-        return call
-    paths = run_invoice_job(spark, src, out, P.text_decoder, P.identity_recogniser, client_factory,
-                            options=JobOptions(partitions=2, prompt_style="plain", currency_hint="USD"))
-    recs = {os.path.basename(r.path): r for r in spark.read.parquet(paths["records"]).collect()}
-    assert recs["x.png"].json_status == "sliced" and recs["x.png"].invoice.total == 12.5
-    assert recs["y.png"].json_status == "api_error" and recs["y.png"].valid is False
-    assert spark.read.parquet(paths["invoice_flat"]).count() == 1  # failed calls are left out
+    def client_factory(outage):
+        def factory():
+            def call(prompt):
+                if outage and "fail" in prompt:
+                    raise RuntimeError("quota")
+                return "```json\n{\"notes\": \"seen\", \"total\": \"12.5\"}\n```"
+            return call
+        return factory
+    o = JobOptions(partitions=2, prompt_style="plain", currency_hint="USD")
+    args = (spark, src, out, P.text_decoder, P.identity_recogniser)
+    first = run_invoice_job(*args, client_factory(True), options=o)
+    recs = {os.path.basename(r.path): r for r in _read(spark, out, "records").collect()}
+    assert list(recs) == ["x.png"] and recs["x.png"].json_status == "sliced" and recs["x.png"].invoice.total == 12.5
+    assert first["summary"]["failures"] == {"call": 1}
+    second = run_invoice_job(*args, client_factory(False), options=o)
+    assert second["summary"]["new_files"] == 1 and second["summary"]["rows"] == 0  # no page decoded again
+    assert sorted(os.path.basename(r.path) for r in _read(spark, out, "records").collect()) == ["x.png", "y.png"]
+    third = run_invoice_job(*args, client_factory(True), options=o)
+    assert third["summary"]["new_files"] == 0 and _read(spark, out, "records").count() == 2
+
+
+def test_failure_before_publishing_leaves_no_rows_twice(spark, tmp_path, monkeypatch):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    os.makedirs(src)
+    _write(src, "a.pdf", (PAGE1 + "\f" + PAGE2).encode())
+    args = (spark, src, out, P.text_decoder, P.identity_recogniser)
+    with monkeypatch.context() as m:
+        m.setattr(J.writers, "write_records_json", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run_invoice_job(*args, options=JobOptions(partitions=2))
+    assert J.published_runs(spark, out) == [] and len(J.published_runs(spark, out, "responses")) == 1
+    done = run_invoice_job(*args, options=JobOptions(partitions=2))
+    assert done["summary"]["rows"] == 0  # pages and responses of the failed run are used
+    for name, n in (("invoice_flat", 2), ("invoice_header", 1), ("records", 1), ("file_metrics", 1)):
+        assert _read(spark, out, name).count() == n
+
+
+def test_other_language_is_read_again(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    os.makedirs(src)
+    _write(src, "a.png", b"text")
+    tagged = lambda lang: lambda page: f"{lang} {page}"
+    for lang in ("eng", "deu", "eng"):
+        run_invoice_job(spark, src, out, P.text_decoder, tagged, options=JobOptions(partitions=2, lang=lang))
+    assert sorted(r.preview for r in _read(spark, out, "previews").collect()) == ["deu text", "eng text"]
+
+
+def test_storage_errors_are_raised(spark, tmp_path):
+    with pytest.raises(Exception):
+        J.published_runs(spark, "nosuchfs://there/out")

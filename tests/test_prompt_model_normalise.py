@@ -27,7 +27,7 @@ def test_prompts(spark):
                                       PR.plain_prompt(F.col("t"), F.col("h")).alias("pp")).collect()}
     pa = json.loads(rows["a"].pj)
     assert pa["text"] == 'text "q"\nline' and pa["schema"]["currency"] == "USD"
-    assert pa["schema"]["subtotal"] is None and pa["examples"][0]["output"]["total"] == 16.5
+    assert pa["schema"]["subtotal"] is None and pa["examples"][0]["output"]["total"] == 224
     assert json.loads(rows["b"].pj)["schema"]["currency"] == ""
     assert rows["a"].pp.endswith('text "q"\nline') and '"currency": "USD"' in rows["a"].pp
     assert '"currency": ""' in rows["b"].pp
@@ -76,6 +76,24 @@ def test_normalisers(spark):
     assert [r.u for r in got] == [None, "x", None]
 
 
+def test_clean_validation(spark):
+    from helpers import responses
+    rec = '{"subtotal": "$1,200.50", "tax_percent": "18 %", "total": "EUR 9", "invoice_date": "5 January 1997", ' \
+          '"due_date": "soon", "buyer_address": "a\\n b ", "notes": "  ", "line_items": [{"amount": "1,000"}]}'
+    plain, clean = (extract_records(responses(spark, [rec]), clean=c).collect()[0] for c in (False, True))
+    assert not plain.valid and clean.valid
+    assert (clean.invoice.subtotal, clean.invoice.tax_percent, clean.invoice.total) == (1200.5, 18.0, 9.0)
+    assert clean.invoice.line_items[0].amount == 1000.0
+    inv = extract_records(responses(spark, [rec]), clean=True).select(N.clean_invoice(F.col("invoice")).alias("i")).collect()[0].i
+    assert (inv.invoice_date, inv.due_date, inv.buyer_address, inv.notes, inv.total) == ("1997-01-05", "soon", "a, b", None, 9.0)
+
+
+def test_currency_code_without_total_code(spark):
+    df = spark.createDataFrame([("Total 16.50\nall in GBP",), ("Total 16.50",), ("Total EUR 16.50\nGBP",)], "t string")
+    got = [r.i.currency for r in df.select(M.rule_extract(F.col("t"), F.lit("CHF")).alias("i")).collect()]
+    assert got == ["GBP", "CHF", "EUR"]
+
+
 def test_grounded(spark):
     df = spark.createDataFrame([("Steel Bolt", INVOICE_TEXT), ("Washer", INVOICE_TEXT)], "d string, t string")
     assert [r.g for r in df.select(M.grounded(F.col("d"), F.col("t")).alias("g")).collect()] == [True, False]

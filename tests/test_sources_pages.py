@@ -1,10 +1,12 @@
 """S1-S9, K4, K5, T1, T2 on small files written here."""
 
 import os
+from contextlib import ExitStack
 
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import pages as P
+from ledgerlake.session import setting
 from ledgerlake.sources import files as S
 
 
@@ -29,10 +31,28 @@ def test_scan_metadata_and_dedup(spark, tmp_path):
     assert [meta[n].size_kb for n in ["a.PDF", "b.jpg", "e.jpeg"]] == [0.2, 0.8, 0.1]
     assert meta["a.PDF"].kind == "pdf" and meta["b.jpg"].kind == "image" and meta["a.PDF"].stem == "a"
     rep = {os.path.basename(r.path): os.path.basename(r.rep_path)
-           for r in S.representative(S.with_content_key(files)).collect()}
+           for r in S.representative(S.with_content_key(files), str(tmp_path / "unique")).collect()}
     assert rep["c.tiff"] == rep["a.PDF"] and rep["b.jpg"] == "b.jpg"
 
 
+def test_hot_content_is_split(spark, tmp_path):
+    """Two thirds of the files share one content: the join back splits it."""
+    files = spark.range(400_000).select(
+        F.concat(F.lit("docs/"), F.col("id").cast("string"), F.lit(".pdf")).alias("path"),
+        F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("content_sha"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.files.maxPartitionBytes": "1m"}
+    with ExitStack() as stack:
+        for k, v in conf.items():
+            stack.enter_context(setting(spark, k, v))
+        rep = S.representative(files.repartition(16), str(tmp_path / "unique"))
+        n = rep.groupBy().agg(F.count("*").alias("n"), F.countDistinct("rep_path").alias("d"), F.max("path").alias("p"))
+        assert [tuple(r) for r in n.collect()] == [(400_000, 133_333 + 1, "docs/99999.pdf")]
+        assert "SortMergeJoin(skew=true)" in n._jdf.queryExecution().executedPlan().toString()
+
+
 def test_size_rounding(spark):
     df = spark.createDataFrame([(256,), (768,), (1280,), (51,), (52,)], "length long")
     assert [r.s for r in df.select(S.size_kb(F.col("length")).alias("s")).collect()] == [0.2, 0.8, 1.2, 0.0, 0.1]
@@ -65,10 +85,20 @@ def test_page_job_setup_failure_is_rows(spark, tmp_path):
     d = str(tmp_path)
     _write(d, "x.png", b"123")
 
-    def broken(lang):
+    def broken(*lang):
         raise RuntimeError("no engine")
-    rows = P.page_job(S.scan_files(spark, d), P.text_decoder, broken).collect()
-    assert len(rows) == 1 and rows[0].error.startswith("setup:")
+    for size in (None, 4):
+        for dec, rec in ((P.text_decoder, broken), (broken, P.identity_recogniser)):
+            rows = P.page_job(S.scan_files(spark, d), dec, rec, pages_per_task=size, partitions=2).collect()
+            assert len(rows) == 1 and rows[0].error.startswith("setup:")
+
+
+def test_parts_hold_their_own_bytes(spark):
+    text = "\f".join(f"page {i}" for i in range(10)).encode()
+    df = spark.createDataFrame([("a", text, "pdf")], "_key string, _content binary, _kind string")
+    parts = P._parts(df, P.text_decoder, "string", 4).orderBy("_first").collect()
+    assert [(r._first, bytes(r._content)) for r in parts] == [
+        (0, b"page 0\fpage 1\fpage 2\fpage 3"), (4, b"page 4\fpage 5\fpage 6\fpage 7"), (8, b"page 8\fpage 9")]
 
 
 def test_join_pages_order_and_nulls(spark):

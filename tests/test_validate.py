@@ -109,6 +109,14 @@ def test_unknown_keys_dropped_when_valid(spark):
     assert r.valid and r.extras is None and r.invoice.vendor_name == "V"
 
 
+@pytest.mark.parametrize("text,value", [
+    ("\x1c5", "reject"), ("5\x1f", "reject"), (" 7_1", "reject"), ("031_8 ", "reject"), ("7_1", 71.0), ("\u00a05.5\u2003", 5.5),
+    ("\t3\n", 3.0), ("1e400", None), ("1" + "0" * 400, None), ("inf", None)])
+def test_number_texts(spark, text, value):
+    r = run(spark, [{"total": text}])[0]
+    assert r.valid is (value != "reject") and r.invoice.total == (None if value == "reject" else value)
+
+
 # --- library oracle --------------------------------------------------------------
 
 def _oracle_model():
@@ -128,7 +136,8 @@ def _oracle_model():
 
 _scalar = st.one_of(st.none(), st.booleans(), st.integers(-1000, 1000),
                     st.floats(allow_nan=False, allow_infinity=False, width=32),
-                    st.sampled_from(["", " 1.5 ", "x", "1e3", "1,2", "2_0", "nan", "-inf", "5."]))
+                    st.sampled_from(["", " 1.5 ", "x", "1e3", "1,2", "2_0", "nan", "-inf", "5."]),
+                    st.text(alphabet="0123._eE+- \u00a0\x1c\x1f\t\u2003", max_size=7))
 _item = st.one_of(_scalar, st.dictionaries(st.sampled_from(["description", "quantity", "unit_price", "amount", "zz"]),
                                             _scalar, max_size=4))
 _record = st.dictionaries(
