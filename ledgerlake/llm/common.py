@@ -4,6 +4,7 @@ in the cluster's shared folder, and ASCII word splitting."""
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,19 @@ class Store:
             p.getFileSystem(conf).delete(p, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Within the block, batches for Python hold at most so many rows: bounds the workers' memory where
+    rows are large.  The session's own setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
