@@ -17,7 +17,9 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, once, task_count
+from .common import Store, arrow_rows, once, task_count
+from .tokencount import byte_letters
 
 LENGTH = 2048
 END_ID = 1
 DIMS, BITS, BUCKETS = 3, 16, 64
-CACHE_WORDS = 400_000
+CACHE_PIECES = 400_000
 
 
 def default_tokenizer() -> str:
@@ -39,80 +42,82 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Characters on which the tokenizer's own normalising and splitting is stated by the pattern below: printable
+# ASCII, blanks, Latin letters and signs up to U+017F but for U+0130, whose lower case is two characters.
+_KNOWN = r"[ \t\n\r!-~\u00a1-\u012f\u0131-\u017f]*"
+_LETTER, _NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+# Fixed value: the splitting pattern of the vocabulary file, for lower-cased text of those characters.
+_PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^ \t\n\r{_LETTER}{_NUMBER}]+"
+
+
+def id_type(path: str) -> np.dtype:
+    """Little-endian type that holds all ids of a vocabulary file."""
+    spec = json.load(open(path, encoding="utf-8"))
+    most = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])), END_ID])
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian bytes of `width` each.
+    """Token ids of whole texts.
 
-    For vocabularies that mark word ends and drop white space, ids of each run between spaces and
-    newlines are remembered: white space always separates tokens there.  Plain Latin words with
-    trailing points and commas are looked up by their lower-cased letters, since such a word and
-    its punctuation are always separate tokens; new ones are encoded together and told
-    apart by their end marks.  Everything else goes to the tokenizer as it is.
+    For vocabularies that mark word ends, lower-case and drop white space, texts of well-known characters are split
+    by pattern and each piece's ids are remembered.  Of other texts this is done run by run between spaces and newlines, and runs with other characters
+    go to the tokenizer as they are, as does everything for other vocabularies.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        suffix = json.load(open(path, encoding="utf-8"))["model"].get("end_of_word_suffix")
-        self.by_word = bool(suffix)
-        if self.by_word:
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.runs: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), id_type(path)
+        spec = json.load(open(path, encoding="utf-8"))
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_piece = bool(suffix) and "Lowercase" in json.dumps(spec["normalizer"]) and "'s|'t|'re|'ve|'m|'ll|'d" in json.dumps(spec["pre_tokenizer"])
+        self.marks = tuple(t["content"] for t in spec.get("added_tokens", []))
+        self.known, self.split = re.compile(_KNOWN).fullmatch, re.compile(_PIECES).findall
+        self.pieces: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        parts, other, new = [], [], set()
-        for run in runs:
-            word = run.rstrip(".,")
-            low = word.lower()
-            if low.isalpha() and max(low) < "ɐ":
-                parts.append((run, low, run[len(word):]))
-                for p in (low, run[len(word):]):
-                    if p and p not in self.words:
-                        new.add(p)
-            else:
-                other.append(run)
-        known = dict(zip(other, self._plain(other)))
-        letters = [w for w in new if w.isalpha()]
-        marks = [w for w in new if not w.isalpha()]
-        fresh = dict(zip(marks, self._plain(marks)))
-        for i in range(0, len(letters), 4096):
-            some = letters[i:i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                fresh.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, [0, *cuts[:-1]], cuts))
-            else:
-                fresh.update(zip(some, self._plain(some)))
-        for run, low, tail in parts:
-            known[run] = (fresh.get(low) or self.words[low]) + ((fresh.get(tail) or self.words[tail]) if tail else b"")
-        if len(self.words) < CACHE_WORDS:
-            self.words.update((w, b) for w, b in fresh.items() if len(w) <= 64)
-        return known
+    def _simple(self, text: str) -> bool:
+        return self.known(text) is not None and not any(m in text for m in self.marks)
+
+    def _parts(self, text: str) -> list[str]:
+        """Pieces of a text; a run that is no piece stands for itself after a blank."""
+        if self._simple(text):
+            return self.split(text.lower())
+        out = []
+        for run in text.replace("\n", " ").split(" "):
+            if run:
+                out += self.split(run.lower()) if self._simple(run) else [" " + run]
+        return out
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces; a word is one pre-token, so the vocabulary's model takes it as it is, in byte letters."""
+        other = [w for w in new if not w.isalpha()]
+        out, cut, code = dict(zip(other, self._plain(other))), self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        for w in new:
+            if w.isalpha():
+                out[w] = array(code, [t.id for t in cut(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, END_ID last."""
         end = np.array([END_ID], self.dtype).tobytes()
-        if not self.by_word:
+        if not self.by_piece:
             return [np.frombuffer(b + end, self.dtype) for b in self._plain([t or "" for t in texts])]
         out = []
         for i in range(0, len(texts), 256):
-            runs = [(t or "").replace("\n", " ").split(" ") for t in texts[i:i + 256]]
-            new = {r for rs in runs for r in rs if r not in self.runs}
-            learnt = self._learn(new) if new else {}
-            if len(self.runs) < CACHE_WORDS:
-                self.runs.update((r, b) for r, b in learnt.items() if len(r) <= 64)
-                learnt = {r: b for r, b in learnt.items() if len(r) > 64}
-            get = self.runs.__getitem__ if not learnt else lambda r, own=learnt: own[r] if r in own else self.runs[r]
-            out += [np.frombuffer(b"".join(map(get, rs)) + end, self.dtype) for rs in runs]
+            parts = [self._parts(t) if t else [] for t in texts[i:i + 256]]
+            new = set(itertools.chain.from_iterable(parts)).difference(self.pieces)
+            if len(self.pieces) + len(new) > CACHE_PIECES:
+                self.pieces = dict(itertools.islice(self.pieces.items(), CACHE_PIECES // 2))  # the first to come are the frequent ones
+                new = set(itertools.chain.from_iterable(parts)).difference(self.pieces)
+            self.pieces.update(self._learn(list(new)))
+            get = self.pieces.__getitem__
+            out += [np.frombuffer(b"".join(map(get, p)) + end, self.dtype) for p in parts]
         return out
 
 
@@ -196,8 +201,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
             [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
              pa.array(curve_keys(ids))], names=["ids", "n", "key"])
 
-    coded = store.write(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("t"))
-                        .select("id", "t.*", F.monotonically_increasing_id().alias("row")), "tokens")
+    with arrow_rows(spark, 1000):
+        coded = store.write(docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col).cast("string")).alias("t"))
+                            .select("id", "t.*", F.monotonically_increasing_id().alias("row")), "tokens")
 
     def prefix(batches):
         part, before = TaskContext.get().partitionId(), 0
@@ -217,9 +223,10 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
     offsets = spark.createDataFrame([(p, s) for (p, _), s in zip(totals, starts)], "part int, shift bigint")
     place = order.join(offsets, "part").select("row", (F.col("before") + F.col("shift")).alias("at"))
 
+    dtype = id_type(path)
+
     @F.arrow_udf(_PIECE)
     def cut(ids: pa.Array, at: pa.Array) -> pa.Array:
-        dtype = once("packing", path, Encoder).dtype
         full = total - total % length
         edges = np.array(cuts, np.int64)
         out = []

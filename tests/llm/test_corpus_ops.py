@@ -216,8 +216,9 @@ def test_packing_odd_rows(spark):
     assert packing.pack(odd(spark).limit(0)).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="aB.,'sé \n\tİ1́Σ<|>", max_size=40))
+@settings(max_examples=1500, deadline=None)
+@given(st.one_of(st.text(alphabet="aB.,'sétrvmld \n\tİ1½ǅȺ́Σ<|>²\x1c\x85\xa0\xad…ªŒ¿", max_size=40),
+                 st.lists(st.sampled_from(["'s", "'sun", "!'re", "<|endoftext|>", "x", " ", "'", "12", "É", "“a”", "\u2003"]), max_size=9).map("".join)))
 def test_encoder_equals_tokenizer(text):
     enc = _encoder()
     assert list(enc.encode([text])[0]) == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, 1]
@@ -380,3 +381,23 @@ def test_pipeline(spark):
     assert not any(re.search(r"[\w.]+@\w+\.\w", t) for _, t in rows)
     final = p.run(spark, SF)
     assert {r.doc_id for r in final.select("doc_id").distinct().collect()} == {i for i, _ in rows}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    long = " ".join(f"word{i} says" for i in range(9000)) + " at x@y.zz"
+    other = " ".join(f"thing{i} goes" for i in range(15))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, long, None, "s", 1), (4, long, "en", None, 1), (5, "few words", "en", "s", 9),
+            (None, other, "en", "s", None), (6, " ".join(f"new{i} one" for i in range(15)), "en", "s", 5)]
+    df = spark.createDataFrame([(*r, "row", "k", 1) for r in rows],
+                               "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, contamination string, __quality int")
+    want = [{3, 4, None, 6}, {3, None, 6}, {3, None, 6}, {3, None, 6}]
+    docs = df
+    for (name, stage), ids in zip(p.STAGES, want):
+        docs = Store(spark, "test").write(stage(spark, docs, SF), name)
+        assert {r.doc_id for r in docs.collect()} == ids and docs.columns == df.columns, name
+        assert stage(spark, df.limit(0), SF).count() == 0
+    text = {r.doc_id: r for r in docs.collect()}[3]
+    assert text.text.endswith(" at [EMAIL]") and text.n_chars == len(text.text)
+    assert {r.doc_id for r in p.STAGES[-1][1](spark, docs, SF).collect()} == {3, None, 6}

@@ -101,7 +101,7 @@ def test_quality_order_changes_no_verdict(spark):
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == len(ODD)
     assert quality.quality_cascade(df.limit(0)).count() == 0
     slow = {"cheap": lambda f: f.n_words < 5, "never": lambda f: sum(range(20000)) < 0}
-    assert quality.rule_order(df, "text", slow) == ["cheap", "never"]
+    assert quality.rule_order(df, "text", slow, 1.0) == ["cheap", "never"]
 
 
 def greedy(word, pieces, longest):
