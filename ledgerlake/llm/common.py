@@ -69,13 +69,26 @@ def task_count(spark: SparkSession) -> int:
 _ONCE: dict = {}
 
 
-def once(kind: str, value, build):
-    """build(value), kept in the Python worker until the same kind comes with another value."""
+def once(kind: str, value, build=lambda _: None):
+    """build(value), kept in the Python worker until the same kind comes with another value.
+
+    A kind is `operator.part`.  Workers outlive a query, so what other operators have left is let go: a
+    worker holds one operator's tables at a time."""
+    operator = kind.partition(".")[0]
+    for other in [k for k in _ONCE if k.partition(".")[0] != operator]:
+        del _ONCE[other]
     if kind not in _ONCE or (_ONCE[kind][0] is not value and not (isinstance(value, str) and _ONCE[kind][0] == value)):
+        _ONCE.pop(kind, None)
         _ONCE[kind] = (value, build(value))
     return _ONCE[kind][1]
 
 
+def values(column: pa.Array, step: int = 512):
+    """The Python values of a column, made a few rows at a time."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def lists_of(parts: list, kind: pa.DataType) -> pa.Array:
     """A list column from numpy arrays."""
     offsets = np.zeros(len(parts) + 1, np.int32)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, lists_of, once, split
+from .common import Store, lists_of, once, split, values
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -53,7 +53,7 @@ def word_id(word: bytes) -> int:
 class _WordIds(dict):
     """Hashes of the words that occur in the benchmark block, -1 for others."""
 
-    def __init__(self, ids: np.ndarray, limit: int = 400_000):
+    def __init__(self, ids: np.ndarray, limit: int = 200_000):
         super().__init__()
         self.wanted, self.limit = set(ids.tolist()), limit
 
@@ -105,7 +105,7 @@ def build_index(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame
     def index(texts: pa.Array) -> pa.Array:
         known = once("decontam.words", shared.value, _WordIds)
         n, terms, ends, positions = [], [], [], []
-        for t in texts.to_pylist():
+        for t in values(texts):
             words = words_of(t)
             ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             at = np.flatnonzero(ids >= 0)

@@ -98,9 +98,10 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
         for b in batches:
             langs = b.column(0)
             for lang in langs.unique().to_pylist():
-                mine = b.column(1).filter(pc.equal(langs, lang)).to_pylist()
-                g, _ = trigrams(mine)
-                u, n = np.unique(g, return_counts=True)
+                mine = b.column(1).filter(pc.equal(langs, lang))
+                parts = [np.unique(trigrams(mine.slice(i, 2048).to_pylist())[0], return_counts=True) for i in range(0, len(mine), 2048)]
+                u, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(n)],
                                                  names=["lang", "gram", "n"])
 
@@ -136,9 +137,8 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out: str
     def judge(texts: pa.Array) -> pa.Array:
         m = once("langid.model", shared.value, lambda v: Model(*v))
         names, scores = [], []
-        texts = texts.to_pylist()
-        for i in range(0, len(texts), 1024):
-            a, b = m.predict(texts[i:i + 1024])
+        for i in range(0, len(texts), 512):
+            a, b = m.predict(texts.slice(i, 512).to_pylist())
             names += a
             scores.append(b)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))],

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once, values
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "key")
 BASE_KINDS = KINDS[:4]
 THRESHOLD = 0.5
@@ -168,7 +170,8 @@ def find_pii(df: DataFrame, text_col: str = "text", *, out: str = "pii", thresho
 
     @F.arrow_udf(f"array<{_SPAN}>")
     def find(texts: pa.Array) -> pa.Array:
-        return pa.array([spans_of(t, threshold) for t in texts.to_pylist()], kind)
+        once("pii.none", None)
+        return pa.array([spans_of(t, threshold) for t in values(texts)], kind)
 
     return df.withColumn(out, find(F.col(text_col).cast("string")))
 
@@ -178,7 +181,8 @@ def redact(df: DataFrame, text_col: str = "text", *, out: str = "text", threshol
 
     @F.arrow_udf("string")
     def cover(texts: pa.Array) -> pa.Array:
-        return pa.array([redacted(t, spans_of(t, threshold)) for t in texts.to_pylist()], pa.string())
+        once("pii.none", None)
+        return pa.array([redacted(t, spans_of(t, threshold)) for t in values(texts)], pa.string())
 
     return df.withColumn(out, cover(F.col(text_col).cast("string")))
 

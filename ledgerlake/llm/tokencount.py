@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once
+from .common import once, values
 
 END = 256  # symbol after a word's last byte
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def default_vocabulary() -> str:
@@ -119,9 +119,9 @@ def token_counts(df: DataFrame, text_col: str = "text", *, out: str = "n_tokens"
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        counts = once("tokencount", path, _Counts)
+        counts = once("tokencount.words", path, _Counts)
         n = [sum(map(counts.__getitem__, t.encode("utf-8", "replace").lower().split())) if t else 0
-             for t in texts.to_pylist()]
+             for t in values(texts)]
         return pa.array(np.array(n, np.int64))
 
     return df.withColumn(out, count(F.col(text_col).cast("string")))
