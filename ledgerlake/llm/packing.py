@@ -33,7 +33,7 @@ from .tokencount import byte_letters
 LENGTH = 2048
 END_ID = 1
 DIMS, BITS, BUCKETS = 3, 16, 64
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 
 
 def default_tokenizer() -> str:
@@ -75,8 +75,7 @@ class Encoder:
         self.by_piece = bool(suffix) and "Lowercase" in json.dumps(spec["normalizer"]) and "'s|'t|'re|'ve|'m|'ll|'d" in json.dumps(spec["pre_tokenizer"])
         self.marks = tuple(t["content"] for t in spec.get("added_tokens", []))
         self.known, self.split = re.compile(_KNOWN).fullmatch, re.compile(_PIECES).findall
-        self.pieces: dict[str, bytes] = {}
-        self.letters = {b: c for c, b in byte_letters().items()}
+        self.pieces = _Pieces(self._plain, self.tokenizer.model, self.dtype)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -94,33 +93,39 @@ class Encoder:
                 out += self.split(run.lower()) if self._simple(run) else [" " + run]
         return out
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new pieces; a word is one pre-token, so the vocabulary's model takes it as it is, in byte letters."""
-        other = [w for w in new if not w.isalpha()]
-        out, cut, code = dict(zip(other, self._plain(other))), self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        for w in new:
-            if w.isalpha():
-                out[w] = array(code, [t.id for t in cut(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]).tobytes()
-        return out
-
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, END_ID last."""
         end = np.array([END_ID], self.dtype).tobytes()
         if not self.by_piece:
             return [np.frombuffer(b + end, self.dtype) for b in self._plain([t or "" for t in texts])]
-        out = []
-        for i in range(0, len(texts), 256):
-            parts = [self._parts(t) if t else [] for t in texts[i:i + 256]]
-            new = set(itertools.chain.from_iterable(parts)).difference(self.pieces)
-            if len(self.pieces) + len(new) > CACHE_PIECES:
-                self.pieces = dict(itertools.islice(self.pieces.items(), CACHE_PIECES // 2))  # the first to come are the frequent ones
-                new = set(itertools.chain.from_iterable(parts)).difference(self.pieces)
-            self.pieces.update(self._learn(list(new)))
-            get = self.pieces.__getitem__
-            out += [np.frombuffer(b"".join(map(get, p)) + end, self.dtype) for p in parts]
+        out, get = [], self.pieces.__getitem__
+        for t in texts:
+            out.append(np.frombuffer(b"".join(map(get, self._parts(t))) + end if t else end, self.dtype))
+            if len(self.pieces) > CACHE_PIECES:
+                for piece in list(itertools.islice(self.pieces, CACHE_PIECES // 2, None)):  # the first to come are the frequent ones
+                    del self.pieces[piece]
         return out
 
 
+class _Pieces(dict):
+    """Ids of pieces as bytes.  A word is one pre-token, so the vocabulary's model takes it as it is, in byte letters."""
+
+    def __init__(self, plain, model, dtype: np.dtype):
+        super().__init__()
+        self.plain, self.cut, self.code = plain, model.tokenize, "H" if dtype.itemsize == 2 else "I"
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = array(self.code, [t.id for t in self.cut(letters)]).tobytes()
+        else:
+            ids = self.plain([piece])[0]
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     """Place of each row of an (n, d) array of `bits`-bit coordinates on the d-dimensional Hilbert curve."""
     x = [points[:, i].astype(np.uint64) for i in range(points.shape[1])]
@@ -195,7 +200,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tok
 
     @F.arrow_udf("ids binary, n bigint, key bigint")
     def tokens(texts: pa.Array) -> pa.Array:
-        encoder = once("packing", path, Encoder)
+        encoder = once("packing.encoder", path, Encoder)
         ids = encoder.encode(texts.to_pylist())
         return pa.StructArray.from_arrays(
             [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()),
