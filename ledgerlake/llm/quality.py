@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 2000
+from .common import once, values
+
+SAMPLE_FRACTION = 0.005
 WINDOW = 8
 
 _BLANK, _SYMBOLS = b" \t\n\v\f\r", b"#*$%&|<>"
@@ -88,16 +90,17 @@ BASE_RULES = ("few_words", "repeated_passages")
 REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def rule_order(df: DataFrame, text_col: str, rules: dict, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names, most rejections per second first, as measured on at most `sample_rows` rows.
+def rule_order(df: DataFrame, text_col: str, rules: dict, sample_fraction: float = SAMPLE_FRACTION) -> list[str]:
+    """Rule names, most rejections per second first, as measured on a random share of the rows.
 
-    Each task measures its share of the rows and returns one row a rule."""
+    Each task measures its own part of the sample and returns one row a rule, so no text moves.  On
+    an empty sample the order is by name."""
     names = list(rules)
 
     def measure(batches):
         spent, hits, n = np.zeros(len(names)), np.zeros(len(names), np.int64), 0
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in values(b.column(0)):
                 n += 1
                 for i, name in enumerate(names):
                     t = time.perf_counter()
@@ -106,7 +109,7 @@ def rule_order(df: DataFrame, text_col: str, rules: dict, sample_rows: int = SAM
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(spent), pa.array(hits), pa.array([n] * len(names))],
                                          names=["rule", "spent", "hits", "n"])
 
-    rows = (df.select(F.col(text_col).cast("string")).limit(sample_rows)
+    rows = (df.select(F.col(text_col).cast("string")).sample(sample_fraction, seed=11)
             .mapInArrow(measure, "rule string, spent double, hits bigint, n bigint").groupBy("rule")
             .agg(*[F.sum(c).alias(c) for c in ("spent", "hits", "n")]).collect())
     gain = {r.rule: (r.hits + 0.5) / (r.spent + 1e-9) for r in rows}
@@ -114,7 +117,7 @@ def rule_order(df: DataFrame, text_col: str, rules: dict, sample_rows: int = SAM
 
 
 def quality_cascade(df: DataFrame, text_col: str = "text", *, rules: dict | None = None, report: tuple = (),
-                    out: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                    out: str = "quality", sample_fraction: float = SAMPLE_FRACTION) -> DataFrame:
     """Adds a struct column `out`: kept, rejected_by (the first rule of the measured order that
     rejects; which one that is may vary between runs, the verdict does not), one long for each
     feature in `report` (always computed), and base_failed.
@@ -123,12 +126,13 @@ def quality_cascade(df: DataFrame, text_col: str = "text", *, rules: dict | None
     rows repeat; an empty table gives an empty result; a column already named `out` is replaced.
     """
     rules = RULES if rules is None else rules
-    order = rule_order(df, text_col, rules, sample_rows)
+    order = rule_order(df, text_col, rules, sample_fraction)
 
     @F.arrow_udf("kept boolean, rejected_by string" + "".join(f", {c} bigint" for c in report))
     def judge(texts: pa.Array) -> pa.Array:
+        once("quality.none", None)
         by, measures = [], []
-        for t in texts.to_pylist():
+        for t in values(texts):
             f = Features(t)
             by.append(next((name for name in order if rules[name](f)), None))
             measures.append([getattr(f, c) for c in report])
