@@ -20,8 +20,8 @@ as done and is tried again by the next run.
 
 Page text is kept per content, language and resolution; responses also per
 prompt style, hint, prompt wording and client name.  The stores are
-partitioned by the first two hex digits of the content hash, so a small batch
-looks only into its own part of the history.
+partitioned by the first hex digit of the content hash, so a small batch
+looks only into its own part of the history and leaves few files.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ STORES = {
 
 
 def _prefix():
-    return F.substring("content_sha", 1, 2)
+    return F.substring("content_sha", 1, 1)
 
 
 def _digest(*parts) -> str:
@@ -100,7 +100,10 @@ class RunTables:
         return self.spark.read.schema(df.schema).parquet(p)
 
     def store(self, df: DataFrame, name: str) -> None:
-        df.withColumn("prefix", _prefix()).write.partitionBy("prefix").parquet(self.path(name))
+        # Rows of one prefix come together first, in as many tasks as their size asks for: else every
+        # task would write a file for every prefix.
+        (df.withColumn("prefix", _prefix()).hint("rebalance", F.col("prefix"))
+         .write.partitionBy("prefix").parquet(self.path(name)))
 
     def publish(self, part: str) -> None:
         self.spark.createDataFrame([(self.run, part)], "run string, part string").coalesce(1).write.mode("append").parquet(
@@ -168,7 +171,7 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_f
         files = S.select_files(files.withColumn("name", S.file_name(F.col("path"))),
                                o.selection, "name").drop("name")
     keyed = t.work(S.with_content_key(files).select("path", "length", "content_sha"), "keyed")
-    prefixes = [r.p for r in keyed.select(_prefix().alias("p")).distinct().collect()]  # at most 256
+    prefixes = [r.p for r in keyed.select(_prefix().alias("p")).distinct().collect()]  # at most 16
     done = t.stored("file_index", "outputs", prefixes).filter(F.col("job_key") == job_key)
     new_files = t.work(keyed.join(done, ["path", "content_sha"], "left_anti"), "new_files")
     contents = t.work(S.unique_contents(new_files, "path").select("content_sha", F.col("first_path").alias("path")), "contents")
