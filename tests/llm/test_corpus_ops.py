@@ -101,6 +101,31 @@ def test_trees_reach_the_recall():
     assert found == 300
 
 
+@pytest.mark.parametrize("num,own", [(80, 20), (85, 16)])
+def test_near_duplicates_recall_below_hot_nodes(spark, num, own):
+    """Texts of one template, less alike than the threshold, whose nodes stay large to the last level; pairs at the threshold."""
+    rng, n = random.Random(num), 90
+    template = [f"t{i}" for i in range(n - own)]
+    both = -(-2 * n * num // (100 + num))  # words that two texts of n words must share
+    rows = []
+    for p in range(300):
+        pair = [f"p{p}x{i}" for i in range(both - len(template))]
+        for side in "ab":
+            rows.append((len(rows), " ".join(template + pair + [f"q{p}{side}{i}" for i in range(n - both)])))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+           neardup.near_duplicates(docs_of(spark, rows), words=1, num=num, den=100, leaf=16).collect()}
+    want = brute_components(rows, 1, num, 100)
+    assert {c for _, c in want.values()} == set(range(0, 600, 2))
+    assert got == want
+
+
+def test_deep_trees_reach_the_recall():
+    for s, levels in ((0.85, 8), (0.8, 8), (0.5, 3)):
+        missed = (1 - s ** 2) ** neardup.trees_for(s, 0.9999) + (1 - s ** levels) ** neardup.deep_trees(s, 0.9999, levels)
+        assert missed <= 1.0001e-4
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
