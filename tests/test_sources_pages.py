@@ -136,3 +136,32 @@ def test_page_ranges_split_long_document(spark, tmp_path):
     text = {r.path.rsplit("/", 1)[1]: r.raw_text
             for r in P.join_pages(out.filter(F.col("page_no").isNotNull()), block_pages=4).collect()}
     assert text["long.pdf"] == "\n".join(pages)
+
+
+def test_split_that_fails_midway_is_a_row(spark, tmp_path):
+    class Damaged:
+        """Good pages, then bytes that cannot be read; parts of at most two pages."""
+
+        def __call__(self, content, kind, dpi):
+            for page in content.decode().split("\f"):
+                if page == "damaged":
+                    raise ValueError("damaged")
+                yield page
+
+        def split(self, content, kind, pages):
+            parts = content.decode().split("\f")
+            for i in range(0, len(parts), pages):
+                if "damaged" in parts[i:i + pages]:
+                    raise ValueError("damaged")
+                yield i, "\f".join(parts[i:i + pages]).encode()
+
+    d = str(tmp_path)
+    _write(d, "cut.pdf", b"one\ftwo\fdamaged")
+    _write(d, "good.pdf", b"a\fb\fc")
+    found = {}
+    for size in (None, 2):
+        rows = P.page_job(S.scan_files(spark, d), Damaged, P.identity_recogniser, pages_per_task=size, partitions=2).collect()
+        found[size] = sorted((r.path.rsplit("/", 1)[1], r.page_no or 0, r.page_text or "", r.error or "") for r in rows)
+    assert found[2] == found[None] == [
+        ("cut.pdf", 0, "", "decode: ValueError: damaged"), ("cut.pdf", 1, "one", ""), ("cut.pdf", 2, "two", ""),
+        ("good.pdf", 1, "a", ""), ("good.pdf", 2, "b", ""), ("good.pdf", 3, "c", "")]
