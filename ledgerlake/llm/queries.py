@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, neardup, packing, pii, quality, tokencount, urlfilter, warc
+from . import chat, decontam, hardneg, langid, neardup, packing, pii, quality, tokencount, urlfilter, warc
 from .common import Store, read
 
 
@@ -62,6 +62,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read_archives(spark, store.path("archives"), glob="part-*", payloads=False))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the vectors whose id is divisible by 100; where it is divisible by 7, the label moves on by one."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_near_duplicates": op2_near_duplicates,
@@ -73,6 +80,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {}
@@ -176,3 +184,18 @@ t AS (SELECT least(0.0, coalesce(min(bin) FILTER (below > 0.01 * total), 0) / 10
 SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN learned AND score < threshold THEN 'block' ELSE 'allow' END AS verdict
 FROM v LEFT JOIN s USING (form), t
 """
+
+ORACLE["op13_hard_negatives"] = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+             row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
