@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hardneg, langid, neardup, packing, pii, quality, repeats, tokencount, urlfilter, warc
+from . import align, chat, decontam, hardneg, langid, neardup, packing, pii, quality, repeats, tokencount, urlfilter, warc
 from .common import Store, read
 
 
@@ -62,6 +62,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.read_archives(spark, store.path("archives"), glob="part-*", payloads=False))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
 def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.find_repeats(docs, keep="none").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -85,6 +89,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_warc": op10_warc,
+    "op11_alignment": op11_alignment,
     "op12_repeats": op12_repeats,
     "op13_hard_negatives": op13_hard_negatives,
 }
