@@ -11,6 +11,8 @@ candidates start at the first character of a run and no run is tried twice.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -120,6 +122,38 @@ def _proposals(text: str):
 _WORD = re.compile(r"\w+")
 
 
+class _Free:
+    """Which places are not covered yet.  Taken spans are kept apart and in order, in short lists of neighbours, so that taking
+    one looks at two spans and moves a few."""
+
+    SHORT = 512
+
+    def __init__(self, spans):
+        flat: list[list[int]] = []
+        for a, b in sorted(spans):
+            if flat and a < flat[-1][1]:
+                flat[-1][1] = max(flat[-1][1], b)
+            else:
+                flat.append([a, b])
+        self.lists = [flat[i:i + self.SHORT] for i in range(0, len(flat), self.SHORT)] or [[]]
+        self.firsts = [x[0][0] for x in self.lists[1:]]  # where the second list and those after it begin
+
+    def take(self, a: int, b: int) -> bool:
+        """Takes [a, b) unless some of it is taken."""
+        n = bisect_right(self.firsts, a)
+        here = self.lists[n]
+        k = bisect_right(here, a, key=itemgetter(0))
+        before = here[k - 1] if k else None
+        after = here[k] if k < len(here) else self.lists[n + 1][0] if n + 1 < len(self.lists) else None
+        if (before and a < before[1]) or (after and after[0] < b):
+            return False
+        here.insert(k, [a, b])
+        if len(here) > 2 * self.SHORT:
+            self.lists[n:n + 1] = [here[:self.SHORT], here[self.SHORT:]]
+            self.firsts.insert(n, here[self.SHORT][0])
+        return True
+
+
 def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[dict]:
     """All kept spans as {kind, start, end, score, base}, by kind, then start."""
     if not text:
@@ -133,10 +167,9 @@ def spans_of(text: str | None, threshold: float = THRESHOLD) -> list[dict]:
             score = form + gain * bool(near.intersection(map(str.lower, _WORD.findall(around))))
             if score >= threshold:
                 more.append((score, kind, a, b))
-        taken = sorted((s["start"], s["end"]) for s in out)
+        free = _Free((s["start"], s["end"]) for s in out)
         for score, kind, a, b in sorted(more, key=lambda x: (-x[0], x[2], KINDS.index(x[1]))):
-            if not any(x < b and a < y for x, y in taken):
-                taken.append((a, b))
+            if free.take(a, b):
                 out.append({"kind": kind, "start": a, "end": b, "score": score, "base": False})
     return sorted(out, key=lambda s: (KINDS.index(s["kind"]), s["start"]))
 
@@ -164,7 +197,8 @@ _SPAN = "struct<kind:string,start:int,end:int,score:double,base:boolean>"
 def find_pii(df: DataFrame, text_col: str = "text", *, out: str = "pii", threshold: float = THRESHOLD) -> DataFrame:
     """Adds the array column `out` of spans (kind, start, end, score, base); offsets count code
     points, end exclusive.  Null and empty texts have no spans; each row is judged by itself, so
-    repeated rows repeat; a column already named `out` is replaced."""
+    repeated rows repeat and an empty table stays empty; a column already named `out` is replaced.  Texts are searched whole, in time
+    that grows with their length and the logarithm of their spans."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                                ("score", pa.float64()), ("base", pa.bool_())]))
 
@@ -177,7 +211,8 @@ def find_pii(df: DataFrame, text_col: str = "text", *, out: str = "pii", thresho
 
 
 def redact(df: DataFrame, text_col: str = "text", *, out: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Replaces every span by its kind in brackets; null stays null."""
+    """Replaces every span by its kind in brackets; null and empty texts stay what they are.  Rows are judged by themselves: repeated
+    rows repeat, an empty table stays empty, other columns are kept whatever their names.  Texts are searched whole, see `find_pii`."""
 
     @F.arrow_udf("string")
     def cover(texts: pa.Array) -> pa.Array:
