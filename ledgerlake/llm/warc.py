@@ -14,6 +14,7 @@ the bytes between as a quarantined gap.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -26,8 +27,10 @@ from .common import Store
 
 REVISIT_BYTES = 1000
 FILE_RECORDS = 5_000
+FILE_BYTES = 1 << 30  # most bytes of a file, unless one record alone is larger: files are read whole
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
-_HEADERS_END = re.compile(rb"\r?\n\r?\n")
+_CLOSE = re.compile(rb"\r?\n\r?\n")
+_DIGEST_LINE = re.compile(rb"(?im)^[^\n:]*warc-block-digest[^\n:]*:")
 _MAGIC = b"\x1f\x8b\x08"
 _CRLF2 = "\r\n\r\n"
 
@@ -44,9 +47,9 @@ def with_revisits(pages: DataFrame, store: Store, *, id_col: str = "page_id", ur
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
                         F.octet_length(payload).cast("bigint").alias("payload_bytes"),
                         F.sha1(payload.cast("binary")).alias("payload_digest"))
-    groups = (rows.filter((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("payload_digest")
-              .agg(F.max("page_id").alias("original"), F.count("*").alias("c")).filter("c > 1").drop("c"))
-    groups = store.write(groups, "originals")
+    groups = store.write(rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
+                         .agg(F.max("page_id").alias("original"), F.count("page_id").alias("c")), "originals")
+    groups = groups.filter("c > 1").select("payload_digest", "original")
     return (rows.join(groups, "payload_digest", "left")
             .withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")) & (F.col("payload_bytes") >= least_bytes),
                                             F.col("original"))).drop("original"))
@@ -77,56 +80,88 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, store: Store, *, file_records: int = FILE_RECORDS, **columns) -> None:
-    """Writes plain WARC files of at most `file_records` records each under `path`."""
-    (records(with_revisits(pages, store, **columns)).write.option("lineSep", _CRLF2)
-     .option("maxRecordsPerFile", file_records).text(path))
+def write_archives(pages: DataFrame, path: str, store: Store, *, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES,
+                   **columns) -> None:
+    """Writes plain WARC files under `path`, of at most `file_records` records and, by the size of the longest one, `file_bytes` bytes.
 
+    Null payloads and urls are empty; repeated rows are records of their own, of which all but one with the largest id
+    revisit it, and rows with equal ids and payloads are all responses; a null id is written as `none`.  An empty table gives no
+    record.  Very long payloads are one record each.  Other columns are ignored, whatever their names."""
+    rows = with_revisits(pages, store, **columns)
+    longest = 4096 + (store.spark.read.parquet(store.path("originals")).agg(F.max("payload_bytes")).first()[0] or 0)
+    (records(rows).write.option("lineSep", _CRLF2)
+     .option("maxRecordsPerFile", max(1, min(file_records, file_bytes // longest))).text(path))
 
-def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """(unpacked bytes, end) of the gzip member at a place; None if it is damaged."""
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """(unpacked bytes, end, whole) of the gzip member at a place; of a damaged one what could be unpacked."""
     d, out, view = zlib.decompressobj(31), [], memoryview(data)
     try:
         while not d.eof and at < len(data):
-            out.append(d.decompress(view[at:at + 65536]))
+            for i in range(at, min(at + 65536, len(data)), 4096):  # small steps: what precedes the damage is kept
+                out.append(d.decompress(view[i:i + 4096]))
+                if d.eof:
+                    return b"".join(out), min(i + 4096, len(data)) - len(d.unused_data), True
             at += 65536
     except zlib.error:
-        return None, at
-    return (b"".join(out), min(at, len(data)) - len(d.unused_data)) if d.eof else (None, at)
+        pass
+    return b"".join(out), at, False
 
 
-def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    """(record, end, reason): the record whose version line is at a place, or why there is none."""
-    v = _VERSION_LINE.match(data, at)
-    if not v:
-        return None, at, "no version line"
-    h = _HEADERS_END.search(data, v.end() - 2)
-    if not h:
-        return None, at, "headers without end"
+def _headers(data: bytes, at: int) -> tuple[dict | None, int, str]:
+    """(headers, where the block begins, "") from the header lines at a place; or (None, place, reason), where no
+    version line before that place can have valid headers."""
     headers = {}
-    for line in data[v.end():h.start()].split(b"\n"):
-        name, colon, value = line.strip().partition(b":")
+    while (nl := data.find(b"\n", at)) >= 0:
+        line = data[at:nl].strip()
+        if not line and nl - at <= 1:
+            return headers, nl + 1, ""
+        name, colon, value = line.partition(b":")
         if not colon:
             return None, at, "bad header line"
         headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        at = nl + 1
+    return None, len(data), "headers without end"
+
+
+def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
+    """(record, end, reason): the record whose version line is at a place; or (None, place, reason), where no record
+    can begin before that place.
+
+    Lines are read until the first that is no header.  Version lines before it meet the same line, and version lines among
+    complete headers that fail have the same block, so none of them is tried again: damaged files are read once."""
+    v = _VERSION_LINE.match(data, at)
+    if not v:
+        return None, at + 1, "no version line"
+    headers, start, why = _headers(data, v.end())
+    if headers is None:
+        return None, max(at + 1, start), why
     if not headers.get("warc-type") or not headers.get("warc-record-id"):
-        return None, at, "no type or record id"
+        return None, start, "no type or record id"
     length = headers.get("content-length", "")
-    if not length.isdigit():
-        return None, at, "no length"
-    start, end = h.end(), h.end() + int(length[:18])
+    if not (length.isascii() and length.isdigit()):
+        return None, start, "no length"
+    end = start + int(length[:18])
     if end > len(data):
-        return None, at, "record cut off"
-    close = re.compile(rb"\r?\n\r?\n").match(data, end)
+        return None, start, "record cut off"
+    close = _CLOSE.match(data, end)
     if not close:
-        return None, at, "length does not fit"
+        return None, start, "length does not fit"
     block = data[start:end]
     kind, _, want = headers.get("warc-block-digest", "").partition(":")
-    if kind == "sha1" and len(want) == 40 and hashlib.sha1(block).hexdigest() != want.lower():
-        return None, at, "block digest differs"
+    if kind.lower() == "sha1" and not _is_sha1(block, want.strip()):
+        # A version line after the digest's own line would go without it.
+        return None, v.end() + [m.start() for m in _DIGEST_LINE.finditer(data[v.end():start])][-1], "block digest differs"
     return {"headers": headers, "block": block}, close.end(), ""
 
 
+def _is_sha1(block: bytes, want: str) -> bool:
+    """Is the digest, in hex or base32, that of the block?  Digests of other forms say nothing."""
+    if len(want) == 40:
+        return hashlib.sha1(block).hexdigest() == want.lower()
+    return len(want) != 32 or base64.b32encode(hashlib.sha1(block).digest()).decode() == want.upper()
+
+
 def _plain(data: bytes, offset: int | None = None):
     """Records and gaps of unpacked bytes; every place is reported at `offset` for packed ones."""
     at = 0
@@ -137,9 +172,9 @@ def _plain(data: bytes, offset: int | None = None):
             yield "record", where, end if offset is None else offset, r
             at = end
             continue
-        nxt = at + 1
-        while (m := _VERSION_LINE.search(data, nxt)) and not _record(data, m.start())[0]:
-            nxt = m.start() + 1
+        nxt = end
+        while (m := _VERSION_LINE.search(data, nxt)) and not (r := _record(data, m.start()))[0]:
+            nxt = r[1]
         to = m.start() if m else len(data)
         yield "gap", where, to if offset is None else offset + to - at, why
         at = to
@@ -153,26 +188,37 @@ def salvage(data: bytes):
     at = 0
     while at < len(data):
         if data.startswith(_MAGIC, at):
-            out, end = _member(data, at)
-            if out is not None:
+            out, end, whole = _member(data, at)
+            if whole:
                 yield from _plain(out, at)
                 at = end
                 continue
+            # Complete records before the damage are kept; the gap says that bytes of the member are lost.
+            yield from (x for x in _plain(out, at) if x[0] == "record")
         elif (r := _record(data, at))[0]:
             yield "record", at, r[1], r[0]
             at = r[1]
             continue
-        to, nxt = len(data), at + 1
+        to, g, v = len(data), at, at
         while True:
-            g, v = data.find(_MAGIC, nxt), _VERSION_LINE.search(data, nxt)
-            places = [p for p in (g, v.start() if v else -1) if p >= 0]
+            g, m = data.find(_MAGIC, max(g, at + 1)), _VERSION_LINE.search(data, max(v, at + 1))
+            places = [p for p in (g, m.start() if m else -1) if p >= 0]
             if not places:
                 break
             p = min(places)
-            if (_member(data, p)[0] if p == g else _record(data, p)[0]) is not None:
-                to = p
-                break
-            nxt = p + 1
+            if p == g:
+                if _member(data, p)[2]:
+                    to = p
+                    break
+                g = p + 1
+            else:
+                r = _record(data, p)
+                if r[0]:
+                    to = p
+                    break
+                v, g = r[1], max(g, p)
+            if g < 0:
+                g = len(data)
         yield "gap", at, to, "damaged member" if data.startswith(_MAGIC, at) else "no record"
         at = to
 

@@ -1,10 +1,12 @@
 """Near-duplicates, decontamination, packing, chat, WARC, URL filter and the pipeline against brute force."""
 
+import base64
 import gzip
 import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -363,6 +365,53 @@ def test_salvage_gzip_members():
     assert found_in(m[0] + b"\x1f\x8b\x08junk" + record(9) + m[2])[0] == ["<urn:r:0>", "<urn:r:9>", "<urn:r:2>"]
 
 
+def test_salvage_reads_damaged_files_once():
+    """Five MB of version lines that begin no record, in several forms, before a good one."""
+    forms = [b"WARC/1.0\r\nx", b"WARC/1.0\r\nx: y\r\n", b"WARC/1.0\r\nx:", b"WARC/1.0\r\n\r\n", b"WARC/1.0\r\nWARC-Type: a\r\nWARC-Record-ID: b\r\nContent-Length: 9\r\n"]
+    for form in forms:
+        data = b"junk" + form * (5_000_000 // len(form)) + b"\r\n\r\n" + record(7)
+        t0 = time.time()
+        assert found_in(data)[0][-1] == "<urn:r:7>"
+        assert time.time() - t0 < 5
+
+
+def test_salvage_keeps_what_precedes_the_damage():
+    """One gzip member for the whole file: records unpacked before the damage stay, and the loss is logged."""
+    whole = gzip.compress(b"".join(record(i, os.urandom(3000)) for i in range(20)))
+    bad = bytearray(whole)
+    bad[len(bad) // 2] ^= 0xFF
+    ids, gaps = found_in(bytes(bad))
+    assert 5 <= len(ids) < 20 and ids == sorted(set(ids), key=lambda x: int(x[7:-1])) and gaps == [(0, len(bad), "damaged member")]
+    half, _ = found_in(whole[:len(whole) // 2])
+    assert 5 <= len(half) < 15 and half == [f"<urn:r:{i}>" for i in range(len(half))]
+
+
+def test_salvage_nested_version_lines():
+    """A record's header breaks off and another's follows; the second is found, also without a digest of its own."""
+    a, b = record(1), record(2)
+    for cut in range(10, a.index(b"\r\n\r\n")):
+        assert "<urn:r:2>" in found_in(a[:cut] + b + record(3))[0]
+    bare = b"WARC/1.0\r\nWARC-Type: t\r\nWARC-Record-ID: <urn:r:5>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
+    line = a.index(b"\r\n", a.index(b"Digest")) + 2
+    assert found_in(a[:line] + bare)[0] == ["<urn:r:5>"]
+
+
+def test_block_digests_in_base32():
+    body = b"hello"
+    good = base64.b32encode(hashlib.sha1(body).digest())
+    make = lambda d: record(1).replace(hashlib.sha1(body).hexdigest().encode(), d)
+    assert found_in(make(good))[0] == found_in(make(good.lower()))[0] == found_in(make(b"unknown"))[0] == ["<urn:r:1>"]
+    assert found_in(make(good[:-1] + (b"A" if good[-1:] != b"A" else b"B"))) == ([], [(0, len(make(good)), "block digest differs")])
+
+
+def test_files_are_bounded_by_bytes(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", str(i) * 5000) for i in range(10, 40)], "page_id bigint, url string, html string").coalesce(1)
+    store = Store(spark, "test")
+    warc.write_archives(pages, store.path("a"), store, file_bytes=50_000)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(store.path("a")).select("length").collect()]
+    assert max(sizes) <= 50_000 and warc.read_archives(spark, store.path("a"), glob="part-*").filter("gap is null").count() == 30
+
+
 # URL filter
 
 def test_url_parts_and_rules(spark):
