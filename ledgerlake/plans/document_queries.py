@@ -184,21 +184,33 @@ def model_job(spark, sf_dir):
 
 
 def page_scan(spark, sf_dir):
-    """Documents as files, every line a page: decoded and
-    recognised once in parts spread over tasks, stored, then counted, observed
-    and joined back in order."""
+    """Documents as files, every line a page of a PDF, images
+    of one page; some files unreadable, some without pages.  Cut into parts
+    where they are read, decoded and recognised once, spread over tasks,
+    stored, then counted, observed and joined back in order."""
     configure(spark)
-    files = TB.documents_as_files(spark, sf_dir).select("path", "content")
+    files = _with_odd_files(_allowed(TB.documents_as_files(spark, sf_dir))).select("path", "length", "content")
     n = spark.sparkContext.defaultParallelism
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "64"):
-        pages, seen = P.with_progress(P.page_job(files, _line_pages, P.identity_recogniser, pages_per_task=64, partitions=n))
+    pages, seen = P.with_progress(P.page_job(files, _line_pages, P.identity_recogniser, pages_per_task=64, partitions=n))
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "256"):
         stored = M.store_responses(pages, _folder(spark, "pages"))
-    return (P.page_counts(stored).join(P.join_pages(stored, block_pages=32), "path")
-            .select("path", "pages", "page_errors", F.sha2("raw_text", 256).alias("text_sha256"),
+    counts = P.page_counts(stored)
+    bad = stored.filter("error is not null").select("path").distinct()
+    text = P.join_pages(stored.join(bad, "path", "left_anti"), block_pages=32)
+    return (S.file_details(S.file_metadata(files), counts).join(text, "path", "left")
+            .select("path", "file_type", "pages", "page_errors", F.sha2("raw_text", 256).alias("text_sha256"),
                     F.lit(seen.get["pages_done"]).cast("bigint").alias("all_pages"),
                     F.lit(seen.get["page_errors"]).cast("bigint").alias("all_errors")))
 
 
+def _with_odd_files(files):
+    """Some files made unreadable (not UTF-8), some empty."""
+    k = F.col("doc_id")
+    content = (F.when(F.pmod(k, F.lit(11)) == 3, F.concat(F.unhex(F.lit("FF")), F.col("content")))
+               .when(F.pmod(k, F.lit(13)) == 5, F.lit("").cast("binary")).otherwise(F.col("content")))
+    return files.withColumn("content", content).withColumn("length", F.octet_length("content").cast("bigint"))
+
+
 def _line_pages():
     return P.text_decoder("\n")
 
@@ -306,6 +318,14 @@ WITH f AS (
 ), fa AS (SELECT * FROM f WHERE lower(ext) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff'))
 """
 
+_ODD = _FILES.rstrip() + """, odd0 AS (
+  SELECT *, lower(ext) = 'pdf' AS pdf, len(string_split(text, chr(10))) AS lines,
+    CASE lower(ext) WHEN 'pdf' THEN 'PDF' WHEN 'png' THEN 'PNG' WHEN 'jpg' THEN 'JPEG' WHEN 'jpeg' THEN 'JPEG' WHEN 'tiff' THEN 'TIFF' END AS label,
+    CASE WHEN doc_id % 11 = 3 THEN 'broken' WHEN doc_id % 13 = 5 THEN 'empty' ELSE 'fine' END AS state
+  FROM fa
+), odd AS (SELECT *, CASE WHEN state = 'broken' OR (state = 'empty' AND NOT pdf) THEN 1 ELSE 0 END AS bad FROM odd0)
+"""
+
 _HINT_SQL = "CASE lang WHEN 'en' THEN 'USD' WHEN 'fr' THEN 'EUR' WHEN 'de' THEN 'EUR' ELSE '' END"
 
 
@@ -358,11 +378,14 @@ SELECT doc_id,
   CASE WHEN length(text) % 5 = 0 THEN NULL
        ELSE sha256(text) || ':' || CAST(length(text) AS VARCHAR) END AS notes
 FROM documents""",
-        "page_scan": """
-SELECT 'docs/' || CAST(doc_id AS VARCHAR) || '.' || ['pdf', 'png', 'jpg', 'jpeg', 'tiff', 'PDF', 'txt'][doc_id % 7 + 1] AS path,
-  CAST(len(string_split(text, chr(10))) AS INTEGER) AS pages, CAST(0 AS BIGINT) AS page_errors, sha256(text) AS text_sha256,
-  CAST(sum(len(string_split(text, chr(10)))) OVER () AS BIGINT) AS all_pages, CAST(0 AS BIGINT) AS all_errors
-FROM documents""",
+        "page_scan": _ODD + """
+SELECT path, CASE WHEN pdf AND state = 'broken' THEN 'Unknown' ELSE label END AS file_type,
+  CAST(CASE WHEN NOT pdf THEN 1 WHEN state = 'broken' THEN NULL WHEN state = 'empty' THEN 0 ELSE lines END AS DOUBLE) AS pages,
+  CAST(bad AS BIGINT) AS page_errors,
+  sha256(CASE WHEN bad = 1 THEN NULL WHEN state = 'empty' THEN '' WHEN pdf THEN text ELSE string_split(text, chr(10))[1] END) AS text_sha256,
+  CAST(sum(CASE WHEN state <> 'fine' THEN 0 WHEN pdf THEN lines ELSE 1 END) OVER () AS BIGINT) AS all_pages,
+  CAST(sum(bad) OVER () AS BIGINT) AS all_errors
+FROM odd""",
         "incremental_job": _FILES + """
 SELECT path, 'sliced' AS json_status, true AS valid, sha256(text) || ':' || CAST(length(text) AS VARCHAR) AS notes,
   CAST(CASE WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempt,

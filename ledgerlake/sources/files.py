@@ -89,6 +89,16 @@ def file_metadata(files: DataFrame) -> DataFrame:
         size_kb(F.col("length")).alias("size_kb"))
 
 
+def file_details(metadata: DataFrame, counts: DataFrame, on: str = "path") -> DataFrame:
+    """`file_metadata` with the page counts of `page_counts` (S5): an image is
+    one page, whether it can be read or not; a document that cannot be opened
+    is of type `Unknown` and has NULL pages."""
+    image = F.col("kind") == "image"
+    return (metadata.join(counts, on, "left")
+            .withColumn("pages", F.when(image, F.lit(1)).otherwise(F.col("pages")))
+            .withColumn("file_type", F.when(F.col("pages").isNull(), F.lit("Unknown")).otherwise(F.col("file_type"))))
+
+
 def with_content_key(files: DataFrame, content: str = "content") -> DataFrame:
     """Add `content_sha`, the SHA-256 of the file bytes."""
     return files.withColumn("content_sha", F.sha2(F.col(content), 256))

@@ -3,6 +3,7 @@
 import os
 from contextlib import ExitStack
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import pages as P
@@ -96,7 +97,7 @@ def test_page_job_setup_failure_is_rows(spark, tmp_path):
 def test_parts_hold_their_own_bytes(spark):
     text = "\f".join(f"page {i}" for i in range(10)).encode()
     df = spark.createDataFrame([("a", text, "pdf")], "_key string, _content binary, _kind string")
-    parts = P._parts(df, P.text_decoder, "string", 4).orderBy("_first").collect()
+    parts = P._parts(df, P.text_decoder, df.schema["_key"].dataType, 4).orderBy("_first").collect()
     assert [(r._first, bytes(r._content)) for r in parts] == [
         (0, b"page 0\fpage 1\fpage 2\fpage 3"), (4, b"page 4\fpage 5\fpage 6\fpage 7"), (8, b"page 8\fpage 9")]
 
@@ -165,3 +166,51 @@ def test_split_that_fails_midway_is_a_row(spark, tmp_path):
     assert found[2] == found[None] == [
         ("cut.pdf", 0, "", "decode: ValueError: damaged"), ("cut.pdf", 1, "one", ""), ("cut.pdf", 2, "two", ""),
         ("good.pdf", 1, "a", ""), ("good.pdf", 2, "b", ""), ("good.pdf", 3, "c", "")]
+
+
+@pytest.mark.parametrize("size", [None, 1])
+def test_an_image_is_one_page(spark, tmp_path, size):
+    class Counting:
+        """Endless pages; says when it was closed."""
+
+        def __call__(self, content, kind, dpi):
+            k = 0
+            try:
+                while k < 3:
+                    k += 1
+                    yield f"page {k}"
+                raise ValueError("read on")
+            finally:
+                with open(content.decode(), "a") as f:
+                    f.write(f"closed after {k}\n")
+
+        def split(self, content, kind, pages):
+            raise AssertionError("an image is not cut")
+
+    log = str(tmp_path / f"log{size}")
+    files = spark.createDataFrame([("a.png", bytearray(log.encode()))], "path string, content binary")
+    rows = P.page_job(files, Counting, P.identity_recogniser, pages_per_task=size, partitions=1).collect()
+    assert [(r.page_no, r.page_text, r.error) for r in rows] == [(1, "page 1", None)]
+    assert open(log).read() == "closed after 1\n"
+
+
+@pytest.mark.parametrize("size", [None, 2])
+def test_files_without_pages(spark, size):
+    """A document without pages has an empty text and no error; an image without one cannot be read."""
+    files = spark.createDataFrame([("a.pdf", b""), ("b.png", b""), ("c.pdf", b"x\fy\fz"), ("d.pdf", b"\xff")], "path string, content binary")
+    pages = P.page_job(files, P.text_decoder, P.identity_recogniser, pages_per_task=size, partitions=2)
+    assert {r.path: (r.pages, r.page_errors) for r in P.page_counts(pages).collect()} == {
+        "a.pdf": (0, 0), "b.png": (None, 1), "c.pdf": (3, 0), "d.pdf": (None, 1)}
+    good = P.join_pages(pages.filter("error is null"), block_pages=2)
+    assert {r.path: r.raw_text for r in good.collect()} == {"a.pdf": "", "c.pdf": "x\ny\nz"}
+    details = S.file_details(S.file_metadata(files.withColumn("length", F.octet_length("content"))), P.page_counts(pages))
+    assert {r.path: (r.file_type, r.pages) for r in details.collect()} == {
+        "a.pdf": ("PDF", 0), "b.png": ("PNG", 1), "c.pdf": ("PDF", 3), "d.pdf": ("Unknown", None)}
+
+
+@pytest.mark.parametrize("size", [None, 2])
+def test_bytes_are_shuffled_once(spark, size):
+    files = spark.createDataFrame([("a.pdf", b"x")], "path string, content binary")
+    pages = P.page_job(files, P.text_decoder, P.identity_recogniser, pages_per_task=size, partitions=2)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
