@@ -2,26 +2,31 @@
 tables, CSV, JSON and per-file metrics.
 
     scan --(hash, no bytes moved)--> files not done yet, one per content
-         --(one shuffle of file bytes, which spreads them over tasks)
-         --> page job (decode + recognise, Python workers) --> page text
+      for each piece of the contents without pages or responses:
+         its files --(one shuffle of file bytes, which spreads them over tasks)
+         --> page job (decode + recognise, Python workers) --> page text, published
          --> pages joined per document --> prompt --> model (or rules)
-         --> responses, stored before anything reads them
-         --> repair + validate (native) --> joined back to every copy
-         --> tables
-
-Every table under `out_dir` is partitioned by run, and a run's part counts
-only once a row in `published` says so, written after it.  Page text and
-responses are published as soon as they are stored; the tables for readers,
-the list of done files among them, by one last write.  A run that fails
-before that leaves nothing a reader sees twice: the next one takes the stored
-pages and responses and writes the tables anew.  What failed (unreadable
-files, recogniser errors, failed calls) goes to `failures`, is not counted
-as done and is tried again by the next run.
+         --> responses, published
+    --> repair + validate (native) --> joined back to every copy
+    --> tables, published by one commit
+
+Expensive work is published in pieces of about `piece_contents` contents: a
+run that fails has lost the recognition and the paid calls of one piece at
+most, and the next one takes up from there.  Each published piece notes the
+run's progress (`read_progress`).
+
+What is published is what the manifest of `sinks.history` names.  The tables
+for readers, the list of done files among them, come in one commit, so a run
+that fails before leaves nothing a reader sees.  Every run adds one segment a
+table; segments are merged in tiers, so neither the stores that later runs
+look things up in nor the readers' tables grow in number of folders.  What
+failed (unreadable files, recogniser errors, failed calls) goes to
+`failures`, is not counted as done and is tried again by the next run.
 
 Page text is kept per content, language and resolution; responses also per
 prompt style, hint, prompt wording and client name.  The stores are
 partitioned by the first hex digit of the content hash, so a small batch
-looks only into its own part of the history and leaves few files.
+looks only into its own part of the history.
 """
 
 from __future__ import annotations
@@ -44,6 +49,7 @@ from ..operators.extract import extract_records
 from ..schema import DEFAULT_DPI
 from ..session import configure, setting
 from ..sinks import writers
+from ..sinks.history import History, Table
 from ..sources import files as S
 
 
@@ -65,15 +71,20 @@ class JobOptions:
     pages_per_task: int | None = None   # split long documents into page ranges
     model_concurrency: int = 1          # calls in flight per task
     model_retries: int = 0              # retries per call, exponential backoff
+    piece_contents: int = 50_000        # contents whose pages and calls are published together
+    compact_fan: int = 8                # segments of a table that are merged into one
+    compact_keep_seconds: int = 3600    # how long merged segments stay for readers that hold them
     selection: DataFrame | None = field(default=None, repr=False)  # file names to process
 
 
 # Tables that later runs look things up in.
 STORES = {
-    "file_index": "path string, content_sha string, job_key string",
-    "page_text": "content_sha string, page_key string, page_no int, page_text string",
-    "responses": "content_sha string, call_key string, response string",
+    "file_index": Table("path string, content_sha string, job_key string, run string", ("path", "content_sha", "job_key"), "content_sha"),
+    "page_text": Table("content_sha string, page_key string, page_no int, page_text string, run string", ("content_sha", "page_key", "page_no"), "content_sha"),
+    "responses": Table("content_sha string, call_key string, response string, run string", ("content_sha", "call_key"), "content_sha"),
 }
+# Where a run's part shows first.
+PARTS = {"pages": "page_text", "responses": "responses", "outputs": "file_metrics"}
 
 
 def _prefix():
@@ -84,11 +95,16 @@ def _digest(*parts) -> str:
     return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:24]
 
 
+def history(spark: SparkSession, out_dir: str) -> History:
+    return History(spark, out_dir, STORES)
+
+
 class RunTables:
-    """The tables of one run under `out_dir`, and the published ones of earlier runs."""
+    """The tables of one run under `out_dir`, and the published ones."""
 
     def __init__(self, spark: SparkSession, out_dir: str):
         self.spark, self.out_dir, self.run = spark, out_dir.rstrip("/"), uuid.uuid4().hex
+        self.history = history(spark, out_dir)
 
     def path(self, name: str) -> str:
         return f"{self.out_dir}/{name}/run={self.run}"
@@ -99,60 +115,47 @@ class RunTables:
         df.write.parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
-    def store(self, df: DataFrame, name: str) -> None:
-        # Rows of one prefix come together first, in as many tasks as their size asks for: else every
-        # task would write a file for every prefix.
-        (df.withColumn("prefix", _prefix()).hint("rebalance", F.col("prefix"))
-         .write.partitionBy("prefix").parquet(self.path(name)))
-
-    def publish(self, part: str) -> None:
-        self.spark.createDataFrame([(self.run, part)], "run string, part string").coalesce(1).write.mode("append").parquet(
-            f"{self.out_dir}/published")
-
-    def stored(self, name: str, part: str, prefixes: list[str]) -> DataFrame:
-        """Published rows of a store whose content hash starts with one of the prefixes."""
-        paths = [f"{self.out_dir}/{name}/run={r}" for r in published_runs(self.spark, self.out_dir, part)]
-        schema = STORES[name]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        df = (self.spark.read.schema(f"{schema}, run string, prefix string").option("basePath", f"{self.out_dir}/{name}")
-              .parquet(*paths))
-        return df.filter(F.col("prefix").isin(prefixes)).drop("run", "prefix")
+    def segment(self, name: str, df: DataFrame) -> dict[str, list[dict]]:
+        """A written segment of a table, to be committed."""
+        return {name: [self.history.write(name, df.withColumn("run", F.lit(self.run)))]}
 
     def clear_work(self) -> None:
-        p = _hadoop_path(self.spark, f"{self.out_dir}/_work/{self.run}")
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out_dir}/_work/{self.run}")
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+def published_runs(spark: SparkSession, out_dir: str, part: str = "outputs") -> list[str]:
+    """Ids of the runs with published rows of a part ('pages', 'responses' or 'outputs')."""
+    h = history(spark, out_dir)
+    segments = h.manifest()["tables"].get(PARTS[part], [])
+    if not segments:
+        return []
+    return sorted(r.run for r in h.read(PARTS[part], segments).select("run").distinct().collect())  # a row a run
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there; storage and permission errors are raised."""
-    p = _hadoop_path(spark, path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def read_published(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
+    """A table's published rows, with their `run`."""
+    return history(spark, out_dir).read(name)
 
 
-def published_runs(spark: SparkSession, out_dir: str, part: str = "outputs") -> list[str]:
-    """Ids of the runs that published a part ('pages', 'responses' or 'outputs')."""
-    path = f"{out_dir.rstrip('/')}/published"
-    if not _exists(spark, path):
-        return []
-    rows = spark.read.schema("run string, part string").parquet(path).filter(F.col("part") == part)
-    return sorted(r.run for r in rows.select("run").distinct().collect())  # a row a run
+def read_progress(spark: SparkSession, out_dir: str) -> dict[str, dict]:
+    """run -> what it has published so far: pieces (done, of), contents, pages, page_errors, calls, call_errors."""
+    return history(spark, out_dir).manifest()["progress"]
 
 
-def read_published(spark: SparkSession, out_dir: str, name: str, part: str = "outputs") -> DataFrame:
-    """A table's rows from published runs, with their `run`."""
-    return spark.read.parquet(f"{out_dir.rstrip('/')}/{name}").filter(F.col("run").isin(published_runs(spark, out_dir, part)))
+def compact(spark: SparkSession, out_dir: str, fan: int = 8, keep_seconds: int = 3600) -> int:
+    """Merges the segments of all tables in tiers; see `sinks.history`."""
+    return history(spark, out_dir).compact(fan, keep_seconds)
 
 
 def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_factory: Callable,
                   recogniser_factory: Callable, client_factory: Callable | None = None,
-                  options: JobOptions | None = None) -> dict:
+                  options: JobOptions | None = None, reader: Callable[[SparkSession, list[str]], DataFrame] | None = None) -> dict:
     """Process the files of `files` (binaryFile rows) that no earlier run has done.
 
+    `reader` opens files by path (`sources.files.read_files`): each piece then
+    reads its own files only.  Without it a piece picks its rows out of `files`.
+
     Returns the tables' folders by name, the run's id under `run`, and a
     `summary`: files, records per (json_status, valid), failures per stage,
     pages and page errors.
@@ -172,62 +175,68 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_f
                                o.selection, "name").drop("name")
     keyed = t.work(S.with_content_key(files).select("path", "length", "content_sha"), "keyed")
     prefixes = [r.p for r in keyed.select(_prefix().alias("p")).distinct().collect()]  # at most 16
-    done = t.stored("file_index", "outputs", prefixes).filter(F.col("job_key") == job_key)
+
+    def stored(name: str) -> DataFrame:
+        return t.history.read(name, prefixes=prefixes).drop("run")
+
+    done = stored("file_index").filter(F.col("job_key") == job_key)
     new_files = t.work(keyed.join(done, ["path", "content_sha"], "left_anti"), "new_files")
-    contents = t.work(S.unique_contents(new_files, "path").select("content_sha", F.col("first_path").alias("path")), "contents")
-
-    # 2. page job over one file per content without stored pages.  The join
-    # keeps the repartitioning by path: bytes are shuffled once.
-    have = t.stored("page_text", "pages", prefixes).filter(F.col("page_key") == page_key)
-    todo = t.work(contents.join(have, "content_sha", "left_anti"), "todo")
-    src = files.select("path", "content").repartition(n, "path").join(todo, "path")
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(o.file_batch_rows)):
-        pages, seen = P.with_progress(P.page_job(
-            src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi, key="content_sha",
-            kind=S.file_kind(F.col("path")), pages_per_task=o.pages_per_task, partitions=n))
-        pages = t.work(pages, "pages")
-    bad_pages = t.work(pages.filter("error is not null").groupBy("content_sha").agg(F.min("error").alias("error")), "bad_pages")
-    t.store(pages.join(bad_pages, "content_sha", "left_anti").select(
-        "content_sha", F.lit(page_key).alias("page_key"), "page_no", "page_text"), "page_text")
-    t.publish("pages")
-
-    # 3. responses for contents without a stored one
-    ready = t.stored("page_text", "pages", prefixes).filter(F.col("page_key") == page_key)
-    answered = t.stored("responses", "responses", prefixes).filter(F.col("call_key") == call_key)
-    need = contents.select("content_sha").join(answered, "content_sha", "left_anti")
-    text = P.join_pages(ready.join(need, "content_sha", "left_semi"), key="content_sha", block_pages=o.block_pages)
-    hint = PR.hint_value(o.currency_hint)
-    if client_factory is None:
-        calls = text.select("content_sha", M.rule_response(F.col("raw_text"), hint).alias("response"),
-                            F.lit(None).cast("string").alias("error"))
-    else:
-        build = PR.json_prompt if o.prompt_style == "json" else PR.plain_prompt
-        calls = M.model_job(text.select("content_sha", build(F.col("raw_text"), hint).alias("prompt")), client_factory,
-                            key="content_sha", on_error=o.on_error, concurrency=o.model_concurrency, retries=o.model_retries)
-    calls = t.work(calls, "calls")
-    t.store(calls.filter("error is null").select("content_sha", F.lit(call_key).alias("call_key"), "response"), "responses")
-    t.publish("responses")
+    have = stored("page_text").filter(F.col("page_key") == page_key).select("content_sha", F.lit(True).alias("paged")).distinct()
+    answered = stored("responses").filter(F.col("call_key") == call_key).select("content_sha", F.lit(True).alias("answered")).distinct()
+    contents = t.work(S.unique_contents(new_files, "path").select("content_sha", F.col("first_path").alias("path"))
+                      .join(have, "content_sha", "left").join(answered, "content_sha", "left"), "contents")
+    open_ = contents.filter("paged is null or answered is null")
+
+    # 2. pages and responses, piece by piece
+    todo = open_.count()
+    pieces = -(-todo // o.piece_contents)
+    piece = F.pmod(F.conv(F.substring("content_sha", 1, 8), 16, 10).cast("bigint"), F.lit(max(1, pieces)))
+    seen = {"pages_done": 0, "page_errors": 0, "rows": 0}
+    progress = {"pieces": [0, pieces], "contents": todo, "pages": 0, "page_errors": 0, "calls": 0, "call_errors": 0}
+    failed = []
+    for k in range(pieces):
+        ours = open_.filter(piece == k)
+        bad, counts = _pages_of_piece(t, k, files, ours.filter("paged is null").select("path", "content_sha"), decoder_factory, recogniser_factory, o, n, page_key, reader)
+        seen = {c: seen[c] + counts[c] for c in seen}
+        progress |= {"pages": seen["pages_done"], "page_errors": seen["page_errors"]}
+        t.history.commit(add=bad.pop("segment"), progress={t.run: progress})
+        ready = stored("page_text").filter(F.col("page_key") == page_key)
+        need = ours.filter("answered is null").select("content_sha")
+        text = P.join_pages(ready.join(F.broadcast(need), "content_sha", "left_semi"), key="content_sha", block_pages=o.block_pages)
+        calls = t.work(_answers(text, client_factory, o), f"calls{k}")
+        segment = t.segment("responses", calls.filter("error is null").select("content_sha", F.lit(call_key).alias("call_key"), "response"))
+        sums = calls.agg(F.count("response").alias("ok"), F.count("error").alias("bad")).first()
+        progress |= {"pieces": [k + 1, pieces], "calls": progress["calls"] + sums.ok, "call_errors": progress["call_errors"] + sums.bad}
+        t.history.commit(add=segment, progress={t.run: progress})
+        failed += [bad["rows"], calls.filter("error is not null").select("content_sha", "error", F.lit("call").alias("stage"))]
+    failures = spark.createDataFrame([], "content_sha string, error string, stage string")
+    for f in failed:
+        failures = failures.unionByName(f)
+
+    # 3. the text of every content of this run, joined once
+    ready = stored("page_text").filter(F.col("page_key") == page_key).join(contents.select("content_sha"), "content_sha", "left_semi")
+    pages = P.page_counts(ready.withColumn("error", F.lit(None).cast("string")), "content_sha")
+    texts = t.work(P.join_pages(ready, key="content_sha", block_pages=o.block_pages).join(pages, "content_sha"), "texts")
 
     # 4. repair + validate once per content, then every new file gets its
     # record.  Both sides of that join are written tables, so a content with
     # very many copies is split over tasks.
-    answers = t.stored("responses", "responses", prefixes).filter(F.col("call_key") == call_key)
-    by_content = extract_records(answers.join(contents, "content_sha", "left_semi").drop("call_key"), strict_alias=o.strict_alias,
+    answers = stored("responses").filter(F.col("call_key") == call_key)
+    by_content = extract_records(answers.join(contents.select("content_sha"), "content_sha", "left_semi").drop("call_key"), strict_alias=o.strict_alias,
                                  error=None, clean=o.clean)
     if o.clean:
         by_content = by_content.withColumn("invoice", F.when(F.col("valid"), N.clean_invoice(F.col("invoice"))).otherwise(F.col("invoice")))
-    texts = t.work(P.join_pages(ready.join(contents, "content_sha", "left_semi"), key="content_sha", block_pages=o.block_pages), "texts")
     if o.ground_items:
-        by_content = by_content.join(texts, "content_sha", "left")
+        by_content = by_content.join(texts.select("content_sha", "raw_text"), "content_sha", "left")
     by_content = t.work(by_content, "by_content")
     ours = new_files.select("path", "content_sha")
     records = t.work(ours.join(by_content, "content_sha"), "records")
 
-    # 5. the tables for readers, then the one write that publishes them
-    paths = {}
+    # 5. the tables for readers, then the one commit that publishes them
+    paths, segments = {}, {}
 
     def put(name: str, df: DataFrame) -> None:
-        df.write.parquet(t.path(name))
+        segments.update(t.segment(name, df))
         paths[name] = f"{t.out_dir}/{name}"
 
     stem = writers.stem(F.col("path"))
@@ -241,25 +250,56 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_f
     writers.write_records_json(records, t.path("invoice_json"))
     put("invoice_json_pretty", writers.pretty_json(records))
     put("previews", ours.join(texts.select("content_sha", P.preview(F.col("raw_text")).alias("preview")), "content_sha"))
-    failures = t.work(ours.join(bad_pages.withColumn("stage", F.lit("pages")).unionByName(
-        calls.filter("error is not null").select("content_sha", "error", F.lit("call").alias("stage"))), "content_sha"), "failures")
+    failures = t.work(ours.join(failures, "content_sha"), "failures")
     put("failures", failures)
-    counts = t.work(P.page_counts(ready.withColumn("error", F.lit(None).cast("string")).join(contents, "content_sha", "left_semi"), "content_sha"), "counts")
-    put("file_metrics", S.file_metadata(new_files.select("path", "length"))
-        .join(ours, "path").join(counts, "content_sha", "left")
+    put("file_metrics", S.file_details(S.file_metadata(new_files.select("path", "length")),
+                                       ours.join(texts.select("content_sha", "pages", "page_errors"), "content_sha", "left"))
         .join(reshape.kpis(records).drop("content_sha"), "path", "left")
-        .join(records.select("path", "json_status", "valid"), "path", "left")
-        .withColumn("file_type", F.when(F.col("pages").isNull(), F.lit("Unknown")).otherwise(F.col("file_type"))))
-    t.store(ours.join(failures, ["path", "content_sha"], "left_anti").withColumn("job_key", F.lit(job_key)), "file_index")
+        .join(records.select("path", "json_status", "valid"), "path", "left"))
+    put("file_index", ours.join(failures, ["path", "content_sha"], "left_anti").withColumn("job_key", F.lit(job_key)))
     statuses = {(r.json_status, r.valid): r.records for r in reshape.status_counts(records).collect()}  # a few rows
     stages = {r.stage: r["count"] for r in failures.groupBy("stage").count().collect()}
-    t.publish("outputs")
-    summary = {"files": keyed.count(), "new_files": new_files.count(), "records": statuses, "failures": stages, **seen.get}
+    t.history.commit(add=segments, progress={t.run: progress})
+    summary = {"files": keyed.count(), "new_files": new_files.count(), "records": statuses, "failures": stages, **seen}
     t.clear_work()
+    t.history.compact(o.compact_fan, o.compact_keep_seconds)
     paths.update({k: f"{t.out_dir}/{k}" for k in (*STORES, "invoice_flat_csv", "invoice_json")})
     return paths | {"run": t.run, "summary": summary}
 
 
+def _pages_of_piece(t: RunTables, k: int, files: DataFrame, todo: DataFrame, decoder_factory: Callable, recogniser_factory: Callable,
+                    o: JobOptions, n: int, page_key: str, reader) -> tuple[dict, dict]:
+    """({segment of page text, rows of failures}, counts) of one piece.
+
+    `todo` has about `piece_contents` rows, which bounds the paths that go
+    through the driver and the broadcast that picks the piece's files."""
+    if reader:
+        paths = [r.path for r in todo.select("path").collect()]
+        files = reader(t.spark, paths) if paths else files.limit(0)
+    src = files.select("path", "content").join(F.broadcast(todo), "path")
+    pages, seen = P.with_progress(P.page_job(
+        src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi, key="content_sha",
+        kind=S.file_kind(F.col("path")), pages_per_task=o.pages_per_task, partitions=n))
+    with setting(t.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(o.file_batch_rows)):
+        pages = t.work(pages, f"pages{k}")
+    bad = t.work(pages.filter("error is not null").groupBy("content_sha").agg(F.min("error").alias("error"))
+                 .withColumn("stage", F.lit("pages")), f"bad_pages{k}")
+    segment = t.segment("page_text", pages.join(bad, "content_sha", "left_anti").select(
+        "content_sha", F.lit(page_key).alias("page_key"), "page_no", "page_text"))
+    return {"segment": segment, "rows": bad}, seen.get
+
+
+def _answers(text: DataFrame, client_factory: Callable | None, o: JobOptions) -> DataFrame:
+    """(content_sha, response, error) of each text: by the model, or by the rules without a client."""
+    hint = PR.hint_value(o.currency_hint)
+    if client_factory is None:
+        return text.select("content_sha", M.rule_response(F.col("raw_text"), hint).alias("response"),
+                           F.lit(None).cast("string").alias("error"))
+    build = PR.json_prompt if o.prompt_style == "json" else PR.plain_prompt
+    return M.model_job(text.select("content_sha", build(F.col("raw_text"), hint).alias("prompt")), client_factory,
+                       key="content_sha", on_error=o.on_error, concurrency=o.model_concurrency, retries=o.model_retries)
+
+
 def run_invoice_job(spark: SparkSession, input_dir: str, out_dir: str, decoder_factory: Callable,
                     recogniser_factory: Callable, client_factory: Callable | None = None,
                     options: JobOptions | None = None) -> dict:
@@ -270,4 +310,4 @@ def run_invoice_job(spark: SparkSession, input_dir: str, out_dir: str, decoder_f
     """
     o = options or JobOptions()
     scan = S.scan_files(spark, input_dir, o.extensions)
-    return process_files(spark, scan, out_dir, decoder_factory, recogniser_factory, client_factory, o)
+    return process_files(spark, scan, out_dir, decoder_factory, recogniser_factory, client_factory, o, S.read_files)

@@ -8,6 +8,8 @@ when only metadata is selected.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,12 @@ def scan_files(spark: SparkSession, path: str, extensions=None,
     return r.load(path)
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The same columns of files given by their paths, as `scan_files` lists
+    them: nothing else is listed or opened."""
+    return spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\,^])", r"\\\1", p) for p in paths])
+
+
 def stream_files(spark: SparkSession, path: str, extensions=None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """The same scan as a stream over a landing folder."""

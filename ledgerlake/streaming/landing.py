@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.invoice_job import JobOptions, process_files
 from ..session import checkpoint_dir, configure
-from ..sources.files import stream_files
+from ..sources.files import read_files, stream_files
 
 
 def start_landing_job(spark: SparkSession, landing_dir: str, out_dir: str,
@@ -38,7 +38,7 @@ def start_landing_job(spark: SparkSession, landing_dir: str, out_dir: str,
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         process_files(df.sparkSession, df, out_dir, decoder_factory, recogniser_factory,
-                      client_factory, o)
+                      client_factory, o, read_files)
 
     ckpt = checkpoint_location or os.path.join(checkpoint_dir(spark), "landing",
                                                os.path.basename(os.path.normpath(out_dir)))
