@@ -22,6 +22,7 @@ from ..operators.extract import extract_records
 from ..schema import ALLOWED_EXTENSIONS, FLAT_HEADER_ORDER, FLAT_ITEM_ORDER
 from ..session import checkpoint_dir, configure, setting
 from ..sinks import writers
+from ..sinks.history import History, Table
 from ..sources import files as S
 from ..sources import tables as TB
 from . import invoice_job as J
@@ -43,6 +44,45 @@ def file_metadata(spark, sf_dir):
     return S.file_metadata(_allowed(TB.documents_as_files(spark, sf_dir)))
 
 
+MIXED_EXTENSIONS = ["pdf", "PNG", "Jpg", "jpeg", "TIFF", "txt", "pdfx", "PdF"]
+
+
+def file_scan(spark, sf_dir):
+    """Every document written as a file of its own, extensions in
+    mixed case, some not accepted; the folder listed by extension, then read."""
+    configure(spark)
+    ext = F.element_at(F.array(*[F.lit(x) for x in MIXED_EXTENSIONS]), (F.pmod("doc_id", F.lit(len(MIXED_EXTENSIONS))) + 1).cast("int"))
+    d = TB.table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("."), ext).alias("name"),
+                                                    F.encode("text", "UTF-8").alias("content"))
+    folder = _folder(spark, "landing")
+    written = writers.write_files(d, folder)
+    files = S.with_content_key(S.scan_files(spark, folder))
+    return (S.file_metadata(files).join(files.select("path", "content_sha"), "path").drop("path")
+            .withColumn("written", F.lit(written).cast("bigint")))
+
+
+def compacted_history(spark, sf_dir):
+    """S9 over eight runs: each stores the contents that no earlier run has,
+    as a segment that the manifest then names; segments are merged in tiers of
+    three.  Every file with the run that stored its content, and how many
+    segments the manifest and the disk are left with."""
+    configure(spark)
+    folder = _folder(spark, "history")
+    S.with_content_key(_allowed(TB.documents_as_files(spark, sf_dir))).select("path", "doc_id", "content_sha").write.parquet(folder + "/files")
+    files = spark.read.parquet(folder + "/files")
+    h = History(spark, folder, {"contents": Table("content_sha string, first_path string, run int", ("content_sha",), "content_sha")})
+    for run in range(8):
+        mine = S.unique_contents(files.filter(F.pmod("doc_id", F.lit(8)) == run), "path")
+        new = S.not_yet_processed(mine, h.read("contents"), "content_sha").select("content_sha", "first_path", F.lit(run).alias("run"))
+        h.commit(add={"contents": [h.write("contents", new)]})
+        h.compact(fan=3, keep_seconds=0)
+    h.compact(fan=3, keep_seconds=0)  # deletes what the last merge replaced
+    live = h.manifest()["tables"]["contents"]
+    return files.join(h.read("contents", live), "content_sha").select(
+        "path", "content_sha", "first_path", "run", F.lit(len(live)).cast("bigint").alias("segments"),
+        F.lit(len(h.folders("contents"))).cast("bigint").alias("folders"))
+
+
 def content_dedup(spark, sf_dir):
     """Every file mapped to the first file with the same bytes."""
     configure(spark)
@@ -287,7 +327,9 @@ def export_json(spark, sf_dir):
 
 QUERIES = {
     "file_metadata": file_metadata,
+    "file_scan": file_scan,
     "content_dedup": content_dedup,
+    "compacted_history": compacted_history,
     "already_processed": already_processed,
     "select_files": select_files,
     "page_join": page_join,
@@ -339,6 +381,16 @@ SELECT path, CAST(doc_id AS VARCHAR) || '.' || ext AS name, CAST(doc_id AS VARCH
        WHEN 'jpeg' THEN 'JPEG' WHEN 'tiff' THEN 'TIFF' END AS file_type,
   round_even(octet_length(encode(text)) / 1024.0, 1) AS size_kb
 FROM fa""",
+        "file_scan": f"""
+WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS stem, text, {MIXED_EXTENSIONS}[doc_id % {len(MIXED_EXTENSIONS)} + 1] AS ext FROM documents)
+SELECT stem || '.' || ext AS name, stem, CASE lower(ext) WHEN 'pdf' THEN 'pdf' ELSE 'image' END AS kind,
+  CASE lower(ext) WHEN 'jpg' THEN 'JPEG' ELSE upper(ext) END AS file_type, round_even(octet_length(encode(text)) / 1024.0, 1) AS size_kb,
+  sha256(text) AS content_sha, (SELECT count(*) FROM documents) AS written
+FROM f WHERE lower(ext) IN ('pdf', 'png', 'jpg', 'jpeg', 'tiff')""",
+        "compacted_history": _FILES + """, r AS (SELECT *, doc_id % 8 AS run, min(doc_id % 8) OVER (PARTITION BY text) AS first_run FROM fa)
+SELECT path, sha256(text) AS content_sha, min(CASE WHEN run = first_run THEN path END) OVER (PARTITION BY text) AS first_path,
+  CAST(first_run AS INTEGER) AS run, CAST(4 AS BIGINT) AS segments, CAST(4 AS BIGINT) AS folders
+FROM r""",
         "content_dedup": _FILES + """
 SELECT path, sha256(text) AS content_sha, min(path) OVER (PARTITION BY text) AS rep_path FROM fa""",
         "already_processed": _FILES + """

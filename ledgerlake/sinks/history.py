@@ -174,6 +174,13 @@ class History:
             df = df.filter(F.col("prefix").isin(prefixes))
         return df.drop("seg", "prefix")
 
+    def folders(self, name: str) -> list[str]:
+        """Names of a table's segment folders on disk, live, retired or never committed."""
+        fs, d = self._fs(), self._path(name)
+        if not fs.exists(d):
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(d) if s.getPath().getName().startswith("seg="))
+
     # --- compaction -----------------------------------------------------------
 
     def compact(self, fan: int = 8, keep_seconds: int = 3600) -> int:

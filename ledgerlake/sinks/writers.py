@@ -7,6 +7,7 @@ Outputs for a whole batch are one frame each (X7), optionally partitioned.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,3 +94,21 @@ def pretty_json(records: DataFrame, keys=None) -> DataFrame:
     k = keys or ["path"]
     return records.select(*k, F.to_json(F.col("invoice"),
                                         {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
+
+
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Writes each row's bytes as a file of its own under a folder that all
+    tasks share, by name; returns how many.  A task that is run again writes
+    the same files again."""
+
+    def run(batches):
+        from pyarrow import fs
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for n, data in zip(batch.column(0), batch.column(1)):
+                with store.open_output_stream(f"{base}/{n.as_py()}") as f:
+                    f.write(data.as_py() or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return rows.select(name, content).mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
