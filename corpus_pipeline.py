@@ -8,6 +8,8 @@ as the next stage's input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,33 +17,55 @@ from ledgerlake.llm import decontam, neardup, packing, pii, quality
 from ledgerlake.llm.common import Store, read
 
 
+# Every stage: null, empty and very long texts, ties, repeated rows, empty tables and further columns are allowed; columns other
+# than doc_id and text come back as they were, whatever their names.
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with all columns but doc_id and text under names that no operator uses, and the way back."""
+    names = {c: c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return inner, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects stay."""
-    return quality.quality_cascade(docs, out="__quality").filter("__quality.kept").select(docs.columns)
+    """Documents that no quality rule rejects stay: rows are judged by themselves, null and empty texts are rejected (too few words)."""
+    inner, back = shielded(docs)
+    return back(quality.quality_cascade(inner, out="quality").filter("quality.kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the
-    smallest id stays; documents without an id stay."""
-    found = neardup.near_duplicates(docs, words=5, num=80, den=100)
-    gone = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest id
+    stays.  Rows are told apart by a number of their own: of repeated rows one stays, rows with equal ids but different texts are
+    different documents, and rows without an id take part and come last.  Texts without words stay."""
+    store = Store(spark, "near-dedup")
+    inner, back = shielded(docs)
+    rows = store.write(inner.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = neardup.near_duplicates(rows.select("row", "text"), id_col="row", words=5, num=80, den=100)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    members = found.select("row", "component_id").join(rows.select("row", "doc_id"), "row")
+    groups = members.groupBy("component_id").agg(F.min(order).alias("one"), F.count("*").alias("n")).filter("n > 1")
+    gone = members.join(groups, "component_id").filter(F.col("row") != F.col("one.row")).select("row")
+    return back(rows.join(gone, "row", "left_anti"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage stay."""
-    marked = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep_text=True)
-    return marked.filter(F.col("contamination.n_hit") == 0).select(docs.columns)
+    """Documents without any benchmark passage stay, those without words among them; rows are judged by themselves."""
+    inner, back = shielded(docs)
+    marked = decontam.decontaminate(inner, read(spark, sf_dir, "benchmark"), keep_text=True)
+    return back(marked.filter(F.col("contamination.n_hit") == 0))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to their kinds in brackets; n_chars follows."""
+    """Personal data give way to their kinds in brackets; n_chars, where there is one, follows.  All rows stay, null texts are null."""
     out = pii.redact(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece of a training sequence."""
+    """One row a piece of a training sequence; null texts are empty documents, repeated rows are packed each."""
     return packing.pack(docs)
 
 
