@@ -475,3 +475,24 @@ def test_pipeline_stages_on_odd_rows(spark):
     text = {r.doc_id: r for r in docs.collect()}[3]
     assert text.text.endswith(" at [EMAIL]") and text.n_chars == len(text.text)
     assert {r.doc_id for r in p.STAGES[-1][1](spark, docs, SF).collect()} == {3, None, 6}
+
+
+def test_pipeline_columns_come_back_by_value(spark):
+    """Columns under the operators' own names, equal ids with different texts, repeated rows, and copies without an id."""
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{w}{i} says" for i in range(30)) for w in ("red", "green", "blue"))
+    rows = [(1, one), (1, two), (2, one), (None, one), (None, three), (None, three), (5, two), (5, two)]
+    names = ["__index", "contamination", "quality", "pii", "row", "id", "one", "component_id", "n", "c0", "c1", "Node"]
+    df = spark.createDataFrame([(i, t, *[f"{name} {k}" for name in names]) for k, (i, t) in enumerate(rows)],
+                               "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    full = {tuple(r) for r in df.collect()}
+    docs = df
+    for name, stage in p.STAGES[:-1]:
+        docs = Store(spark, "test").write(stage(spark, docs, SF), name)
+        got = [tuple(r) for r in docs.collect()]
+        assert docs.columns == df.columns and set(got) <= full and len(got) == len(set(got)), name
+        if name == "quality_rules":
+            assert len(got) == len(rows)
+        else:
+            assert sorted((str(r[0]), r[1]) for r in got) == sorted([("1", one), ("1", two), ("None", three)]), name
