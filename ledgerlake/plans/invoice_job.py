@@ -173,7 +173,10 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_f
     if o.selection is not None:
         files = S.select_files(files.withColumn("name", S.file_name(F.col("path"))),
                                o.selection, "name").drop("name")
-    keyed = t.work(S.with_content_key(files).select("path", "length", "content_sha"), "keyed")
+    # The same bytes read as a document and as an image are two contents.
+    image = S.file_kind(F.col("path")) == "image"
+    keyed = t.work(S.with_content_key(files).select("path", "length", F.when(image, F.concat("content_sha", F.lit("-image")))
+                                                    .otherwise(F.col("content_sha")).alias("content_sha")), "keyed")
     prefixes = [r.p for r in keyed.select(_prefix().alias("p")).distinct().collect()]  # at most 16
 
     def stored(name: str) -> DataFrame:
