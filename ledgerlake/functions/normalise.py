@@ -59,3 +59,15 @@ def clean_invoice(invoice: Column) -> Column:
             c = unknown_to_null(c)
         fields.append(c.alias(n))
     return F.when(invoice.isNotNull(), F.struct(*fields))
+
+
+def words(c: Column) -> Column:
+    """The words of a text (runs of letters and digits) in lower case, with one blank before and after each (N6); a
+    text without words is one blank, which every text holds."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(c), F.lit(" ")), r"[^\p{L}\p{M}\p{N}]+", " ")
+
+
+def numbers(c: Column) -> Column:
+    """The numbers of a text as doubles, digits grouped by commas or not."""
+    found = F.regexp_extract_all(c, F.lit(r"-?[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?"), F.lit(0))
+    return F.transform(F.array_distinct(found), lambda x: F.regexp_replace(x, ",", "").try_cast("double"))

@@ -41,6 +41,19 @@ def unfence(c: Column) -> Column:
     return F.when(c.startswith(FENCE), py_strip(inner)).otherwise(c)
 
 
+# A bare constant that a lenient JSON parser reads as a number, by itself.
+_CONSTANT = r"(?:(?<![\w.+-])NaN|(?<![\w.+])Infinity)(?![\w.+-])"
+# What precedes the next such constant: plain text and whole strings.  Possessive, so long texts need no stack.
+_UP_TO_CONSTANT = rf'(?s)\G(?<before>(?:[^"NI]++|"(?:[^"\\]++|\\.)*+"|(?!{_CONSTANT})[NI])*+){_CONSTANT}'
+
+
+def bare_constants(c: Column) -> Column:
+    """`NaN`, `Infinity` and `-Infinity` outside strings written as a number
+    beyond double range, which is read as infinite: numeric fields take it and
+    come out null, text fields reject it, as with the constants themselves."""
+    return F.when(c.rlike("NaN|Infinity"), F.regexp_replace(c, _UP_TO_CONSTANT, "${before}1e999")).otherwise(c)
+
+
 def wrapped_parse(c: Column) -> Column:
     """Parse `c` wrapped as `{"<wrap>": c, "<end>": 1}` (NULL on a syntax
     error).
@@ -49,7 +62,7 @@ def wrapped_parse(c: Column) -> Column:
     rest, so the text is wrapped: any trailing text then either breaks the
     syntax or drops the end key.  Check the result with `wrapped_value`.
     """
-    return F.try_parse_json(F.concat(F.lit('{"%s":' % _WRAP_KEY), c, F.lit(',"%s":1}' % _END_KEY)))
+    return F.try_parse_json(F.concat(F.lit('{"%s":' % _WRAP_KEY), bare_constants(c), F.lit(',"%s":1}' % _END_KEY)))
 
 
 def wrapped_value(w: Column) -> Column:

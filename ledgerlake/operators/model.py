@@ -139,8 +139,3 @@ def rule_extract(text: Column, hint: Column | None = None) -> Column:
 def rule_response(text: Column, hint: Column | None = None) -> Column:
     """`rule_extract` as the JSON text a model would answer with."""
     return F.to_json(rule_extract(text, hint))
-
-
-def grounded(items_description: Column, raw_text: Column) -> Column:
-    """Whether an item's description occurs in the document text."""
-    return F.contains(F.lower(raw_text), F.lower(items_description))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalise as N
 from ..functions import validate as V
-from ..schema import DOUBLE_HEADER, FLAT_HEADER_ORDER, FLAT_ITEM_ORDER, HEADER_FIELDS
+from ..schema import DOUBLE_HEADER, FIELD_ALIASES, FLAT_HEADER_ORDER, FLAT_ITEM_ORDER, HEADER_FIELDS
 
 
 def _keys(df: DataFrame, keys) -> list[str]:
@@ -34,7 +35,40 @@ def header_table(df: DataFrame, keys=None) -> DataFrame:
     return df.select(*k, *[F.col("invoice." + n).alias(n) for n, _ in HEADER_FIELDS])
 
 
-def flat_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFrame:
+def unknown_columns(df: DataFrame, most: int = 1000) -> list[str]:
+    """Keys of invalid records that no field has (F6): those of records first,
+    then those of items only, each in alphabetical order.
+
+    The distinct names go through the driver; more than `most` of them are an
+    error, since they would be columns.
+    """
+    known = [*FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, *FIELD_ALIASES.values(), "line_items"]
+    # One array a record, exploded as it is: a filter on `valid` or an inner explode would carry the whole validation
+    # into a filter (see `items_table`).
+    tagged = lambda of: lambda names: F.coalesce(F.transform(names, lambda n: F.struct(F.lit(of).alias("of"), n.alias("name"))),
+                                                 F.array().cast("array<struct<of:int,name:string>>"))
+    rows = _answered(df).select(F.when(~F.col("valid"), F.col("raw")).alias("raw"))
+    rows = rows.select(F.map_keys(_keyed(F.col("raw"))).alias("keys"), V.as_array(V.member(F.col("raw"), "line_items")).alias("items"))
+    rows = rows.select("keys", F.flatten(F.transform("items", lambda i: F.coalesce(F.map_keys(_keyed(i)), F.array().cast("array<string>")))).alias("item_keys"))
+    rows = rows.select(F.explode_outer(F.concat(tagged(0)(F.col("keys")), tagged(1)(F.array_distinct("item_keys")))).alias("k")).select("k.of", "k.name")
+    found = (rows.filter(F.col("name").isNotNull() & ~F.col("name").isin(known)).groupBy("name").agg(F.min("of").alias("of"))
+             .orderBy("of", "name").limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"more than {most} unknown keys")
+    return [r.name for r in found]
+
+
+def _keyed(v: Column) -> Column:
+    """An object variant as a map, NULL for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _shown(v: Column) -> Column:
+    """Text of any JSON value: texts as they are, null as NULL, the rest as JSON."""
+    return F.when(~F.is_variant_null(v), F.when(V.vtype(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
+
+
+def flat_table(df: DataFrame, keys=None, with_line_no: bool = False, unknown: list[str] | None = None) -> DataFrame:
     """One row per line item with the header repeated; a record without items
     gives one header-only row.
 
@@ -42,8 +76,20 @@ def flat_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFram
     record, an item that holds a header key overrides that header value in its
     own row (even with null), and a non-object item gives a row with NULL item
     columns.  Records whose model call failed are left out.
+
+    `unknown` names further keys (see `unknown_columns`): each becomes a text
+    column in place of `extras`, with the item's value where the item has the
+    key (even null), else the record's.  Only invalid records have any.  A
+    key that differs from another column in case only gets a `_` behind it.
     """
     k = _keys(df, keys)
+    names = {f"_u{i}": n for i, n in enumerate(unknown or [])}
+    shown, used = {}, {c.lower() for c in (*k, *FLAT_HEADER_ORDER, *FLAT_ITEM_ORDER, "line_no")}
+    for u, n in names.items():
+        while n.lower() in used:
+            n += "_"
+        shown[u] = n
+        used.add(n.lower())
     # Items and, for invalid records, their raw values side by side in one
     # array: the explode then copies the header to each row but neither the
     # invoice nor the raw record.
@@ -51,8 +97,13 @@ def flat_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFram
                            F.array().cast("array<variant>"))
     both = F.zip_with("invoice.line_items", raw_items, lambda i, r: F.struct(i.alias("item"), r.alias("raw")))
     ex = _answered(df).select(*k, "valid", "extras", *[F.col("invoice." + n).alias(n) for n in FLAT_HEADER_ORDER],
+                              *[_shown(F.element_at(_keyed(F.when(~F.col("valid"), F.col("raw"))), n)).alias(u) for u, n in names.items()],
                               both.alias("_both"))
-    ex = ex.select(*k, "valid", "extras", *FLAT_HEADER_ORDER, F.posexplode_outer("_both").alias("_pos", "_x"))
+    ex = ex.select(*k, "valid", "extras", *FLAT_HEADER_ORDER, *names, F.posexplode_outer("_both").alias("_pos", "_x"))
+    if names:
+        ex = ex.withColumn("_item_keys", _keyed(F.col("_x.raw")))
+        ex = ex.withColumns({u: F.when(F.map_contains_key("_item_keys", n), _shown(F.element_at("_item_keys", n))).otherwise(F.col(u))
+                             for u, n in names.items()})
     ex = ex.select("*", *[V.member(F.col("_x.raw"), n).alias("_rv_" + n) for n in FLAT_HEADER_ORDER])
     ex = ex.select("*", *[V.vtype(F.col("_rv_" + n)).alias("_rt_" + n) for n in FLAT_HEADER_ORDER])
     cols = [F.col(c) for c in k]
@@ -60,7 +111,7 @@ def flat_table(df: DataFrame, keys=None, with_line_no: bool = False) -> DataFram
         v, t = F.col("_rv_" + n), F.col("_rt_" + n)
         val = V.number_fit(v, t) if n in DOUBLE_HEADER else V.string_value(v, t)
         cols.append(F.when(~F.col("valid") & t.isNotNull(), val).otherwise(F.col(n)).alias(n))
-    cols.append(F.col("extras"))
+    cols += [F.col("extras")] if unknown is None else [F.col(u).alias(n) for u, n in shown.items()]
     cols += [F.col("_x.item." + n).alias(n) for n in FLAT_ITEM_ORDER]
     if with_line_no:
         cols.append((F.col("_pos") + F.lit(1)).alias("line_no"))
@@ -74,8 +125,10 @@ def items_table(df: DataFrame, keys=None, with_line_no: bool = False, with_raw:
 
     `with_raw` adds `item_raw`, the item of an invalid record with all its
     keys as a VARIANT (NULL for valid records).  `text` names a column with
-    the document's text and adds `grounded`, whether it holds the item's
-    description; that is decided inside the item array, so the text is not
+    the document's text and adds `grounded`, whether it holds the words of the
+    item's description in their order, however they are broken over lines and
+    marked off, and `numbers_grounded`, whether it holds each of the item's
+    numbers; both are decided inside the item array, so the text is not
     copied to every item.
 
     The explode is an outer one followed by a filter on its output: an inner
@@ -91,10 +144,14 @@ def items_table(df: DataFrame, keys=None, with_line_no: bool = False, with_raw:
         items = F.zip_with(items, raw, lambda i, r: F.struct(*[i[n].alias(n) for n in FLAT_ITEM_ORDER], r.alias("item_raw")))
         extra.append("item_raw")
     if text:
-        # The one-element array holds the lower-cased text, so that it is made once a record.
-        items = F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.transform(items, lambda i: F.struct(
-            *[i[n].alias(n) for n in FLAT_ITEM_ORDER + extra], F.contains(low, F.lower(i["description"])).alias("grounded")))), 1)
-        extra.append("grounded")
+        # The one-element array holds the text's words and numbers, so that they are made once a record.
+        made = F.array(F.struct(N.words(F.col(text)).alias("words"), N.numbers(F.col(text)).alias("numbers")))
+        items = F.element_at(F.transform(made, lambda t: F.transform(items, lambda i: F.struct(
+            *[i[n].alias(n) for n in FLAT_ITEM_ORDER + extra],
+            F.contains(t["words"], N.words(i["description"])).alias("grounded"),
+            F.forall(F.array(i["quantity"], i["unit_price"], i["amount"]),
+                     lambda x: x.isNull() | F.array_contains(t["numbers"], x)).alias("numbers_grounded")))), 1)
+        extra += ["grounded", "numbers_grounded"]
     ex = (df.select(*k, F.posexplode_outer(items).alias("_pos", "_item"))
             .filter(F.col("_pos").isNotNull()))
     cols = [F.col(c) for c in k] + [F.col("_item." + n).alias(n) for n in FLAT_ITEM_ORDER + extra]

@@ -66,6 +66,16 @@ def repaired_flat(spark, sf_dir):
                      F.col("extras").isNotNull().alias("has_extras"))
 
 
+def unknown_columns(spark, sf_dir):
+    """damaged responses with the unknown keys of invalid records as
+    columns between header and item columns."""
+    records = _damaged(spark, sf_dir)
+    unknown = reshape.unknown_columns(records)
+    fl = reshape.flat_table(records, with_line_no=True, unknown=unknown)
+    assert fl.columns[1 + len(FLAT_HEADER_ORDER):-len(FLAT_ITEM_ORDER) - 1] == unknown
+    return fl.select("path", _line_no(), "vendor_name", *unknown, "description")
+
+
 def validation_report(spark, sf_dir):
     """Records per (json_status, valid)."""
     return reshape.status_counts(_damaged(spark, sf_dir))
@@ -92,6 +102,7 @@ QUERIES = {
     "header_long": header_long,
     "repair_status": repair_status,
     "repaired_flat": repaired_flat,
+    "unknown_columns": unknown_columns,
     "validation_report": validation_report,
     "gstin_modes": gstin_modes,
     "kpis": kpis,

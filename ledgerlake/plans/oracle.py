@@ -28,7 +28,7 @@ per_order AS (
   FROM lines GROUP BY l_orderkey
 ),
 inv AS (
-  SELECT o.o_orderkey, o.o_orderkey % 20 AS m,
+  SELECT o.o_orderkey, o.o_orderkey % 22 AS m,
     'orders/' || CAST(o.o_orderkey AS VARCHAR) || '.pdf' AS path,
     s.s_name AS vendor_name,
     'Unit ' || CAST(s.s_suppkey AS VARCHAR) || ', ' || sn.n_name AS vendor_address,
@@ -67,9 +67,10 @@ def _header_cols(prefix="i.") -> str:
 
 # Damage modes by outcome (`m`, see sources/tables.py).  10 is invalid only where there are items.
 _EMPTY = "(6, 14)"                        # no field survives
-_INVALID = "(i.m IN (5, 8, 9, 14, 15, 16, 17, 18) OR i.m = 10 AND i.n_lines > 0)"
-_LOST = {"invoice_number": "(5)", "subtotal": "(8, 13, 17)", "tax_amount": "(13)", "total": "(13, 18)"}
-_READ = {"subtotal": "WHEN i.m = 19 THEN 5.5", "tax_percent": "WHEN i.m = 19 THEN 10.0", "total": "WHEN i.m = 19 THEN 1.0"}
+_INVALID = "(i.m IN (5, 8, 9, 14, 15, 16, 17, 18, 21) OR i.m = 10 AND i.n_lines > 0)"
+_LOST = {"invoice_number": "(5, 21)", "subtotal": "(8, 13, 17, 20)", "tax_amount": "(13, 20)", "total": "(13, 18, 20)"}
+_READ = {"subtotal": "WHEN i.m = 19 THEN 5.5", "tax_percent": "WHEN i.m = 19 THEN 10.0", "total": "WHEN i.m = 19 THEN 1.0",
+         "notes": "WHEN i.m = 20 THEN 'NaN, \"Infinity'"}
 
 
 def _damaged(c: str) -> str:
@@ -93,6 +94,16 @@ _STATUS = ("CASE i.m WHEN 1 THEN 'sliced' WHEN 3 THEN 'sliced' WHEN 6 THEN 'empt
            "ELSE 'ok' END")
 
 
+# Items as they come out of the damaged responses.
+_DAMAGED_LINES = """
+, dl AS (
+  SELECT l.l_orderkey, i.m, l.line_no, CASE i.m WHEN 10 THEN NULL WHEN 11 THEN '' ELSE l.p_name END AS p_name,
+         l.l_quantity, l.p_retailprice, l.l_extendedprice
+  FROM lines l JOIN inv i ON l.l_orderkey = i.o_orderkey WHERE i.m NOT IN (6, 14, 15, 16)
+  UNION ALL SELECT o_orderkey, m, n_lines + 1, NULL, NULL, NULL, NULL FROM inv WHERE m = 9
+)"""
+
+
 def _header_long_sql() -> str:
     vals = ", ".join(
         (f"CAST(i.{c} AS VARCHAR) AS {c}" if c in _DOUBLES else f"i.{c} AS {c}") for c in _DECL)
@@ -117,16 +128,18 @@ FROM inv i JOIN lines l ON l.l_orderkey = i.o_orderkey""",
     "repair_status": _WITH + f"""
 SELECT {_STATUS} AS json_status, count(*) AS records FROM inv i GROUP BY 1""",
 
-    "repaired_flat": _WITH + f"""
-, dl AS (
-  SELECT l.l_orderkey, i.m, l.line_no, CASE i.m WHEN 10 THEN NULL WHEN 11 THEN '' ELSE l.p_name END AS p_name,
-         l.l_quantity, l.p_retailprice, l.l_extendedprice
-  FROM lines l JOIN inv i ON l.l_orderkey = i.o_orderkey WHERE i.m NOT IN (6, 14, 15, 16)
-  UNION ALL SELECT o_orderkey, m, n_lines + 1, NULL, NULL, NULL, NULL FROM inv WHERE m = 9
-)
+    "repaired_flat": _WITH + _DAMAGED_LINES + f"""
 SELECT i.path, {_damaged_header_cols()}, {_ITEM_COLS}, {_INVALID} AS has_extras
 FROM inv i LEFT JOIN dl l ON l.l_orderkey = i.o_orderkey""",
 
+    # Keys that no field has: po_number of the header, or of the second item in its row; sku of the items.
+    "unknown_columns": _WITH + _DAMAGED_LINES + f"""
+SELECT i.path, CAST(coalesce(l.line_no, 0) AS INTEGER) AS line_no, {_damaged("vendor_name")} AS vendor_name,
+  CASE WHEN i.m = 21 THEN '[1,2]' END AS pages,
+  CASE WHEN i.m = 21 AND l.line_no = 2 THEN 'PO-item' WHEN i.m = 21 THEN 'PO-' || CAST(i.o_orderkey AS VARCHAR) END AS po_number,
+  CASE WHEN i.m = 21 THEN CAST(l.line_no - 1 AS VARCHAR) END AS sku, l.p_name AS description
+FROM inv i LEFT JOIN dl l ON l.l_orderkey = i.o_orderkey""",
+
     "validation_report": _WITH + f"""
 SELECT {_STATUS} AS json_status, NOT {_INVALID} AS valid, count(*) AS records
 FROM inv i GROUP BY 1, 2""",

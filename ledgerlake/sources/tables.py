@@ -7,7 +7,7 @@ decimal(18,2) and the tax rate (the order's highest line tax) as
 decimal(4,2), then written as double.
 
 The response text of each invoice is the record as JSON, damaged in one of
-twenty ways chosen by `o_orderkey mod 20` (see `DAMAGE_MODES`).
+twenty-two ways chosen by `o_orderkey mod 22` (see `DAMAGE_MODES`).
 
 Scale: lineitem is read once, joined to part on `l_partkey` (broadcast only
 if the runtime size of `part` is under the session threshold) and grouped by
@@ -29,7 +29,7 @@ RATE = "decimal(4,2)"
 # Currency of the buyer's region (region keys 0..4), an own choice.
 REGION_CURRENCY = ["USD", "EUR", "GBP", "INR", "JPY"]
 
-# o_orderkey mod 20 -> how the response text is written, and what becomes of it.
+# o_orderkey mod 22 -> how the response text is written, and what becomes of it.
 DAMAGE_MODES = {
     0: "plain",              # the JSON as is                          -> ok, valid
     1: "tagged_fence",       # ```json ... ```                         -> sliced, valid
@@ -51,6 +51,8 @@ DAMAGE_MODES = {
     17: "separator_in_number",  # subtotal starts with 0x1c            -> ok, invalid
     18: "padded_underscore", # total " 7_1"                            -> ok, invalid
     19: "odd_spaces",        # subtotal inside no-break spaces, tax_percent "1_0", total true -> ok, valid
+    20: "bare_constants",    # subtotal NaN, tax_amount -Infinity, total Infinity, as bare words -> ok, valid, null
+    21: "unknown_keys_invalid",  # as 12 with po_number and sku, invoice_number a JSON number -> ok, invalid
 }
 
 PROSE_HEAD = "Here is the extracted invoice:\n"
@@ -181,7 +183,7 @@ def clean_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, response, error) with the response damaged by `o_orderkey mod 20`."""
+    """(path, response, error) with the response damaged by `o_orderkey mod 22`."""
     inv = invoice_columns(spark, sf_dir)
     items = F.col("line_items")
 
@@ -210,6 +212,8 @@ def damaged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     first_has_currency = F.transform(items, lambda i, k: F.struct(
         *[i[f].alias(f) for f, _ in ITEM_FIELDS], F.when(k == 0, F.lit("ITM")).alias("currency")))
     with_sku = F.transform(items, lambda i: F.struct(*[i[f].alias(f) for f, _ in ITEM_FIELDS], F.lit("x").alias("sku")))
+    with_po = F.transform(items, lambda i, k: F.struct(*[i[f].alias(f) for f, _ in ITEM_FIELDS], k.alias("sku"),
+                                                       F.when(k == 1, F.lit("PO-item")).alias("po_number")))
     texts = F.concat(F.transform(items, lambda i: F.to_json(i)), F.array(F.lit('"loose text"')))
     among = F.regexp_replace(record({"line_items": F.lit("@items@")}), '"@items@"', "@items@")
     modes = {
@@ -234,6 +238,11 @@ def damaged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         16: record({"line_items": text("none listed")}),
         17: record({"subtotal": text("\x1c5")}),
         18: record({"total": text(" 7_1")}),
+        20: F.replace(F.replace(F.replace(record({"subtotal": text("@nan@"), "tax_amount": text("@low@"), "total": text("@high@"), "notes": text('NaN, "Infinity')}),
+                                          F.lit('"@nan@"'), F.lit("NaN")), F.lit('"@low@"'), F.lit("-Infinity")), F.lit('"@high@"'), F.lit("Infinity")),
+        21: F.to_json(F.struct(
+            *[(with_po if n == "line_items" else F.col("o_orderkey") if n == "invoice_number" else F.col(n)).alias(n) for n, _ in INVOICE_FIELDS],
+            F.concat(F.lit("PO-"), F.col("o_orderkey").cast("string")).alias("po_number"), F.array(F.lit(1), F.lit(2)).alias("pages"))),
         19: record({"subtotal": text("\u00a05.5\u2003"), "tax_percent": text("1_0"), "total": F.lit(True)}),
     }
     response = None

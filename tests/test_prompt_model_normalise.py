@@ -4,9 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from helpers import responses
 from ledgerlake.functions import normalise as N
 from ledgerlake.operators import model as M
 from ledgerlake.operators import prompt as PR
+from ledgerlake.operators import reshape
 from ledgerlake.operators.extract import extract_records
 
 INVOICE_TEXT = """INVOICE
@@ -94,9 +96,22 @@ def test_currency_code_without_total_code(spark):
     assert got == ["GBP", "CHF", "EUR"]
 
 
-def test_grounded(spark):
-    df = spark.createDataFrame([("Steel Bolt", INVOICE_TEXT), ("Washer", INVOICE_TEXT)], "d string, t string")
-    assert [r.g for r in df.select(M.grounded(F.col("d"), F.col("t")).alias("g")).collect()] == [True, False]
+def test_grounded_by_words_and_numbers(spark):
+    text = "Steel-Bolt,\n   large  4 x 2.50\t10.00\nÉcrou  1 1,200.5 -3"
+    items = [("steel bolt large", 4.0, 2.5, 10.0, True, True), ("Bolt, LARGE", None, None, None, True, True), ("olt large", 4.0, None, 10.01, False, False),
+             ("large bolt", 2.0, None, None, False, False), ("écrou", 1.0, 1200.5, -3.0, True, True), ("", None, 5.0, None, True, False),
+             (None, 1.0, None, None, None, True)]
+    import json
+    record = json.dumps({"line_items": [dict(zip(("description", "quantity", "unit_price", "amount"), i)) for i in items if i[0] is not None]})
+    recs = extract_records(responses(spark, [record])).withColumn("text", F.lit(text))
+    got = reshape.items_table(recs, with_line_no=True, text="text").orderBy("line_no").collect()
+    assert [(r.grounded, r.numbers_grounded) for r in got] == [i[4:] for i in items if i[0] is not None]
+    assert items_of(spark, None) == [(None, None)] and items_of(spark, "") == [(False, False)]
+
+
+def items_of(spark, text):
+    recs = extract_records(responses(spark, ['{"line_items":[{"description":"a","amount":1}]}'])).withColumn("text", F.lit(text).cast("string"))
+    return [(r.grounded, r.numbers_grounded) for r in reshape.items_table(recs, text="text").collect()]
 
 
 def test_model_job_concurrency_retries_and_fail(spark):

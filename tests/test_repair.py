@@ -1,12 +1,16 @@
 """Response text -> status and JSON value (FIXTURES 3.1)."""
 
 import json
+import math
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from helpers import raw_json, responses
+from ledgerlake.functions import repair as R
 from ledgerlake.operators.extract import repair_responses
 
 FENCE = "```"
@@ -40,7 +44,14 @@ CASES = [
     ("5", "ok", 5),
     ("null", "ok", None),
     ('json [{"a":1},{"b":2}]', "empty", {}),
-    ('{"a":NaN}', "empty", {}),
+    ('{"a":NaN}', "ok", {"a": "Infinity"}),  # shown as text: JSON has no such number
+    ('{"a":[-Infinity,"NaN"],"Infinity":"x\\" NaN"}', "ok", {"a": ["-Infinity", "NaN"], "Infinity": 'x" NaN'}),
+    ('He said 5" NaN {"a":Infinity} ok', "sliced", {"a": "Infinity"}),
+    ('{"a":-NaN}', "empty", {}),
+    ('{"a":1NaN}', "empty", {}),
+    ('{"a":Infinityx}', "empty", {}),
+    ('{NaN:1}', "empty", {}),
+    ('{"a":"NaN', "empty", {}),
     ('{"a":1,"b":[1,{"c":null}]}', "ok", {"a": 1, "b": [1, {"c": None}]}),
 ]
 
@@ -59,26 +70,35 @@ def test_api_error_row(spark):
     assert got["b"] == ("ok", {"x": 1})
 
 
+def _as_shown(v):
+    """Numbers that are none, as the JSON text of a variant shows them."""
+    if isinstance(v, float) and (math.isnan(v) or math.isinf(v)):
+        return "-Infinity" if v < 0 else "Infinity"
+    if isinstance(v, dict):
+        return {k: _as_shown(x) for k, x in v.items()}
+    return [_as_shown(x) for x in v] if isinstance(v, list) else v
+
+
 def _python_repair(text):
     """Brute-force oracle: the repair rules in plain Python."""
     out = text.strip()
     if out.startswith(FENCE):
         out = out.split(FENCE, 2)[1].strip()
     try:
-        return "ok", json.loads(out)
+        return "ok", _as_shown(json.loads(out))
     except ValueError:
         pass
     start, end = out.find("{"), out.rfind("}")
     if start >= 0 and end > start:
         try:
-            return "sliced", json.loads(out[start:end + 1])
+            return "sliced", _as_shown(json.loads(out[start:end + 1]))
         except ValueError:
             pass
     return "empty", {}
 
 
 _pieces = st.sampled_from(['{', '}', '[', ']', '"a"', ':', ',', '1', '2.5', 'true', 'null',
-                           ' ', '\n', FENCE, 'json', 'x', '"s t"', '-', 'e3'])
+                           ' ', '\n', FENCE, 'json', 'x', '"s t"', '-', 'e3', 'NaN', 'Infinity', '-Infinity', '"NaN"'])
 _texts = st.one_of(
     st.lists(_pieces, max_size=14).map("".join),
     st.recursive(st.none() | st.booleans() | st.integers(-10**6, 10**6) | st.text(
@@ -94,3 +114,10 @@ def test_repair_matches_python(spark, texts):
     got = raw_json(repair_responses(responses(spark, texts)))
     for i, t in enumerate(texts):
         assert got[f"f{i}"] == _python_repair(t), repr(t)
+
+
+def test_constants_in_long_texts(spark):
+    """A quarter of a million strings before the constant: no stack, no second look."""
+    text = "[" + ",".join(f'"text NaN {i} \\\\ Infinity"' for i in range(100_000)) + ",NaN]"
+    got = responses(spark, [text]).select(R.bare_constants(F.col("response")).alias("t")).collect()[0].t
+    assert got == text[:-4] + "1e999]"

@@ -5,6 +5,7 @@ import io
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import responses
@@ -42,6 +43,26 @@ def test_flat_shapes(spark):
     assert len(f4) == 2 and f4[0].description is None and f4[1].description == "x"
 
 
+def test_unknown_columns(spark):
+    recs = records(spark, [
+        {"invoice_number": 7, "po": "P1", "a b'c": {"x": [1]}, "line_items": [{"description": "x", "sku": 5}, {"po": None, "zip": "z"}, "loose"]},
+        {"invoice_number": 8, "po": 3, "Notes": True},
+        {"vendor_name": "valid", "po": "dropped", "line_items": [{"description": "x", "other": 1}]},
+        [1, 2], "text", None,
+    ])
+    names = reshape.unknown_columns(recs)
+    assert names == ["Notes", "a b'c", "po", "sku", "zip"]
+    flat = reshape.flat_table(recs, with_line_no=True, unknown=names)
+    assert flat.columns == ["path", *FLAT_COLUMNS[:15], "Notes_", *names[1:], *FLAT_COLUMNS[-4:], "line_no"]
+    got = {(r.path, r.line_no or 0): (r["a b'c"], r.po, r.sku, r.zip, r.Notes_) for r in flat.collect()}
+    assert got[("f0", 1)] == ('{"x":[1]}', "P1", "5", None, None)
+    assert got[("f0", 2)] == ('{"x":[1]}', None, None, "z", None)  # the item's null wins
+    assert got[("f0", 3)] == ('{"x":[1]}', "P1", None, None, None)
+    assert got[("f1", 0)] == (None, "3", None, None, "true") and got[("f2", 1)] == (None,) * 5
+    with pytest.raises(ValueError):
+        reshape.unknown_columns(recs, most=4)
+
+
 def test_items_header_kpis(spark):
     recs = records(spark, [{"subtotal": 300, "tax_percent": 18, "total": 354,
                             "line_items": [{"description": "Hammer", "quantity": 2}]},
