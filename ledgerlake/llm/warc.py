@@ -47,9 +47,10 @@ def with_revisits(pages: DataFrame, store: Store, *, id_col: str = "page_id", ur
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"),
                         F.octet_length(payload).cast("bigint").alias("payload_bytes"),
                         F.sha1(payload.cast("binary")).alias("payload_digest"))
-    groups = store.write(rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
-                         .agg(F.max("page_id").alias("original"), F.count("page_id").alias("c")), "originals")
-    groups = groups.filter("c > 1").select("payload_digest", "original")
+    sizes = store.write(rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
+                        .agg(F.max("page_id").alias("original"), F.count("page_id").alias("c")), "sizes")
+    # Written by itself: the join then knows how few these are.
+    groups = store.write(sizes.filter("c > 1").select("payload_digest", "original"), "originals")
     return (rows.join(groups, "payload_digest", "left")
             .withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")) & (F.col("payload_bytes") >= least_bytes),
                                             F.col("original"))).drop("original"))
@@ -88,7 +89,7 @@ def write_archives(pages: DataFrame, path: str, store: Store, *, file_records: i
     revisit it, and rows with equal ids and payloads are all responses; a null id is written as `none`.  An empty table gives no
     record.  Very long payloads are one record each.  Other columns are ignored, whatever their names."""
     rows = with_revisits(pages, store, **columns)
-    longest = 4096 + (store.spark.read.parquet(store.path("originals")).agg(F.max("payload_bytes")).first()[0] or 0)
+    longest = 4096 + (store.spark.read.parquet(store.path("sizes")).agg(F.max("payload_bytes")).first()[0] or 0)
     (records(rows).write.option("lineSep", _CRLF2)
      .option("maxRecordsPerFile", max(1, min(file_records, file_bytes // longest))).text(path))
 
