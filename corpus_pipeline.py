@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontam, neardup, packing, pii, quality
-from ledgerlake.llm.common import Store, read
+from ledgerlake.llm.common import Store, read, task_count
 
 
 # Every stage: null, empty and very long texts, ties, repeated rows, empty tables and further columns are allowed; columns other
@@ -40,12 +40,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     different documents, and rows without an id take part and come last.  Texts without words stay."""
     store = Store(spark, "near-dedup")
     inner, back = shielded(docs)
-    rows = store.write(inner.withColumn("row", F.monotonically_increasing_id()), "rows")
+    # Numbers in the order of the ids: the smallest of a group is then the one that stays.
+    by_id = [F.col("doc_id").asc_nulls_last(), F.col("at")]
+    rows = (inner.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(task_count(spark), *by_id)
+            .sortWithinPartitions(*by_id).drop("at").withColumn("row", F.monotonically_increasing_id()))
+    rows = store.write(rows, "rows")
     found = neardup.near_duplicates(rows.select("row", "text"), id_col="row", words=5, num=80, den=100)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    members = found.select("row", "component_id").join(rows.select("row", "doc_id"), "row")
-    groups = members.groupBy("component_id").agg(F.min(order).alias("one"), F.count("*").alias("n")).filter("n > 1")
-    gone = members.join(groups, "component_id").filter(F.col("row") != F.col("one.row")).select("row")
+    gone = found.filter("not kept").select("row")
     return back(rows.join(gone, "row", "left_anti"))
 
 
