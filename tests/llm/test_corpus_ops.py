@@ -122,10 +122,40 @@ def test_near_duplicates_recall_below_hot_nodes(spark, num, own):
     assert got == want
 
 
-def test_deep_trees_reach_the_recall():
-    for s, levels in ((0.85, 8), (0.8, 8), (0.5, 3)):
-        missed = (1 - s ** 2) ** neardup.trees_for(s, 0.9999) + (1 - s ** levels) ** neardup.deep_trees(s, 0.9999, levels)
-        assert missed <= 1.0001e-4
+def template_texts(n: int, own: int, pairs: int, common: int, core: int = 0, core_own: int = 3):
+    """(texts, links): `n` texts of one template and `own` words each, alone; `pairs` of them twice over, linked;
+    `core` near copies of the template itself, linked with one another."""
+    template = [f"t{i}" for i in range(common)]
+    texts = [" ".join(template + [f"o{i}x{j}" for j in range(own)]) for i in range(n)]
+    twins = [" ".join(template + [f"o{i}x{j}" for j in range(own - 2)] + ["a", "b"]) for i in range(pairs)]
+    return texts + twins + [" ".join(template + [f"c{i}x{j}" for j in range(core_own)]) for i in range(core)]
+
+
+def test_large_template_group(spark, monkeypatch):
+    """More distinct texts of one template than a default leaf holds: all links are found, and four times the
+    texts take at most five times the comparisons below the trees."""
+    sizes, seen = neardup._node_sizes, []
+    monkeypatch.setattr(neardup, "_node_sizes", lambda *args: seen.append(sizes(*args)) or seen[-1])
+    compared = []
+    for n, pairs in ((1500, 200), (6000, 800)):
+        rows = list(enumerate(template_texts(n, 14, pairs, 78)))
+        random.Random(n).shuffle(rows)
+        seen.clear()
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, rows), words=1, num=85, den=100).collect()}
+        assert got == {i: i if i < n else i - n for i in range(n + pairs)}
+        assert seen, "the template's nodes are large at the last level of the trees"
+        compared.append(sum(r.c for f in seen for r in f.selectExpr("sum(least(minor, bounds) * size) AS c").collect()))
+    assert compared[1] <= 5 * compared[0], compared
+
+
+def test_deep_levels_equal_brute_force(spark):
+    """Near copies of a template beside texts that miss the threshold with it, at a leaf that makes every level large."""
+    rows = list(enumerate(template_texts(60, 12, 30, 60, core=60) + template_texts(20, 4, 0, 60, core=20, core_own=9)))
+    random.Random(1).shuffle(rows)
+    for num in (80, 85):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+               neardup.near_duplicates(docs_of(spark, rows), words=1, num=num, den=100, leaf=3, levels=4).collect()}
+        assert got == brute_components(rows, 1, num, 100)
 
 
 def test_components(spark):
