@@ -75,7 +75,7 @@ _FEATURES = {
     "n_lines": lambda f: sum(1 for x in f.raw.split(b"\n") if x.strip()),
     "n_dup_lines": _dup_lines,
     "n_repeat_words": _repeat_words,
-    "n_long_words": lambda f: sum(1 for w in f.words if len(w) > 100),
+    "n_long_words": lambda f: sum(1 for w in f.words if len(w) > 100 and len(w.decode()) > 100),  # code points
 }
 
 #: name -> rejects(features).  The first two are the base rules.

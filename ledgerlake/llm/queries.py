@@ -127,7 +127,7 @@ twice AS (SELECT doc_id, g FROM win GROUP BY 1, 2 HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS p FROM win SEMI JOIN twice USING (doc_id, g)) GROUP BY 1),
 f AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
              n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
-             len(list_filter(w, lambda x: strlen(x) > 100)) AS n_long
+             len(list_filter(w, lambda x: length(x) > 100)) AS n_long
       FROM d LEFT JOIN rep USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
