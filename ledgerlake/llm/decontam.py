@@ -33,6 +33,7 @@ from .common import Store, lists_of, once, split, values
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
+_CACHE_WORDS = 200_000
 GAP = 4096  # words between two documents of a search block, beyond any window and slack
 
 # Words are runs of ASCII letters and digits and of everything beyond ASCII.
@@ -51,20 +52,21 @@ def word_id(word: bytes) -> int:
 
 
 class _WordIds(dict):
-    """Hashes of the words that occur in the benchmark block, -1 for others."""
-
-    def __init__(self, ids: np.ndarray, limit: int = 200_000):
-        super().__init__()
-        self.wanted, self.limit = set(ids.tolist()), limit
+    """Hashes of words; the commonest of a worker's texts are remembered."""
 
     def __missing__(self, word: bytes) -> int:
         i = word_id(word)
-        i = i if i in self.wanted else -1
-        if len(self) < self.limit:
+        if len(self) < _CACHE_WORDS:
             self[word] = i
         return i
 
 
+def _places(wanted: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted value in a sorted table, and whether it is there."""
+    k = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
+    return k, table[k] == wanted if len(table) else np.zeros(len(wanted), bool)
+
+
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, words): hashed words of every item in full, items without words left out."""
 
@@ -90,7 +92,7 @@ def _blocks(items: DataFrame, block_words: int):
         if block and n + len(r.words) > block_words:
             yield block
             block, n = [], 0
-        block.append((r.item, r.words))
+        block.append((r.item, np.array(r.words, np.int64)))
         n += len(r.words)
     if block:
         yield block
@@ -103,12 +105,12 @@ def build_index(docs: DataFrame, text_col: str, wanted: np.ndarray) -> DataFrame
 
     @F.arrow_udf("n_words bigint, terms array<bigint>, ends array<int>, positions array<int>")
     def index(texts: pa.Array) -> pa.Array:
-        known = once("decontam.words", shared.value, _WordIds)
+        hashes, known = once("decontam.words", "words", lambda _: _WordIds()), shared.value
         n, terms, ends, positions = [], [], [], []
         for t in values(texts):
             words = words_of(t)
-            ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            at = np.flatnonzero(ids >= 0)
+            ids = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+            at = np.flatnonzero(_places(ids, known)[1])
             ids = ids[at]
             order = np.argsort(ids, kind="stable")
             ids, at = ids[order], at[order].astype(np.int32)
@@ -140,21 +142,57 @@ def term_counts(index: DataFrame) -> DataFrame:
 
 
 class Windows:
-    """Windows of a benchmark block: word hashes, rarest first, with offsets, grouped by the rarest word."""
+    """Windows of a benchmark block as arrays: `flat` holds the block's words, `counts` each one's number in the
+    corpus, and a window is its `start` in flat, its `length`, and a range of `owners` (items that hold it).  Windows
+    are grouped by their rarest word; those with a word that the corpus lacks are left out."""
 
-    def __init__(self, items: list, counts: dict, window: int):
+    def __init__(self, items: list, terms: np.ndarray, n: np.ndarray, window: int):
+        """`terms` (sorted) and `n`: the words that the corpus has, and how often."""
         self.items = [i for i, _ in items]
-        seen: dict = {}
-        for k, (_, words) in enumerate(items):
-            w = min(window, len(words))
-            for s in range(len(words) - w + 1):
-                seen.setdefault(tuple(words[s:s + w]), set()).add(k)
-        self.by_anchor: dict = {}
-        for words, owners in seen.items():
-            if all(t in counts for t in words):  # a word that the corpus lacks rules the window out
-                ranked = sorted(range(len(words)), key=lambda j: (counts[words[j]], j))
-                self.by_anchor.setdefault(words[ranked[0]], []).append(
-                    (len(words), [(words[j], j) for j in ranked], sorted(owners)))
+        sizes = np.array([len(w) for _, w in items], np.int64)
+        self.flat = np.concatenate([w for _, w in items]) if items else np.zeros(0, np.int64)
+        k, there = _places(self.flat, terms)
+        self.counts = np.where(there, n[k] if len(n) else 0, 0)
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), sizes)
+        first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = first + np.repeat(sizes, sizes) - np.arange(len(self.flat))  # words from here to the item's end
+        start = np.flatnonzero((left >= window) | ((left == np.repeat(sizes, sizes)) & (left < window)))
+        length, owner = np.minimum(left[start], window), owner[start]
+        # The rarest word of each window, the first one of several, and a hash of all.
+        least, offset, mixed = np.full(len(start), np.iinfo(np.int64).max), np.zeros(len(start), np.int64), length.astype(np.uint64)
+        for j in range(window):
+            inside = length > j
+            at = np.minimum(start + j, len(self.flat) - 1)
+            rarer = inside & (self.counts[at] < least)
+            least[rarer], offset[rarer] = self.counts[at][rarer], j
+            mixed[inside] = (mixed[inside] ^ (mixed[inside] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + self.flat[at][inside].view(np.uint64)
+        live = least > 0
+        start, length, owner, offset, mixed = (x[live] for x in (start, length, owner, offset, mixed))
+        anchor = self.flat[start + offset]
+        order = np.lexsort((owner, mixed, anchor))
+        start, length, owner, offset, mixed, anchor = (x[order] for x in (start, length, owner, offset, mixed, anchor))
+        new = np.ones(len(start), bool)  # else the window repeats the one before it
+        if len(start):
+            new[1:] = (mixed[1:] != mixed[:-1]) | (length[1:] != length[:-1])
+            for j in range(window):
+                at = np.minimum(start + j, len(self.flat) - 1)
+                new[1:] |= (length[1:] > j) & (self.flat[at[1:]] != self.flat[at[:-1]])
+        head = np.flatnonzero(new)
+        self.owners, self.owner_ends = owner, np.append(head[1:], len(owner))
+        self.start, self.length, self.offset = start[head].astype(np.int32), length[head].astype(np.int32), offset[head].astype(np.int32)
+        self.anchors, self.anchor_starts = np.unique(anchor[head], return_index=True)
+        self.anchor_ends = np.append(self.anchor_starts[1:], len(head))
+
+    def of_anchors(self, words: np.ndarray):
+        """Yields (words with their offsets, rarest first; index) of the windows whose rarest word is in the sorted `words`."""
+        for a in np.flatnonzero(_places(self.anchors, words)[1]):
+            for w in range(self.anchor_starts[a], self.anchor_ends[a]):
+                s = slice(int(self.start[w]), int(self.start[w]) + int(self.length[w]))
+                ranks = np.argsort(self.counts[s], kind="stable")
+                yield list(zip(self.flat[s][ranks].tolist(), ranks.tolist())), w
+
+    def owners_of(self, w: int) -> np.ndarray:
+        return self.owners[self.owner_ends[w - 1] if w else 0:self.owner_ends[w]]
 
 
 def search(block: list, windows: Windows, slack: int = 0):
@@ -168,18 +206,18 @@ def search(block: list, windows: Windows, slack: int = 0):
     order = np.argsort(terms, kind="stable")  # documents are in order, so lists stay ascending
     terms, at = terms[order], at[order]
     first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
-    lists = {int(terms[a]): at[a:b] for a, b in zip(first, np.append(first[1:], len(terms)))}
-    for anchor in windows.by_anchor.keys() & lists.keys():
-        for length, ranked, owners in windows.by_anchor[anchor]:
-            if not all(t in lists for t, _ in ranked[1:]):
-                continue
-            starts = lists[anchor] - ranked[0][1]
-            for term, offset in ranked[1:]:
-                if not len(starts):
-                    break
-                starts = starts[_near(lists[term], starts + offset, slack)]
-            if len(starts):
-                yield length, owners, starts, starts + ranked[0][1]
+    ends = np.append(first[1:], len(terms))
+    lists = {t: at[a:b] for t, a, b in zip(terms[first].tolist(), first.tolist(), ends.tolist())}
+    for ranked, w in windows.of_anchors(terms[first]):
+        if not all(t in lists for t, _ in ranked):
+            continue
+        starts = lists[ranked[0][0]] - ranked[0][1]
+        for term, offset in ranked[1:]:
+            if not len(starts):
+                break
+            starts = starts[_near(lists[term], starts + offset, slack)]
+        if len(starts):
+            yield len(ranked), windows.owners_of(w), starts, starts + ranked[0][1]
 
 
 def _near(sorted_list: np.ndarray, wanted: np.ndarray, slack: int) -> np.ndarray:
@@ -192,14 +230,14 @@ def _near(sorted_list: np.ndarray, wanted: np.ndarray, slack: int) -> np.ndarray
 _RESULT = "n_words bigint, n_hit bigint, items array<string>, hit_starts array<int>, hit_ends array<int>"
 
 
-def _match(index: DataFrame, items: list, counts: dict, window: int, slack: int) -> DataFrame:
+def _match(index: DataFrame, items: list, counts: tuple[np.ndarray, np.ndarray], window: int, slack: int) -> DataFrame:
     """Replaces the column `contamination` (earlier benchmark blocks' result or null) by its union
     with this block's matches, and drops the index."""
     shared = index.sparkSession.sparkContext.broadcast((items, counts))  # at most block_words words
 
     @F.arrow_udf(_RESULT)
     def match(ix: pa.Array, before: pa.Array) -> pa.Array:
-        windows = once("decontam.windows", shared.value, lambda v: Windows(*v, window))
+        windows = once("decontam.windows", shared.value, lambda v: Windows(v[0], *v[1], window))
         n_words = ix.field("n_words").to_pylist()
         lists = [split(ix.field(f)) for f in ("terms", "ends", "positions")]
         n_hit, owners, starts, ends = [], [], [], []
@@ -279,7 +317,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         wanted = np.unique(np.array([w for _, words in block for w in words], np.int64))
         frame = build_index(frame, text_col, wanted)
         index = store.write(frame if keep_text or after is not None else frame.drop(text_col), f"index{k}")
-        counts = {r.term: r.n for r in term_counts(index).collect()}  # at most block_words rows
+        found = term_counts(index).toArrow().sort_by("term")  # at most block_words rows
+        counts = found["term"].to_numpy(), found["n"].to_numpy()
         frame = _match(index, block, counts, window, slack)
         block, k = after, k + 1
     return frame

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -152,10 +153,9 @@ def test_deep_levels_equal_brute_force(spark):
     """Near copies of a template beside texts that miss the threshold with it, at a leaf that makes every level large."""
     rows = list(enumerate(template_texts(60, 12, 30, 60, core=60) + template_texts(20, 4, 0, 60, core=20, core_own=9)))
     random.Random(1).shuffle(rows)
-    for num in (80, 85):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in
-               neardup.near_duplicates(docs_of(spark, rows), words=1, num=num, den=100, leaf=3, levels=4).collect()}
-        assert got == brute_components(rows, 1, num, 100)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+           neardup.near_duplicates(docs_of(spark, rows), words=1, num=85, den=100, leaf=3, levels=4).collect()}
+    assert got == brute_components(rows, 1, 85, 100)
 
 
 def test_components(spark):
@@ -216,6 +216,40 @@ def test_decontamination_equals_brute_force(spark, block_words):
     assert dig[100].items_sha256 == hashlib.sha256(own.encode()).hexdigest() and dig[100].contaminated
 
 
+def test_windows_equal_plain_sets():
+    """Every window whose words the corpus has, once, with all its items, rarest word first."""
+    rng = np.random.default_rng(4)
+    items = [(str(i), rng.integers(0, 6, n)) for i, n in enumerate((40, 3, 0, 10, 11, 3, 40, 1))]
+    terms, n = np.array([0, 1, 2, 3, 5]), np.array([9, 2, 2, 7, 4])
+    count, plain = dict(zip(terms.tolist(), n.tolist())), {}
+    for i, (_, words) in enumerate(items):
+        k = min(4, len(words))
+        for s in range(len(words) - k + 1 if k else 0):
+            plain.setdefault(tuple(words[s:s + k].tolist()), set()).add(i)
+    plain = {w: own for w, own in plain.items() if all(t in count for t in w)}
+    windows = decontam.Windows(items, terms, n, 4)
+    got = {}
+    for ranked, w in windows.of_anchors(terms):
+        assert [count[t] for t, _ in ranked] == sorted(count[t] for t, _ in ranked)
+        words = tuple(t for t, _ in sorted(ranked, key=lambda x: x[1]))
+        assert words not in got
+        got[words] = set(windows.owners_of(w).tolist())
+    assert got == plain
+
+
+def test_windows_of_a_full_block_stay_small():
+    """A block of the highest number of words takes less than 150 MB in a worker."""
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 62, 60_000)[rng.zipf(1.3, decontam.BLOCK_WORDS) % 60_000]
+    terms, n = np.unique(words, return_counts=True)
+    tracemalloc.start()
+    windows = decontam.Windows([(str(i), words[i:i + 100]) for i in range(0, len(words), 100)], terms, n, decontam.WINDOW)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    print(f"kept {kept / 1e6:.0f} MB, peak {peak / 1e6:.0f} MB, {len(windows.start)} windows")
+    assert len(windows.start) > 500_000 and kept < 150e6 and peak < 400e6
+
+
 def test_decontamination_empty_tables(spark):
     bench = spark.createDataFrame([(1, "one two"), (None, "x y z")], "item_id bigint, text string")
     got = decontam.decontaminate(odd(spark), bench).collect()
