@@ -119,7 +119,7 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES, misblock
     form = F.regexp_replace(F.concat("host", "path"), "[0-9]", "0")
     forms = store.write(rows.select(form.alias("form"), "verdict").groupBy("form").agg(
         F.count_if(F.col("verdict") == "allow").alias("n_allow"), F.count_if(F.col("verdict") == "block").alias("n_block"),
-        F.count_if(F.col("verdict").isNull()).alias("n_open")), "forms")
+        F.count_if(F.col("verdict").isNull()).alias("n_open")).withColumn("form_id", F.monotonically_increasing_id()), "forms")
     calibrates = F.substring(F.md5(F.col("form").cast("binary")), 1, 1).isin("0", "1", "2")  # 3 of 16 forms
     counted = store.write(_grams(forms.filter((F.col("n_allow") + F.col("n_block") > 0) & ~calibrates)).groupBy("gram")
                           .agg(F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block")), "counted")
@@ -127,10 +127,10 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules=RULES, misblock
     if not (learned.a and learned.b):
         return rows.withColumns({"verdict": F.coalesce("verdict", F.lit("allow")), "score": F.lit(None).cast("double")})
     grams, contexts = _model(counted, store)
-    judged = _grams(forms.filter((F.col("n_open") > 0) | calibrates)).select("form", "gram")
+    judged = _grams(forms.filter((F.col("n_open") > 0) | calibrates)).select("form_id", "gram")  # no text on a gram's row
     scores = store.write(_gram_scores(judged.select("gram").distinct(), grams, contexts), "gram-scores")
-    by_form = judged.join(scores, "gram").groupBy("form").agg(F.round(F.avg("delta"), 9).alias("score"))
-    by_form = store.write(by_form.join(forms, "form").withColumn("calibrates", calibrates), "scores")
+    by_form = judged.join(scores, "gram").groupBy("form_id").agg(F.round(F.avg("delta"), 9).alias("score"))
+    by_form = store.write(by_form.join(forms, "form_id").withColumn("calibrates", calibrates), "scores")
     threshold = _threshold(by_form.filter("calibrates"), misblocked)
     scored = by_form.filter("n_open > 0").select(F.col("form").alias("__form"), F.col("score").alias("__score"))
     open_form = F.when(F.col("verdict").isNull(), form)
