@@ -1,18 +1,22 @@
 """Language identification with bit-sliced Bloom filters of character trigrams.
 
-One table of `1 << SLOT_BITS` slots holds the Bloom filters of all languages
-at once: bit l of a slot belongs to language l.  A trigram has three slots; the AND of
+One table holds the Bloom filters of all languages
+at once: bit l of a slot belongs to language l.  Its slots are a power of two, `MIN_SLOT_BITS` or as many more as keep
+the fullest filter's false-positive rate at `FALSE_POSITIVES` or less.  A trigram has three slots; the AND of
 their masks names every language whose filter contains it.  Per text and
 language the trigrams it contains are counted over all positions, corrected for the
 filter's false-positive rate, and the highest share decides.
 
 Trigrams of lower-cased letters, other characters being one blank, are
 counted a language over all training texts.  A language's filter gets those whose
-frequency there is at least `share` of their highest frequency in any language.
+frequency there is at least `share` of their highest frequency in any language, and at least `FLOOR` of all its
+trigrams, so a filter holds 1 / FLOOR trigrams at most and the table 2^24 slots, however much is learned from.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import Store, once
 
-SLOT_BITS = 20
+MIN_SLOT_BITS = 20
 SHARE = 0.3
+FLOOR = 1e-6
+FALSE_POSITIVES = 0.01
 WORD_LANGUAGES = 62  # languages in one 64-bit word of a slot
 UNDETERMINED = "und"
 
@@ -55,9 +61,15 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return g ^ (g >> np.uint64(32)), doc
 
 
-def slots(grams: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << SLOT_BITS) - 1)
-    return [((grams >> np.uint64(SLOT_BITS * j)) & mask).astype(np.int64) for j in range(3)]
+def slots(grams: np.ndarray, bits: int) -> list[np.ndarray]:
+    low, step, mask = grams & np.uint64(0xFFFFFFFF), (grams >> np.uint64(32)) | np.uint64(1), np.uint64((1 << bits) - 1)
+    return [((low + np.uint64(j) * step) & mask).astype(np.int64) for j in range(3)]
+
+
+def slot_bits(fullest: int) -> int:
+    """Bits of a slot number, for a filter of so many trigrams."""
+    fill = FALSE_POSITIVES ** (1 / 3)
+    return max(MIN_SLOT_BITS, math.ceil(math.log2(max(1, fullest) * -3 / math.log(1 - fill))))
 
 
 class Model:
@@ -73,7 +85,7 @@ class Model:
         grams, doc = trigrams(texts)
         n = np.bincount(doc, minlength=len(texts)).astype(np.float64)
         found = np.zeros((len(texts), len(self.languages)))
-        a, b, c = slots(grams)
+        a, b, c = slots(grams, len(self.table).bit_length() - 1)
         for w in range(self.table.shape[1]):
             column = self.table[:, w]
             mask = column[a] & column[b] & column[c]
@@ -90,8 +102,8 @@ class Model:
 def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", share: float = SHARE) -> Model:
     """Learns from all rows with a language; texts that are null or without letters add nothing.
 
-    The driver receives the number of trigrams of each language and the finished table, whose size is fixed
-    (1 << SLOT_BITS slots, one word for each 62 languages)."""
+    The driver receives the number of trigrams of each language and the finished table (2^20 slots while no
+    language has more than about 84,000 trigrams, 2^24 at most; one word for each 62 languages)."""
     store = Store(labelled.sparkSession, "langid")
 
     def count(batches):
@@ -110,18 +122,24 @@ def train(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
                          .agg(F.sum("n").alias("n")), "counts")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
     languages = sorted(totals)
-    table = np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // WORD_LANGUAGES))), np.int64)
-    if languages:
-        index = labelled.sparkSession.createDataFrame([(x, i, totals[x]) for i, x in enumerate(languages)], "lang string, i int, total bigint")
-        rated = counts.join(index, "lang").select("gram", "i", (F.col("n") / F.col("total")).alias("rate"))
-        kept = (rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("own"))
-                .select("gram", F.explode(F.filter("own", lambda x: x["rate"] >= share * F.col("top"))).alias("x")))
-        places = F.array(*[F.shiftrightunsigned("gram", SLOT_BITS * j).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)) for j in range(3)])
-        bits = (kept.select(F.explode(places).alias("slot"), F.expr(f"x.i div {WORD_LANGUAGES}").alias("word"),
-                            F.expr(f"shiftleft(1L, x.i % {WORD_LANGUAGES})").alias("bit"))
-                .groupBy("slot", "word").agg(F.bit_or("bit").alias("mask")).toArrow())
-        table[bits["slot"].to_numpy(), bits["word"].to_numpy()] = bits["mask"].to_numpy()
-    store.drop("counts")
+    words = max(1, -(-len(languages) // WORD_LANGUAGES))
+    if not languages:
+        return Model(languages, np.zeros((1 << MIN_SLOT_BITS, words), np.int64))
+    # A row a language: no trigram moves to learn its language's total.
+    index = labelled.sparkSession.createDataFrame([(x, i, totals[x]) for i, x in enumerate(languages)], "lang string, i int, total bigint")
+    rated = counts.join(F.broadcast(index), "lang").select("gram", "i", (F.col("n") / F.col("total")).alias("rate")).filter(F.col("rate") >= FLOOR)
+    kept = (rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("i", "rate")).alias("own"))
+            .select("gram", F.explode(F.filter("own", lambda x: x["rate"] >= share * F.col("top"))).alias("x")))
+    kept = store.write(kept, "kept")
+    size = slot_bits(kept.groupBy("x.i").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0)
+    low, step = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1).cast("bigint"))
+    places = F.array(*[(low + j * step).bitwiseAND(F.lit((1 << size) - 1).cast("bigint")) for j in range(3)])
+    table = np.zeros((1 << size, words), np.int64)
+    bits = (kept.select(F.explode(places).alias("slot"), F.expr(f"x.i div {WORD_LANGUAGES}").alias("word"),
+                        F.expr(f"shiftleft(1L, x.i % {WORD_LANGUAGES})").alias("bit"))
+            .groupBy("slot", "word").agg(F.bit_or("bit").alias("mask")).toArrow())
+    table[bits["slot"].to_numpy(), bits["word"].to_numpy()] = bits["mask"].to_numpy()
+    store.drop("counts", "kept")
     return Model(languages, table)
 
 
@@ -131,7 +149,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", out: str
     Null texts and texts without letters are `und` with score 0, as is everything if no
     language was learned; equal scores go to the first language in alphabetical order; texts are read whole; a
     column already named `out` is replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))  # of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))  # of a bounded size
 
     @F.arrow_udf("lang string, score double")
     def judge(texts: pa.Array) -> pa.Array:

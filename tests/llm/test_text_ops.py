@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -98,6 +99,14 @@ def test_repeat_words_random():
         assert quality.Features(text).n_repeat_words == plain_repeat_words(text)
 
 
+def test_endless_words_are_measured_in_code_points(spark):
+    """Forty Thai letters are 120 bytes and no endless word; 101 letters are one in any script."""
+    texts = [" ".join(letter * n + str(i) for i in range(25)) for letter in ("ก", "a", "𝒳") for n in (40, 98, 101)]
+    got = quality.quality_cascade(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.quality.kept for r in got] == [True, True, False] * 3
+    assert all(quality.Features(t).n_long_words == sum(len(w) > 100 for w in t.split()) for t in texts)
+
+
 def test_quality_order_changes_no_verdict(spark):
     df = odd_docs(spark)
     a = quality.quality_cascade(df, report=quality.REPORT).select("doc_id", "quality.kept").collect()
@@ -166,13 +175,52 @@ def test_filters_name_every_language_of_a_trigram(spark):
     model = langid.train(many, share=0.0)
     assert len(model.languages) == 130 and model.table.shape[1] == 3
     g, _ = langid.trigrams(["shared"])
-    a, b, c = langid.slots(g)
+    a, b, c = langid.slots(g, 20)
     for w in range(3):
         column = model.table[:, w]
         own = sum(1 << i for i in range(min(62, 130 - 62 * w)))
         assert all(int(m) & own == own for m in column[a] & column[b] & column[c])
 
 
+def plain_trigrams(text):
+    letters = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+    return [letters[i:i + 3] for i in range(len(letters) - 2)]
+
+
+def test_language_equals_exact_sets(spark):
+    """The filters' decisions and scores are those of exact trigram sets, up to their false positives."""
+    rng = random.Random(9)
+    words = {x: ["".join(rng.choice(abc) for _ in range(rng.randint(2, 7))) for _ in range(150)]
+             for x, abc in (("aa", "abcdefgh"), ("bb", "efghijklé"), ("cc", "klmnopßq"), ("dd", "日本語中文字漢"))}
+    text = lambda *of: " ".join(rng.choice(words[rng.choice(of)]) + rng.choice(["", ",", " 12"]) for _ in range(40))
+    train = [(x, text(x)) for x in words for _ in range(30)]
+    model = langid.train(spark.createDataFrame(train, "lang string, text string"))
+    counts = {x: Counter(g for lang, t in train if lang == x for g in plain_trigrams(t)) for x in words}
+    rate = {x: {g: n / c.total() for g, n in c.items()} for x, c in counts.items()}
+    own = {x: {g for g, r in rate[x].items() if r >= langid.SHARE * max(rate[y].get(g, 0) for y in words)} for x in words}
+    texts = [text(*of) for of in (["aa"], ["bb"], ["cc"], ["dd"], ["aa", "bb"], ["bb", "cc"], ["aa", "dd"], list(words)) for _ in range(25)]
+    sure = 0
+    names, scores = model.predict(texts)
+    for t, name, score in zip(texts, names, scores):
+        grams = plain_trigrams(t)
+        share = {x: sum(g in own[x] for g in grams) / len(grams) for x in words}
+        first, second = sorted(share.values(), reverse=True)[:2]
+        assert abs(score - first) < 0.01
+        if first - second > 0.01:
+            sure += 1
+            assert name == max(share, key=share.get)
+    assert sure > 150
+
+
+def test_filters_grow_with_what_they_hold():
+    assert langid.slot_bits(0) == langid.slot_bits(80_000) == 20 and langid.slot_bits(round(1 / langid.FLOOR)) == 24
+    for n in (1000, 84_000, 300_000, 1_000_000):
+        bits = langid.slot_bits(n)
+        grams = np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64)
+        filled = len(np.unique(np.concatenate(langid.slots(grams, bits)))) / (1 << bits)
+        assert filled ** 3 <= 1.02 * langid.FALSE_POSITIVES
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="abé \0.1", max_size=20)), max_size=6))
 def test_trigrams_stay_in_their_text(texts):
