@@ -116,3 +116,13 @@ def test_other_language_is_read_again(spark, tmp_path):
 def test_storage_errors_are_raised(spark, tmp_path):
     with pytest.raises(Exception):
         J.published_runs(spark, "nosuchfs://there/out")
+
+
+def test_incremental_job_reads_the_whole_text_of_images(spark, tmp_path):
+    import hashlib
+    from ledgerlake.plans.document_queries import incremental_job
+    texts = {0: "a pdf\nof two pages", 1: "an image\nwith a second line", 2: "one line"}
+    spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = incremental_job(spark, str(tmp_path)).collect()
+    assert {r.path: r.notes for r in rows} == {f"docs/{k}.{e}": f"{hashlib.sha256(t.encode()).hexdigest()}:{len(t)}"
+                                               for (k, t), e in zip(texts.items(), ["pdf", "png", "jpg"])}
