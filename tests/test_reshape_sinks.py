@@ -134,3 +134,14 @@ def test_orders_meet_their_buyers_before_their_items(spark, tmp_path):
     indent = lambda x: len(x) - len(x.lstrip(" :+-"))
     below = list(takewhile(lambda x: indent(x) > indent(plan[at]), plan[at + 1:]))
     assert any("o_orderpriority" in x for x in below) and not any("collect_list" in x for x in below)
+
+
+def test_items_are_looked_into_before_the_explode(spark):
+    """Header keys held by items are read in the item array, for invalid
+    records only: what follows the explode reads no variant per row."""
+    df = spark.createDataFrame([("p", '{"invoice_number": 5, "currency": "EUR", "line_items": [{"currency": null}, {"currency": "USD"}, {}]}', None)],
+                               "path string, response string, error string")
+    flat = reshape.flat_table(extract_records(df), with_line_no=True)
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_variant_get" not in plan[:plan.index("Generate")]
+    assert [(r.line_no, r.currency) for r in flat.orderBy("line_no").collect()] == [(1, None), (2, "USD"), (3, "EUR")]
