@@ -2,6 +2,7 @@
 tables, CSV, JSON and per-file metrics.
 
     scan --(hash, no bytes moved)--> files not done yet, one per content
+      --(several pieces: file bytes and stored texts laid out by piece, once)-->
       for each piece of the contents without pages or responses:
          its files --(one shuffle of file bytes, which spreads them over tasks)
          --> page job (decode + recognise, Python workers) --> page text, published
@@ -115,6 +116,19 @@ class RunTables:
         df.write.parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
+    def dealt(self, df: DataFrame, name: str) -> DataFrame:
+        """A work table laid out by its column `piece`: who reads one piece reads nothing of the others."""
+        p = f"{self.out_dir}/_work/{self.run}/{name}"
+        df.hint("rebalance", F.col("piece")).write.partitionBy("piece").parquet(p)
+        return self.spark.read.schema(df.schema).parquet(p)
+
+    def pieces(self, name: str, schema: str) -> DataFrame:
+        """The rows of the work tables `name`/piece=0, 1, ..."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out_dir}/_work/{self.run}/{name}")
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(f"{schema}, piece bigint").parquet(p.toString()).drop("piece")
+
     def segment(self, name: str, df: DataFrame) -> dict[str, list[dict]]:
         """A written segment of a table, to be committed."""
         return {name: [self.history.write(name, df.withColumn("run", F.lit(self.run)))]}
@@ -154,7 +168,8 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_f
     """Process the files of `files` (binaryFile rows) that no earlier run has done.
 
     `reader` opens files by path (`sources.files.read_files`): each piece then
-    reads its own files only.  Without it a piece picks its rows out of `files`.
+    reads its own files only.  Without it `files` is read once for the pieces
+    and its rows are written piece by piece (a single piece picks its rows out of it).
 
     Returns the tables' folders by name, the run's id under `run`, and a
     `summary`: files, records per (json_status, valid), failures per stage,
@@ -190,36 +205,45 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_f
                       .join(have, "content_sha", "left").join(answered, "content_sha", "left"), "contents")
     open_ = contents.filter("paged is null or answered is null")
 
-    # 2. pages and responses, piece by piece
-    todo = open_.count()
+    # 2. pages and responses, piece by piece.  A piece reads its own bytes and texts: what it would have to look for
+    # in all files or in the history is laid out by piece before.
+    some = contents.agg(F.count_if(F.expr("paged is null or answered is null")).alias("todo"), F.count("paged").alias("paged")).first()
+    todo = some.todo
     pieces = -(-todo // o.piece_contents)
     piece = F.pmod(F.conv(F.substring("content_sha", 1, 8), 16, 10).cast("bigint"), F.lit(max(1, pieces)))
+    known = spark.createDataFrame([], f"{_TEXTS}, piece bigint")
+    if some.paged:
+        ready = stored("page_text").filter(F.col("page_key") == page_key).join(contents.filter("paged").select("content_sha"), "content_sha", "left_semi")
+        known = t.dealt(_texts(ready, o).withColumn("piece", piece), "known_texts")
+    sources = None
+    if pieces > 1 and not reader:
+        unread = open_.filter("paged is null").select("path", "content_sha", piece.alias("piece")).filter("piece is not null")
+        sources = t.dealt(files.select("path", "content").join(unread, "path"), "sources")
     seen = {"pages_done": 0, "page_errors": 0, "rows": 0}
     progress = {"pieces": [0, pieces], "contents": todo, "pages": 0, "page_errors": 0, "calls": 0, "call_errors": 0}
-    failed = []
     for k in range(pieces):
         ours = open_.filter(piece == k)
-        bad, counts = _pages_of_piece(t, k, files, ours.filter("paged is null").select("path", "content_sha"), decoder_factory, recogniser_factory, o, n, page_key, reader)
+        if sources is not None:
+            src = sources.filter(F.col("piece") == k).drop("piece")
+        else:
+            src = _sources_of(t, files, ours.filter("paged is null").select("path", "content_sha"), reader)
+        pages, segment, counts = _pages_of_piece(t, k, src, decoder_factory, recogniser_factory, o, n, page_key)
         seen = {c: seen[c] + counts[c] for c in seen}
         progress |= {"pages": seen["pages_done"], "page_errors": seen["page_errors"]}
-        t.history.commit(add=bad.pop("segment"), progress={t.run: progress})
-        ready = stored("page_text").filter(F.col("page_key") == page_key)
+        t.history.commit(add=segment, progress={t.run: progress})
+        text = t.work(_texts(pages, o), f"texts/piece={k}").unionByName(known.filter(F.col("piece") == k).drop("piece"))
         need = ours.filter("answered is null").select("content_sha")
-        text = P.join_pages(ready.join(F.broadcast(need), "content_sha", "left_semi"), key="content_sha", block_pages=o.block_pages)
-        calls = t.work(_answers(text, client_factory, o), f"calls{k}")
+        calls = t.work(_answers(text.join(F.broadcast(need), "content_sha", "left_semi"), client_factory, o), f"calls/piece={k}")
         segment = t.segment("responses", calls.filter("error is null").select("content_sha", F.lit(call_key).alias("call_key"), "response"))
         sums = calls.agg(F.count("response").alias("ok"), F.count("error").alias("bad")).first()
         progress |= {"pieces": [k + 1, pieces], "calls": progress["calls"] + sums.ok, "call_errors": progress["call_errors"] + sums.bad}
         t.history.commit(add=segment, progress={t.run: progress})
-        failed += [bad["rows"], calls.filter("error is not null").select("content_sha", "error", F.lit("call").alias("stage"))]
-    failures = spark.createDataFrame([], "content_sha string, error string, stage string")
-    for f in failed:
-        failures = failures.unionByName(f)
+    calls = t.pieces("calls", "content_sha string, response string, error string").filter("error is not null")
+    failures = t.pieces("bad_pages", "content_sha string, error string, stage string").unionByName(
+        calls.select("content_sha", "error", F.lit("call").alias("stage")))
 
-    # 3. the text of every content of this run, joined once
-    ready = stored("page_text").filter(F.col("page_key") == page_key).join(contents.select("content_sha"), "content_sha", "left_semi")
-    pages = P.page_counts(ready.withColumn("error", F.lit(None).cast("string")), "content_sha")
-    texts = t.work(P.join_pages(ready, key="content_sha", block_pages=o.block_pages).join(pages, "content_sha"), "texts")
+    # 3. the text of every content of this run
+    texts = t.pieces("texts", _TEXTS).unionByName(known.drop("piece"))
 
     # 4. repair + validate once per content, then every new file gets its
     # record.  Both sides of that join are written tables, so a content with
@@ -270,26 +294,39 @@ def process_files(spark: SparkSession, files: DataFrame, out_dir: str, decoder_f
     return paths | {"run": t.run, "summary": summary}
 
 
-def _pages_of_piece(t: RunTables, k: int, files: DataFrame, todo: DataFrame, decoder_factory: Callable, recogniser_factory: Callable,
-                    o: JobOptions, n: int, page_key: str, reader) -> tuple[dict, dict]:
-    """({segment of page text, rows of failures}, counts) of one piece.
+_TEXTS = "content_sha string, raw_text string, pages int, page_errors bigint"
+
+
+def _texts(pages: DataFrame, o: JobOptions) -> DataFrame:
+    """(content_sha, raw_text, pages, page_errors) of contents whose pages are all fine."""
+    counts = P.page_counts(pages.withColumn("error", F.lit(None).cast("string")), "content_sha")
+    return P.join_pages(pages, key="content_sha", block_pages=o.block_pages).join(counts, "content_sha")
+
+
+def _sources_of(t: RunTables, files: DataFrame, todo: DataFrame, reader) -> DataFrame:
+    """(path, content, content_sha) of the files in `todo`.
 
     `todo` has about `piece_contents` rows, which bounds the paths that go
     through the driver and the broadcast that picks the piece's files."""
     if reader:
         paths = [r.path for r in todo.select("path").collect()]
         files = reader(t.spark, paths) if paths else files.limit(0)
-    src = files.select("path", "content").join(F.broadcast(todo), "path")
+    return files.select("path", "content").join(F.broadcast(todo), "path")
+
+
+def _pages_of_piece(t: RunTables, k: int, src: DataFrame, decoder_factory: Callable, recogniser_factory: Callable,
+                    o: JobOptions, n: int, page_key: str) -> tuple[DataFrame, dict, dict]:
+    """(pages of the contents without errors, their segment, counts) of one piece."""
     pages, seen = P.with_progress(P.page_job(
         src, decoder_factory, recogniser_factory, lang=o.lang, dpi=o.dpi, key="content_sha",
         kind=S.file_kind(F.col("path")), pages_per_task=o.pages_per_task, partitions=n))
     with setting(t.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(o.file_batch_rows)):
         pages = t.work(pages, f"pages{k}")
     bad = t.work(pages.filter("error is not null").groupBy("content_sha").agg(F.min("error").alias("error"))
-                 .withColumn("stage", F.lit("pages")), f"bad_pages{k}")
-    segment = t.segment("page_text", pages.join(bad, "content_sha", "left_anti").select(
-        "content_sha", F.lit(page_key).alias("page_key"), "page_no", "page_text"))
-    return {"segment": segment, "rows": bad}, seen.get
+                 .withColumn("stage", F.lit("pages")), f"bad_pages/piece={k}")
+    fine = pages.join(bad, "content_sha", "left_anti").select("content_sha", "page_no", "page_text")
+    segment = t.segment("page_text", fine.select("content_sha", F.lit(page_key).alias("page_key"), "page_no", "page_text"))
+    return fine, segment, seen.get
 
 
 def _answers(text: DataFrame, client_factory: Callable | None, o: JobOptions) -> DataFrame:
