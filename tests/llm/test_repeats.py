@@ -107,3 +107,14 @@ def test_runs_cover_all_strings_once(data, length):
         assert loop or len(set(strings)) == n
         for x in strings:
             assert key_of.setdefault(x, k) == k
+
+
+def test_strings_counted_by_fingerprint_are_ranges(spark):
+    """A row for every string of a passage that large groups share made millions of rows."""
+    common = random.Random(1).randbytes(300).hex()[:300].encode()
+    rows = [(7, k, (k, f"s{k}", 0), b"%d-" % k + common + b"-%d" % k) for k in (1, 2, 3)]
+    classes = spark.createDataFrame(rows, "key bigint, digest bigint, first struct<first_id:bigint,sha:string,start:bigint>, data binary")
+    out = repeats._by_fingerprints(classes, 100, repeats.Store(spark, "repeats")).collect()
+    got = {r.digest: ([tuple(x) for x in r.earlier], [tuple(x) for x in r.later]) for r in out}
+    span = [(1, 204)]  # "-" + common + "-"
+    assert got == {1: ([], span), 2: (span, span), 3: (span, [])}
