@@ -560,3 +560,12 @@ def test_pipeline_columns_come_back_by_value(spark):
             assert len(got) == len(rows)
         else:
             assert sorted((str(r[0]), r[1]) for r in got) == sorted([("1", one), ("1", two), ("None", three)]), name
+
+
+def test_paths_take_the_rarest_shared_tokens_of_each_set_once(spark):
+    """All tokens were exploded twice to be counted, and a repeated row's tokens stood twice in its path."""
+    sets = [(1, [*range(1, 21)]), (1, [*range(1, 21)]), (2, [*range(1, 20), 30]), (3, [*range(1, 11), *range(40, 50)]), (4, [])]
+    paths = neardup._paths(spark.createDataFrame(sets, "id bigint, tokens array<bigint>"), 85, 100, 4)
+    assert "explode" not in paths._jdf.queryExecution().toString()
+    got = sorted((r.id, r.n, r.first, r.path) for r in paths.collect())
+    assert got == [(1, 20, 0, [20, *range(11, 17)]), (2, 20, 1, [*range(11, 17)])]
